@@ -284,7 +284,8 @@ _MODES = (
     "WHERE place = 1 AND play_value <> ''"
 )
 _SEASONAL = (
-    f"SELECT *, {_HOLIDAY_TYPE} AS holiday_type, {_OFFER_TEXT} AS offer_text FROM hits "
+    f"SELECT {_columns(_TEXTS)}, {_HOLIDAY_TYPE} AS holiday_type, "
+    f"{_OFFER_TEXT} AS offer_text FROM hits "
     "WHERE competitor_name IS NOT NULL"
 )
 _ACTIVITY = (
@@ -309,7 +310,7 @@ def _promos(where="true"):
         + _joined("v", "v <> ''") + " AS offer, "
         + _joined("play_value", "play_value IS NOT NULL") + " AS wager, "
         + _joined("deposit_requirement", "deposit_requirement IS NOT NULL") + " AS requirements "
-        f"FROM (SELECT *, {_HOLIDAY_LABEL} AS label, coalesce(value, 'No Value') AS v FROM hits "
+        f"FROM (SELECT {_columns(_TEXTS)}, {_HOLIDAY_LABEL} AS label, coalesce(value, 'No Value') AS v FROM hits "
         f"WHERE competitor_name IS NOT NULL) AS h WHERE label IN ('Black Friday', 'Christmas') "
         f"AND {where} GROUP BY 1, 2, 3"
     )

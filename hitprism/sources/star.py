@@ -120,12 +120,13 @@ def hits_sql():
     columns = ",\n  ".join(f'{sql} AS "{name}"' for name, sql in COLUMNS.items())
     return (
         f"SELECT\n  {columns}\nFROM lineitem\n"
-        "JOIN orders ON l_orderkey = o_orderkey\n"
+        "JOIN (SELECT *, o_orderkey % (SELECT count(*) FROM documents) AS doc_ref FROM orders)\n"
+        "  AS orders ON l_orderkey = o_orderkey\n"
         "JOIN customer ON o_custkey = c_custkey\n"
         "JOIN nation ON c_nationkey = n_nationkey\n"
         "JOIN region ON n_regionkey = r_regionkey\n"
         "JOIN part ON l_partkey = p_partkey\n"
-        "JOIN documents ON doc_id = o_orderkey % (SELECT count(*) FROM documents)"
+        "JOIN documents ON doc_id = doc_ref"
     )
 
 
