@@ -25,17 +25,13 @@ def competitor_table(hits, deduped=False):
     """Messages per competitor and country, and their grand total."""
     pair = ["competitor_name", "country"]
     counts = _count(messages(hits, *pair, deduped=deduped), *pair)
-    sets = [[F.col(c) for c in pair], []]
-    is_total = F.col("is_total")
+    # the same counted shuffle serves both parts
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(
+        F.lit(TOTAL_NAME).alias(pair[0]), F.lit(TOTAL_COUNTRY).alias(pair[1]), "n"
+    )
     return (
-        counts.groupingSets(sets, *pair)
-        .agg(F.sum("n").alias("n"), (F.grouping("country") == 1).alias("is_total"))
-        .select(
-            F.when(is_total, TOTAL_NAME).otherwise(F.col("competitor_name")).alias(pair[0]),
-            F.when(is_total, TOTAL_COUNTRY).otherwise(F.col("country")).alias(pair[1]),
-            F.coalesce("n", F.lit(0)).alias("n"),
-            "is_total",
-        )
+        counts.withColumn("is_total", F.lit(False))
+        .unionByName(total.withColumn("is_total", F.lit(True)))
         .orderBy("is_total", F.desc("n"), *pair)
     )
 

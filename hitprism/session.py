@@ -14,7 +14,7 @@ SETTINGS = {
 }
 
 
-def local_session(cores="*", shuffle_partitions=8, memory="8g", app="hitprism"):
+def local_session(cores="*", shuffle_partitions=8, memory="8g", app="hitprism", settings=None):
     """A session on this machine, for tests and measurements."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -23,7 +23,7 @@ def local_session(cores="*", shuffle_partitions=8, memory="8g", app="hitprism"):
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
