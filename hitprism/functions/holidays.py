@@ -33,28 +33,45 @@ def _column_season(holiday):
     )
 
 
-def _message_text(subject, translated):
+# Each season word holds one of these, so most texts need three searches only.
+HINTS = ["day", "mas", BLACK_FRIDAY_WORDS[2]]
+
+
+def message_text(subject, translated):
+    """Lower-case text that the season words are looked for in. Costly on long
+    texts, so make it a column of its own first."""
     empty = F.lit("")
     return F.lower(F.concat(F.coalesce(subject, empty), F.lit(" "), F.coalesce(translated, empty)))
 
 
-def holiday_type(holiday, subject, translated):
-    """Season of a message from its holiday column, words or emoji; else null."""
-    text = _message_text(subject, translated)
-    from_text = (
-        F.when(_mentions(text, BLACK_FRIDAY_WORDS), F.lit(BLACK_FRIDAY))
-        .when(_mentions(text, CHRISTMAS_WORDS + CHRISTMAS_EMOJI), F.lit(CHRISTMAS))
-        .when(_mentions(text, BLACK_FRIDAY_EMOJI), F.lit(BLACK_FRIDAY))
+def _word_season(text, black_friday_words):
+    return F.when(
+        _mentions(text, HINTS),
+        F.when(_mentions(text, black_friday_words), F.lit(BLACK_FRIDAY)).when(
+            _mentions(text, CHRISTMAS_WORDS), F.lit(CHRISTMAS)
+        ),
     )
-    return F.coalesce(_column_season(holiday), from_text)
 
 
-def holiday_label(holiday, subject, translated):
+def _emoji_season(text):
+    """Only texts with characters of several bytes can hold emoji."""
+    return F.when(
+        F.length(text) < F.octet_length(text),
+        F.when(_mentions(text, CHRISTMAS_EMOJI), F.lit(CHRISTMAS)).when(
+            _mentions(text, BLACK_FRIDAY_EMOJI), F.lit(BLACK_FRIDAY)
+        ),
+    )
+
+
+def holiday_type(holiday, text):
+    """Season of a message from its holiday column, words or emoji; else null."""
+    words = _word_season(text, BLACK_FRIDAY_WORDS)
+    return F.coalesce(_column_season(holiday), words, _emoji_season(text))
+
+
+def holiday_label(holiday, text):
     """As ``holiday_type``, but other holiday names are kept, emoji do not
     count, and a message without any holiday gets the empty text."""
-    text = _message_text(subject, translated)
-    from_text = F.when(
-        _mentions(text, BLACK_FRIDAY_WORDS + [BLACK_FRIDAY_JOINED]), F.lit(BLACK_FRIDAY)
-    ).when(_mentions(text, CHRISTMAS_WORDS), F.lit(CHRISTMAS))
+    words = _word_season(text, [*BLACK_FRIDAY_WORDS, BLACK_FRIDAY_JOINED])
     own = F.nullif(holiday, F.lit(""))
-    return F.coalesce(_column_season(holiday), own, from_text, F.lit(""))
+    return F.coalesce(_column_season(holiday), own, words, F.lit(""))

@@ -59,7 +59,9 @@ def sender_domain(sender, unicode_words=True):
 
 def emoji_only(col):
     """The text with everything but its emoji removed."""
-    return F.regexp_replace(F.regexp_replace(col, _PLAIN_RUN, ""), _NOT_EMOJI, "")
+    is_ascii = F.length(col) == F.octet_length(col)
+    found = F.regexp_replace(F.regexp_replace(col, _PLAIN_RUN, ""), _NOT_EMOJI, "")
+    return F.when(is_ascii, F.lit("")).otherwise(found)
 
 
 def has_emoji(col):

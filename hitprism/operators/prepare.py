@@ -46,16 +46,23 @@ def with_offer_text(df):
     return df.withColumn("offer_text", offers.offer_text(*cols))
 
 
-_HOLIDAY_INPUT = ("holiday", "subject", "translated_content")
+def _with_season(df, column, rule):
+    """Apply a holiday rule. The text it searches is lower-cased once per row:
+    ``explode`` of one value keeps Spark from merging it into each search."""
+    text = holidays.message_text(F.col("subject"), F.col("translated_content"))
+    searched = df.select("*", F.explode(F.array(text)).alias("searched_text"))
+    return searched.withColumn(column, rule(F.col("holiday"), F.col("searched_text"))).drop(
+        "searched_text"
+    )
 
 
 def with_holiday_type(df):
-    return df.withColumn("holiday_type", holidays.holiday_type(*map(F.col, _HOLIDAY_INPUT)))
+    return _with_season(df, "holiday_type", holidays.holiday_type)
 
 
 def with_holiday_label(df):
     """Replace holiday by its normal label."""
-    return df.withColumn("holiday", holidays.holiday_label(*map(F.col, _HOLIDAY_INPUT)))
+    return _with_season(df, "holiday", holidays.holiday_label)
 
 
 def subject_rollup(df):

@@ -2,7 +2,7 @@ import pytest
 from conftest import at, rows
 from pyspark.sql import functions as F
 
-from hitprism.functions import numbers, text, times
+from hitprism.functions import holidays, numbers, text, times
 from hitprism.operators import prepare
 from hitprism.operators.messages import first_rows
 from hitprism.sources.hits import parse_times
@@ -133,6 +133,11 @@ def test_holiday_rules(hits, holiday, subject, translated, type_, label):
     assert rows(prepare.with_holiday_label(h), "holiday") == [(label,)]
 
 
+def test_every_season_word_holds_a_hint():
+    words = [*holidays.BLACK_FRIDAY_WORDS, holidays.BLACK_FRIDAY_JOINED, *holidays.CHRISTMAS_WORDS]
+    assert all(any(hint in word for hint in holidays.HINTS) for word in words)
+
+
 def test_subjects_are_joined_in_order_and_cut(hits):
     many = [{"tracking_hit_id": i, "competitor_name": "C", "type": "T", "value": "V",
              "subject": f"s{i % 900:03d}"} for i in range(1800)]
