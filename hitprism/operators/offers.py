@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hitprism.functions import offers
-from hitprism.plans.groups import top_rows
+from hitprism.plans.groups import broadcast_top, top_rows
 from hitprism.schema import HIT_ID
 
 # Types that stand for "no offer", and the type whose play value
@@ -34,7 +34,7 @@ def top_offers_no_promo(hits, n=30):
     )
     order = [F.desc("total"), F.desc("n_competitors"), F.asc("offer_label")]
     best = top_rows(stats, n, order, "offer_rank").select("offer_label", "offer_rank")
-    return counts.join(F.broadcast(best), "offer_label").select(
+    return counts.join(broadcast_top(best, n), "offer_label").select(
         "offer_rank", "offer_label", "competitor_name", "n"
     )
 
@@ -51,7 +51,7 @@ def top_offers(hits, n=30):
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     best = totals.orderBy(F.desc("total"), *keys).limit(n)
     ranked = top_rows(best, n, [F.asc("type"), F.desc("total"), F.asc("offer_label")], "offer_rank")
-    return counts.join(F.broadcast(ranked), keys).select(
+    return counts.join(broadcast_top(ranked, n), keys).select(
         "offer_rank", "type", "offer_label", "total", "competitor_name", "n"
     )
 
@@ -96,7 +96,7 @@ def offer_pairs(hits, n=20):
     best = best.select("offer_label", "place")
     sets = (
         rows.where(F.col(HIT_ID).isNotNull())
-        .join(F.broadcast(best), "offer_label")
+        .join(broadcast_top(best, n), "offer_label")
         .groupBy(HIT_ID)
         .agg(F.array_sort(F.collect_set("place")).alias("offers"))
         .groupBy("offers")
@@ -111,8 +111,8 @@ def offer_pairs(hits, n=20):
     first = best.select(F.col("offer_label").alias("offer_a"), F.col("place").alias("a"))
     second = best.select(F.col("offer_label").alias("offer_b"), F.col("place").alias("b"))
     return (
-        pairs.join(F.broadcast(first), "a")
-        .join(F.broadcast(second), "b")
+        pairs.join(broadcast_top(first, n), "a")
+        .join(broadcast_top(second, n), "b")
         .select("offer_a", "offer_b", "n")
     )
 

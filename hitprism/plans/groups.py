@@ -69,6 +69,11 @@ def top_rows(df, n, order, rank):
     return best.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def broadcast_top(best, n):
+    """Broadcast a frame cut to ``n`` rows, if ``n`` is small enough for that."""
+    return F.broadcast(best) if n <= BROADCAST_GROUPS else best
+
+
 def numbered(df, order, index, start=1):
     """Number all rows in order, whatever their count.
 
