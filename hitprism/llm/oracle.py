@@ -7,17 +7,17 @@ _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 URL_FILTERS = f"""
 WITH after AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS a FROM pages
-), at AS (
+), parsed AS (
   SELECT page_id, translate(regexp_extract(a, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path FROM after
 ), rules(rule_host, rule_path, verdict) AS (VALUES {_RULES}),
 best AS (
   SELECT DISTINCT ON (host, path) host, path, rule_host || rule_path AS rule, verdict
-  FROM (SELECT DISTINCT host, path FROM at)
+  FROM (SELECT DISTINCT host, path FROM parsed)
   JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   ORDER BY host, path, length(rule_host) + length(rule_path) DESC, length(rule_host) DESC
 )
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM at LEFT JOIN best USING (host, path)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parsed LEFT JOIN best USING (host, path)
 """
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
