@@ -7,9 +7,10 @@ is a lower bound of the bit distance. Of a linked pair, one half (16 segments)
 is within 2; then a grid point within 1 of both exists, and joining on the grid
 points near each fingerprint finds the pair. Bits are compared after that.
 
-Nothing emits all pairs of a group. Equal fingerprints are one row. Each
-fingerprint is first tied to the smallest one at its grid points; then only
-pairs whose parts are not yet connected are joined.
+Nothing emits all pairs of a group. Equal fingerprints are one row. A grid
+point near two fingerprints gives a pair as it is. At points near more, each is
+first tied to the smallest one there; then only pairs whose parts are not yet
+connected are joined.
 """
 
 import numpy as np
@@ -95,14 +96,18 @@ def linked_fingerprints(fingerprints, max_distance=MAX_DISTANCE):
         return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_distance
 
     points = grid_points(fingerprints)
-    shared = (
-        points.groupBy("half", "point").agg(F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("first"))
-        .where("n > 1").drop("n")
-    )
-    members = stored(points.join(shared, ["half", "point"]), "grid")
-    ties = stored(
+    shared = stored(
+        points.groupBy("half", "point").agg(
+            F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("first"), F.max("fingerprint").alias("last"))
+        .where("n > 1"), "shared-points")
+    # a point that two fingerprints share is a pair; only larger ones need their members
+    pairs = shared.where((F.col("n") == 2) & near("first", "last")).select(F.col("last").alias("a"), F.col("first").alias("b"))
+    members = stored(points.join(shared.where("n > 2").drop("n", "last"), ["half", "point"]), "grid")
+    stars = (
         members.where((F.col("first") != F.col("fingerprint")) & near("first", "fingerprint"))
-        .groupBy(F.col("fingerprint").alias("a")).agg(F.min("first").alias("b")), "ties")
+        .groupBy(F.col("fingerprint").alias("a")).agg(F.min("first").alias("b"))
+    )
+    ties = stored(pairs.union(stars).distinct(), "ties")
     roots = components(ties)
     # then what joins different groups of the first round
     rooted = members.join(roots.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left").select(
