@@ -3,6 +3,7 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hitprism.functions import times
 from hitprism.plans.groups import with_group_values
@@ -24,6 +25,7 @@ def filter_in(df, chosen):
         values = list(values or [])
         if not values or column not in df.columns:
             continue
+        values = _typed(values, df.schema[column].dataType)
         if len(values) <= IN_LIST_MAX:
             df = df.where(F.col(column).isin(values))
         else:
@@ -34,6 +36,15 @@ def filter_in(df, chosen):
     return df
 
 
+def _typed(values, kind):
+    """The values in the column's type, nulls (which match nothing) left out;
+    the same list, or the same error, whatever its length."""
+    make = int if isinstance(kind, T.IntegralType) else str if isinstance(kind, T.StringType) else None
+    if make is None:
+        raise ValueError(f"cannot filter a column of type {kind.simpleString()} by a list")
+    return [make(v) for v in values if v is not None]
+
+
 def _midnight(day):
     return F.lit(dt.datetime.combine(day, dt.time())).cast("timestamp_ntz")
 

@@ -2,34 +2,45 @@
 
 from pyspark.sql import functions as F
 
-from hitprism.schema import HIT_ID, ROW_ORDER, require
+from hitprism.schema import HIT_ID, HITS, ROW_ORDER, require
+
+
+# Columns that tell the offers of a message apart, and texts that do not.
+_OFFER = ["type", "value", "play_value", "deposit_requirement"]
+_TEXTS = ["subject", "content", "translated_content"]
+
+
+def _own_order(df):
+    """An order of rows by their values, the same for every report: the offer's
+    columns, nulls last, then a hash of all others but the long texts."""
+    order = []
+    for c in _OFFER:
+        if c in df.columns:
+            order += [F.col(c).isNull().alias(f"no_{c}"), F.col(c)]
+    rest = [c for c in HITS.names if c in df.columns and c not in (HIT_ID, *_OFFER, *_TEXTS)]
+    return [*order, F.xxhash64(*rest).alias("rest")] if rest else order
 
 
 def first_rows(df, *columns, order=None):
     """The first row of each message, as ``tracking_hit_id`` plus ``columns``.
 
-    Order: the given columns, else the load order if the table carries it.
-    Rows that tie, and all rows where no order is known, are ordered by their
-    own values, so the choice is the same on every run. One aggregation with
-    map-side combine; name only the columns needed, texts make it expensive.
+    Order: the given columns, else the load order if the table carries it, else
+    the rows' own values (``_own_order``). The order never depends on which
+    ``columns`` a report asks for, so all reports of a table agree on the row.
+    One aggregation with map-side combine.
     """
     columns = [c for c in columns or df.columns if c not in (HIT_ID, ROW_ORDER)]
     require(df, HIT_ID, *columns)
-    if order is None:
-        order = [ROW_ORDER] if ROW_ORDER in df.columns else []
     if not columns:
         return df.select(HIT_ID).distinct()
-    row = F.struct(*columns)
-    if order:
-        sort_key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-        return (
-            df.groupBy(HIT_ID)
-            .agg(F.min(F.struct(sort_key.alias("k"), row.alias("row"))).alias("first"))
-            .select(HIT_ID, "first.row.*")
-        )
-    if len(columns) == 1:
-        return df.groupBy(HIT_ID).agg(F.min(columns[0]).alias(columns[0]))
-    return df.groupBy(HIT_ID).agg(F.min(row).alias("first")).select(HIT_ID, "first.*")
+    if order is None:
+        order = [ROW_ORDER] if ROW_ORDER in df.columns else _own_order(df)
+    sort_key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order]) if order else F.lit(0)
+    return (
+        df.groupBy(HIT_ID)
+        .agg(F.min(F.struct(sort_key.alias("k"), F.struct(*columns).alias("row"))).alias("first"))
+        .select(HIT_ID, "first.row.*")
+    )
 
 
 def messages(hits, *columns, deduped=False, order=None):

@@ -104,7 +104,7 @@ def provider_matrix(hits, ip_dim):
     return (
         pairs.join(ip_dim.select("from_ip", "org"), "from_ip", "left")
         .groupBy("competitor_name", provider)
-        .agg(F.count(F.lit(1)).alias("n_ips"))
+        .agg(F.count_distinct("from_ip").alias("n_ips"))
     )
 
 

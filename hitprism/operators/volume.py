@@ -139,12 +139,20 @@ def hits_over_time(hits):
 
 
 def channel_mix(hits):
-    """Emails, texts and calls per competitor, with their percentages."""
-    named = [F.count_if(F.col("channel") == c).alias(c) for c in CHANNELS]
-    mix = _no_nulls(hits, "competitor_name").groupBy("competitor_name").agg(*named)
-    mix = mix.withColumn("total", sum((F.col(c) for c in CHANNELS[1:]), F.col(CHANNELS[0])))
-    whole = F.nullif(F.col("total"), F.lit(0))
-    return mix.withColumns({f"{c}_pct": F.col(c) / whole * 100 for c in CHANNELS})
+    """Rows per competitor and channel, whatever channels there are, with the
+    competitor's total and the channel's percentage of it."""
+    per_channel = _count(_no_nulls(hits, "competitor_name"), "competitor_name", "channel")
+    totals = per_channel.groupBy("competitor_name").agg(F.sum("n").alias("total"))
+    return per_channel.join(totals, "competitor_name").withColumn("pct", F.col("n") / F.col("total") * 100)
+
+
+def channel_mix_wide(hits, channels=CHANNELS):
+    """``channel_mix`` with a column per given channel and one for all others."""
+    is_named = F.coalesce(F.col("channel").isin(channels), F.lit(False))
+    named = [F.count_if(F.col("channel") == c).alias(c) for c in channels]
+    mix = _no_nulls(hits, "competitor_name").groupBy("competitor_name").agg(
+        *named, F.count_if(~is_named).alias("other"), F.count(F.lit(1)).alias("total"))
+    return mix.withColumns({f"{c}_pct": F.col(c) / F.col("total") * 100 for c in [*channels, "other"]})
 
 
 def promo_type_counts(hits):

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hitprism.functions import holidays
 from hitprism.functions import offers as offer_columns
 from hitprism.functions import text, times
 from hitprism.operators import (
@@ -120,6 +121,7 @@ OPERATORS = {
             h, {"country": ["ASIA", "EUROPE"], "channel": ["email", "sms"], "vertical": []}
         )
     ),
+    "F1_long": lambda h: digested(filters.filter_in(h, {"tracking_id": [str(i) for i in range(1, 1201)]})),
     "F2": lambda h: digested(filters.filter_dates(h, FIRST_DAY, LAST_DAY)),
     "F3": lambda h: filters.filter_options(h, "competitor_name"),
     "F3_accounts": lambda h: filters.filter_options(h, "tracking_id"),
@@ -154,6 +156,7 @@ OPERATORS = {
     "R7_wide": lambda h: widen(volume.cross_tab(h), "competitor_name", cross_tab_label(), "n"),
     "R8": volume.hits_over_time,
     "R9": volume.channel_mix,
+    "R9_wide": volume.channel_mix_wide,
     "R10": volume.promo_type_counts,
     "R11": volume.promo_by_category,
     "R12": volume.classification_counts,
@@ -195,7 +198,7 @@ OPERATORS = {
     "R33": lambda h: _nullable(timeline.timeline(h), "day_offset"),
     "R34": timeline.first48_volume,
     "R35": timeline.first48_email_types,
-    "R36": lambda h: timeline.first48_promo_types(h, order=_type_order("type")),
+    "R36": timeline.first48_promo_types,
     # offers and bundles
     "R37": offers.top_offers_no_promo,
     "R38": offers.top_offers,
@@ -214,7 +217,7 @@ OPERATORS = {
     "R46": holiday.seasonal_first,
     "R47": holiday.seasonal_activity,
     "R47_wide": lambda h: widen(
-        holiday.seasonal_activity(h), "competitor_name", "holiday_type", "n"
+        holiday.seasonal_activity(h), "competitor_name", "holiday_type", "n", holidays.SEASONS
     ),
     "R48": holiday.holiday_promos,
     "R48_competitor": lambda h: holiday.holiday_promos(h, COMPETITOR),

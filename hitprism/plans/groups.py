@@ -12,51 +12,22 @@ from pyspark.sql import functions as F
 
 from hitprism.plans.shared import checkpointed
 
-# Largest number of group rows that may be broadcast; checked, never assumed.
-BROADCAST_GROUPS = 500_000
+# Largest number of rows of a cut list that may be broadcast.
+BROADCAST_TOP = 500_000
 
-# A key counts as hot when it holds at least this share of the rows, so there
-# can be no more than HOT_KEYS hot keys.
-HOT_KEYS = 1000
 
-_ROWS = "rows_in_group"
-
-
-def with_group_values(df, keys, values, keep_unkeyed=False, broadcast_groups=BROADCAST_GROUPS):
-    """Attach aggregates of each row's group to the row.
+def with_group_values(df, keys, values, keep_unkeyed=False):
+    """Attach aggregates of each row's group to the row; lazy.
 
     Rows with a null key belong to no group: dropped, or kept with null values
-    if ``keep_unkeyed``. The aggregates (one row per group) are written out and
-    counted. Up to ``broadcast_groups`` they are broadcast and ``df`` is not
-    shuffled. Beyond that the hot keys, at most ``HOT_KEYS``, are broadcast and
-    the others are joined by shuffle, where no key can be large any more.
+    if ``keep_unkeyed``. The aggregates, one row per group, are joined back. They
+    are grouped by the keys as one struct, so that a join by shuffle deals both
+    sides anew and Spark can broadcast few groups, or split a hot key.
     """
     keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    groups = checkpointed(
-        df.where(keyed).groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS), *values)
-    )
-    n_groups, n_rows = groups.agg(F.count(F.lit(1)), F.sum(_ROWS)).first()
-
-    if n_groups <= broadcast_groups:
-        how = "left" if keep_unkeyed else "inner"
-        return df.join(F.broadcast(groups.drop(_ROWS)), keys, how)
-
-    is_hot = F.col(_ROWS) >= F.lit(n_rows / HOT_KEYS)
-    hot = F.broadcast(groups.where(is_hot).drop(_ROWS))
-    cold = groups.where(~is_hot).drop(_ROWS)
-    keyed_rows = df.where(keyed)
-    parts = [
-        keyed_rows.join(hot, keys),
-        keyed_rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys),
-    ]
-    if keep_unkeyed:
-        names = [f for f in groups.schema.fields if f.name not in (*keys, _ROWS)]
-        parts.append(
-            df.where(~keyed).withColumns(
-                {f.name: F.lit(None).cast(f.dataType) for f in names}
-            )
-        )
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    groups = df.where(keyed).groupBy(F.struct(*keys).alias("group")).agg(*values)
+    names = [c for c in groups.columns if c != "group"]
+    return df.join(groups.select("group.*", *names), keys, "left" if keep_unkeyed else "inner")
 
 
 def top_rows(df, n, order, rank):
@@ -71,7 +42,7 @@ def top_rows(df, n, order, rank):
 
 def broadcast_top(best, n):
     """Broadcast a frame cut to ``n`` rows, if ``n`` is small enough for that."""
-    return F.broadcast(best) if n <= BROADCAST_GROUPS else best
+    return F.broadcast(best) if n <= BROADCAST_TOP else best
 
 
 def numbered(df, order, index, start=1):

@@ -14,7 +14,7 @@ from hitprism.sources.star import hits_sql
 NATIONS = [f"NATION_{i}" for i in range(25)]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 VERTICALS = ["Casino", "Sports", "Poker"]
-CHANNELS = ["email", "sms", "calls"]
+CHANNELS = ["email", "sms", "calls", "push"]
 EMAIL_TYPES = ["Informational", "Newsletter", "Promotional", "System", "Transactional", "Welcome"]
 TONES = ["Formal", "Friendly", "Playful", "Urgent"]
 PROMO_TYPES = ["Branding", "Cashback", "Deposit Bonus", "Free Chips", "Free Spins",
@@ -482,11 +482,16 @@ def oracle_sql():
         "R8": _with("SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS date, count(*) AS n "
                     "FROM hits GROUP BY 1"),
         "R9": _with(
-            "SELECT *, " + ", ".join(f"CAST({c} AS DOUBLE) / total * 100 AS {c}_pct" for c in CHANNELS)
-            + " FROM (SELECT competitor_name, "
-            + ", ".join(f"count(*) FILTER (WHERE channel = '{c}') AS {c}" for c in CHANNELS)
-            + ", count(*) FILTER (WHERE channel IN ('email', 'sms', 'calls')) AS total "
+            "SELECT competitor_name, channel, n, CAST(sum(n) OVER (PARTITION BY competitor_name) AS BIGINT) AS total, "
+            "CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY competitor_name) * 100 AS pct FROM (SELECT competitor_name, "
+            "channel, count(*) AS n FROM hits WHERE competitor_name IS NOT NULL GROUP BY 1, 2) AS c"),
+        "R9_wide": _with(
+            "SELECT *, " + ", ".join(f"CAST({c} AS DOUBLE) / total * 100 AS {c}_pct" for c in ("email", "sms", "calls", "other"))
+            + " FROM (SELECT competitor_name, count(*) FILTER (WHERE channel = 'email') AS email, "
+            "count(*) FILTER (WHERE channel = 'sms') AS sms, count(*) FILTER (WHERE channel = 'calls') AS calls, "
+            "count(*) FILTER (WHERE channel = 'push') AS other, count(*) AS total "
             "FROM hits WHERE competitor_name IS NOT NULL GROUP BY 1) AS c"),
+        "F1_long": _with(f"SELECT {_DIGESTED} FROM hits WHERE tracking_id BETWEEN 1 AND 1200"),
         "R10": _with(_count("hits", "promotion_types")),
         "R11": _with(_count("hits", "promotion_types", "category")),
         "R12": _with(_count("hits", "classification")),

@@ -11,8 +11,8 @@ FORMATS = ["parquet", "orc", "csv", "json"]
 def read_hits(spark, path, fmt="parquet", keep_row_order=False, **options):
     """Read the hits table with its declared schema; nothing is inferred.
 
-    ``keep_row_order`` adds each row's place in the source (file, offset of the
-    split, place in the split), which then decides what the first row of a
+    ``keep_row_order`` adds each row's place in the source (file and row; for other
+    formats than parquet file, split and place in it), which then decides what the first row of a
     message is. Text formats fail on values that do not fit the schema.
     """
     if fmt not in FORMATS:
@@ -23,11 +23,13 @@ def read_hits(spark, path, fmt="parquet", keep_row_order=False, **options):
         options = {"mode": "FAILFAST", **options}
     hits = spark.read.format(fmt).schema(HITS).options(**options).load(path)
     if keep_row_order:
-        place = F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("split"),
-            F.monotonically_increasing_id().alias("row"),
-        )
+        file = F.col("_metadata.file_path").alias("file")
+        if fmt == "parquet":  # filters still reach the scan
+            place = F.struct(file, F.col("_metadata.row_index").alias("row"))
+        else:
+            place = F.struct(
+                file, F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")
+            )
         hits = hits.withColumn(ROW_ORDER, place)
     return hits
 

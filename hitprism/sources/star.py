@@ -17,7 +17,10 @@ _TYPE = (
     "WHEN 'MEDIUM' THEN 'free chip' WHEN 'SMALL' THEN 'Tournament Entry' "
     "WHEN 'LARGE' THEN 'Deposit Bonus' ELSE 'Cashback' END"
 )
-_CHANNEL = "CASE o_orderkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'sms' ELSE 'calls' END"
+_CHANNEL = (
+    "CASE WHEN o_orderkey % 41 = 0 THEN 'push' WHEN o_orderkey % 3 = 0 THEN 'email' "
+    "WHEN o_orderkey % 3 = 1 THEN 'sms' ELSE 'calls' END"
+)
 
 
 def _text(number):
@@ -94,8 +97,8 @@ COLUMNS = {
 def hits_from_star(spark, folder):
     """The hits table over the parquet tables in ``folder``.
 
-    The messages (orders with their dimensions) are put together first; their
-    line items join last, so the wide side is shuffled once, by order.
+    Line items, orders and dimensions join first, all narrow; the texts join
+    last, so that they are shuffled by their document only.
     """
     t = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in TABLES}
     n_documents = t["documents"].agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -105,9 +108,9 @@ def hits_from_star(spark, folder):
         .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(t["documents"], F.col("doc_ref") == F.col("doc_id"))
         .join(t["lineitem"], F.col("o_orderkey") == F.col("l_orderkey"))
         .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+        .join(t["documents"], F.col("doc_ref") == F.col("doc_id"))
     )
     columns = [
         F.expr(COLUMNS[f.name]).cast(f.dataType).alias(f.name) for f in HITS.fields

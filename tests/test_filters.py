@@ -84,3 +84,13 @@ def test_options_and_bounds(hits):
     assert [r.value for r in filters.filter_options(h, "tracking_id").collect()] == [3, 9]
     assert rows(filters.filter_options(h, "country"), "value") == [("B",)]
     assert rows(filters.date_bounds(h), "*") == [(at("2024-01-01"), at("2024-01-02"))]
+
+
+def test_list_length_does_not_change_the_result(hits):
+    h = hits(*[{"tracking_hit_id": i, "tracking_id": i} for i in range(5)])
+    for n in (3, 1500):
+        chosen = [None, *[str(i) for i in range(1, n)]]
+        got = filters.filter_in(h, {"tracking_id": chosen})
+        assert rows(got, "tracking_id") == [(i,) for i in range(1, min(n, 5))]
+        with pytest.raises(ValueError):
+            filters.filter_in(h, {"tracking_id": [*chosen, "x"]})

@@ -14,12 +14,11 @@ def skewed(spark):
     return spark.range(n).select("id", key.otherwise(F.col("id")).cast("long").alias("k"))
 
 
-@pytest.mark.parametrize("limit", [10**6, 5])
 @pytest.mark.parametrize("keep", [True, False])
-def test_group_values_equal_a_window(skewed, limit, keep):
+def test_group_values_equal_a_window(skewed, keep):
     got = with_group_values(
         skewed, ["k"], [F.min("id").alias("low"), F.max("id").alias("high")],
-        keep_unkeyed=keep, broadcast_groups=limit,
+        keep_unkeyed=keep,
     )
     lows = {}
     for r in skewed.collect():
@@ -33,12 +32,16 @@ def test_group_values_equal_a_window(skewed, limit, keep):
     assert sorted(tuple(r) for r in got.select("id", "k", "low", "high").collect()) == expected
 
 
-def test_beyond_the_broadcast_limit_only_hot_keys_are_broadcast(skewed):
-    plan = with_group_values(
-        skewed, ["k"], [F.min("id").alias("low")], broadcast_groups=5
-    )._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan
-    assert "BroadcastHashJoin" in plan
+def test_group_values_join_deals_both_sides_anew(spark, skewed):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = with_group_values(skewed, ["k"], [F.min("id").alias("low")])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "Window" not in plan and "SortMergeJoin" in plan
+    assert plan.count("Exchange hashpartitioning(k") == 2
 
 
 def test_numbered_counts_across_partitions(spark):

@@ -44,6 +44,21 @@ def test_load_order_decides_the_first_row(spark, hits, tmp_path):
     assert rows(first_rows(loaded.where("value <> 'c'"), "value"), "value") == [("a",)]
 
 
+def test_filters_reach_the_scan_with_load_order_kept(spark, star_hits, tmp_path):
+    star_hits.limit(10).write.parquet(str(tmp_path / "h"))
+    loaded = read_hits(spark, str(tmp_path / "h"), keep_row_order=True)
+    plan = loaded.where("channel = 'email'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(channel,email)" in plan
+
+
+def test_all_reports_take_the_same_row_of_a_message(hits):
+    h = hits({"tracking_hit_id": 1, "competitor_name": None, "vertical": "X", "type": None},
+             {"tracking_hit_id": 1, "competitor_name": "A", "vertical": "X", "type": "Cashback"})
+    for columns in (["competitor_name"], ["competitor_name", "vertical"], ["type"]):
+        first = first_rows(h, *columns).first()
+        assert first[1] == ("Cashback" if columns == ["type"] else "A")
+
+
 def test_small_report_is_one_file(spark, star_hits, tmp_path):
     for fmt in ("parquet", "csv"):
         write_report(competitor_volume(star_hits), str(tmp_path / fmt), fmt, ordered=fmt == "parquet")
