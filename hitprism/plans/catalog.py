@@ -37,6 +37,13 @@ from hitprism.sources.star import hits_from_star, ip_dim
 YEAR = 1998
 FIRST_DAY, LAST_DAY = dt.date(1996, 3, 1), dt.date(1999, 6, 30)
 COMPETITOR = "NATION_7"
+# Columns of the wide cross-tab, known from the tables' values.
+CROSS_COLUMNS = [
+    f"{vertical} | {lifecycle} | {channel}"
+    for vertical in ("Casino", "Sports", "Poker")
+    for lifecycle in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    for channel in ("email", "sms", "calls", "push")
+]
 
 
 def digested(df):
@@ -153,7 +160,9 @@ OPERATORS = {
     "R5": volume.velocity_share,
     "R6": volume.frequency_table,
     "R7": volume.cross_tab,
-    "R7_wide": lambda h: widen(volume.cross_tab(h), "competitor_name", cross_tab_label(), "n"),
+    "R7_wide": lambda h: widen(
+        volume.cross_tab(h), "competitor_name", cross_tab_label(), "n", CROSS_COLUMNS
+    ),
     "R8": volume.hits_over_time,
     "R9": volume.channel_mix,
     "R9_wide": volume.channel_mix_wide,
