@@ -30,12 +30,12 @@ from hitprism.llm.stored import stored
 
 MODULUS, HELD_OUT = 7, 2
 HEAD = 1 << 19
-BITS, PROBES, MOST_BYTES = 10, 4, 96 << 20
+BITS, PROBES, MOST_BYTES = 10, 4, 64 << 20
 #: Tokens per shard.
 SHARD_TOKENS = 1 << 21
 #: Weight of the bigram's share; the rest is the word's own probability.
 WEIGHT = 0.1
-_SLICE_BYTES = 16 << 20
+_SLICE_BYTES = 6 << 20
 _END = np.uint64(xxhash.xxh3_64_intdigest(b"", 7))
 
 
@@ -129,14 +129,14 @@ def _places(low, level, size):
 
 class _Filter:
     def __init__(self, segments, shards):
+        """``segments``: rows (shard, bits), one after the other."""
         self.shards = shards
-        self.sizes, self.offsets, data = np.ones(shards, np.int64), np.zeros(shards, np.int64), []
-        at = 1
+        self.sizes, self.offsets = np.ones(shards, np.int64), np.zeros(shards, np.int64)
+        data = bytearray(1)  # a shard without entries has one bit, which is 0
         for shard, bits in segments:
-            self.sizes[shard], self.offsets[shard] = 8 * len(bits), 8 * at
-            data.append(bits)
-            at += len(bits)
-        self.bits = np.frombuffer(b"\0" + b"".join(data), np.uint8)
+            self.sizes[shard], self.offsets[shard] = 8 * len(bits), 8 * len(data)
+            data += bits
+        self.bits = np.frombuffer(data, np.uint8)
 
     def levels(self, pairs):
         """Level of each bigram: probes go on while all bits are set."""
@@ -221,22 +221,19 @@ def score(docs, doc_id="doc_id", text="text"):
     total = n_tokens + n_words + 1
     shards = 1 + n_tokens // SHARD_TOKENS
     # at most MOST_BYTES
-    segments = [(r["shard"], bytes(r["bits"])) for r in stored(bigram_filter(docs, shards), "filter").toLocalIterator()]
-    shared = spark.sparkContext.broadcast((*_frequent(counts), segments, shards))
-    ready = {}
+    bloom = _Filter(stored(bigram_filter(docs, shards), "filter").toLocalIterator(), shards)
+    shared = spark.sparkContext.broadcast((*_frequent(counts), bloom))
 
     def run(batches):
         part, row = TaskContext.get().partitionId() << 40, 0
+        head, n_head, bloom = shared.value
         for batch in batches:
-            if not ready:
-                head, n_head, segments, shards = shared.value
-                ready.update(head=head, n_head=n_head, bloom=_Filter(segments, shards))
             for rows in text_slices(batch, "text", _SLICE_BYTES):
                 keys = pa.array(part + row + np.arange(rows.num_rows))
                 row += rows.num_rows
                 ids = rows.column("doc_id")
                 yield pa.RecordBatch.from_arrays(
-                    [keys, ids, pa.array(held_out(ids)), *_scored(rows, total=total, **ready)],
+                    [keys, ids, pa.array(held_out(ids)), *_scored(rows, head, n_head, bloom, total)],
                     names=["row", "doc_id", "held_out", "n_tokens", "n_head", "logs", "score", "rest"])
 
     schema = ("row long, doc_id long, held_out boolean, n_tokens long, n_head long, logs double, score double, "
