@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 from hitprism.llm.shipping import ship
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _SAME = np.arange(256, dtype=np.uint8)
 
@@ -155,4 +155,9 @@ def map_batches(df, function, schema):
 def map_partitions(df, function, schema):
     """``function`` from a partition's batches to an iterable of batches."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()  # workers live on
+
+    return df.mapInArrow(run, schema)

@@ -19,11 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hitprism.llm.batches import map_batches, text_slices
+from hitprism.llm.batches import map_batches, map_partitions, text_slices
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Pieces remembered by a task, and how many go to the library at once.
-MOST_PIECES, AT_ONCE = 400_000, 20_000
+MOST_PIECES, AT_ONCE = 150_000, 10_000
 
 #: Pieces end before a space that no white space precedes: no match of a
 #: pattern of this kind goes over that place, nor looks beyond it.
@@ -206,20 +206,25 @@ def encode(docs, tokenizer_json, text="text", offsets=False):
     schema = T.StructType(kept + [T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in names])
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
-    def run(batch):
+    def encoded(rows, encoder):
+        ids, sizes = encoder(rows.column(text))
+        lists = [ids]
+        if offsets:
+            data, at, ends = _byte_table(shared.value).spans(ids, sizes)
+            lists += character_offsets(data, at, ends, sizes)
+        where = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        columns = [rows.column(f.name) for f in kept]
+        columns += [pa.ListArray.from_arrays(where, pa.array(x, pa.int32())) for x in lists]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def run(batches):
         encoder = _encoder(shared.value, True)
-        for rows in text_slices(batch, text, SLICE_BYTES):
-            ids, sizes = encoder(rows.column(text))
-            lists = [ids]
-            if offsets:
-                data, at, ends = _byte_table(shared.value).spans(ids, sizes)
-                lists += character_offsets(data, at, ends, sizes)
-            where = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            columns = [rows.column(f.name) for f in kept]
-            columns += [pa.ListArray.from_arrays(where, pa.array(x, pa.int32())) for x in lists]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for batch in batches:
+            for rows in text_slices(batch, text, SLICE_BYTES):
+                yield encoded(rows, encoder)
+        encoder.clear()  # the worker goes on to other tasks
 
-    return map_batches(docs, run, schema)
+    return map_partitions(docs, run, schema)
 
 
 def decode(docs, tokenizer_json, ids="ids"):

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from hitprism.llm import coder
 from hitprism.llm.batches import map_batches, map_partitions, text_slices
-from hitprism.llm.bpe import _encoder
+from hitprism.llm.bpe import SLICE_BYTES, _encoder
 
 #: A frame ends with the document that brings it to this many ids.
 FRAME = 1 << 20
@@ -80,7 +80,7 @@ def write_token_file(docs, path, tokenizer_json, end_id=None, doc_id="doc_id", t
         encoder = _encoder(shared.value, False)
         frames = _Frames(TaskContext.get().partitionId())
         for batch in batches:
-            for rows in text_slices(batch, "text"):
+            for rows in text_slices(batch, "text", SLICE_BYTES):
                 ids, sizes = encoder(rows.column("text"))
                 if end_id is not None:
                     ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
@@ -88,6 +88,7 @@ def write_token_file(docs, path, tokenizer_json, end_id=None, doc_id="doc_id", t
                     yield pa.RecordBatch.from_pylist([row], schema)
         if frames.doc_ids:
             yield pa.RecordBatch.from_pylist([frames.row()], schema)
+        encoder.clear()
 
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
