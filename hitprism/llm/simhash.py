@@ -3,9 +3,10 @@
 Fingerprints within ``MAX_DISTANCE`` bits link. To find these pairs, the ones in
 each 2-bit segment of a fingerprint are counted. Two bits' counts differ by no
 more than the bits themselves, so the Manhattan distance of the count vectors
-is a lower bound of the bit distance. Of a linked pair, one half (16 segments)
-is within 2; then a grid point within 1 of both exists, and joining on the grid
-points near each fingerprint finds the pair. Bits are compared after that.
+is a lower bound of the bit distance. The segments form three parts. Of a linked
+pair, some two parts (of 20 to 22 segments) are within 2 together; then a grid
+point within 1 of both exists, and joining on the grid points near each
+fingerprint finds the pair. Bits are compared after that.
 
 Nothing emits all pairs of a group. Equal fingerprints are one row. A grid
 point near two fingerprints gives a pair as it is. At points near more, each is
@@ -27,6 +28,9 @@ from hitprism.llm.stored import stored
 SHINGLE, SEED, MAX_DISTANCE = 4, 42, 4
 _SLICE_BYTES = 2 << 20
 
+#: Where the segments of each part start.
+_PARTS = [range(0, 22, 2), range(22, 44, 2), range(44, 64, 2)]
+
 
 def _fingerprints(texts):
     words = Words(byte_mapped(texts, LOWER))
@@ -66,20 +70,27 @@ def with_fingerprint(docs, text="text"):
 
 
 def grid_points(fingerprints):
-    """Rows (half, point, fingerprint): per half, the vector of ones per segment
-    as packed 2-bit counts, and its neighbours one step away."""
-    bits = F.when(F.col("half") == 0, F.col("fingerprint").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(
-        F.shiftrightunsigned("fingerprint", 32))
-    odd = F.lit(0x55555555)
-    home = F.col("bits").bitwiseAND(odd) + F.shiftrightunsigned("bits", 1).bitwiseAND(odd)
-    near = """concat(array(home), flatten(transform(sequence(0, 30, 2), s -> concat(
-        if((shiftright(home, s) & 3L) < 2, array(home + shiftleft(1L, s)), array()),
-        if((shiftright(home, s) & 3L) > 0, array(home - shiftleft(1L, s)), array())))))"""
+    """Rows (left_out, point, fingerprint): for each two of the three parts, the
+    vector of ones per segment as packed 2-bit counts, zero in the part left
+    out, and its neighbours one step away."""
+    odd = F.lit(0x5555555555555555)
+    one, other = F.col("fingerprint").bitwiseAND(odd), F.shiftrightunsigned("fingerprint", 1).bitwiseAND(odd)
+    home = F.shiftleft(one.bitwiseAND(other), 1).bitwiseOR(one.bitwiseXOR(other))
+    # a step up is 00 to 01 or 01 to 10, a step down the same backwards
+    near = """concat(array(home), flatten(transform(steps, s -> concat(
+        if((shiftright(home, s) & 3L) < 2, array(home ^ shiftleft(1L, s)), array()),
+        if((shiftright(home, s) & 3L) > 0, array(home ^ shiftleft(3L, s)), array())))))"""
+    kinds = []
+    for i in range(len(_PARTS)):
+        steps = [s for j, part in enumerate(_PARTS) if j != i for s in part]
+        mask = sum(3 << s for s in steps)
+        signed = mask - (1 << 64) if mask >> 63 else mask
+        kinds.append(F.struct(F.lit(i).alias("left_out"), F.lit(signed).alias("mask"),
+                              F.array(*map(F.lit, steps)).alias("steps")))
     return (
-        fingerprints.select("fingerprint", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
-        .select("half", "fingerprint", bits.alias("bits"))
-        .select("half", "fingerprint", home.alias("home"))
-        .select("half", "fingerprint", F.explode(F.expr(near)).alias("point"))
+        fingerprints.select("fingerprint", home.alias("counts"), F.explode(F.array(*kinds)).alias("kind"))
+        .select("fingerprint", "kind.left_out", "kind.steps", F.col("counts").bitwiseAND(F.col("kind.mask")).alias("home"))
+        .select("left_out", "fingerprint", F.explode(F.expr(near)).alias("point"))
     )
 
 
@@ -87,22 +98,22 @@ def linked_fingerprints(fingerprints, max_distance=MAX_DISTANCE):
     """Rows (fingerprint, root): the smallest fingerprint of each one's group.
 
     ``fingerprints``: distinct values, none null, as a stored table.
-    ``max_distance`` is at most 5, since one half of a pair is within 2 then.
+    ``max_distance`` is at most 4, since two parts of a pair are within 2 then.
     """
-    if not 0 <= max_distance <= 5:
-        raise ValueError("max_distance must be from 0 to 5")
+    if not 0 <= max_distance <= 4:
+        raise ValueError("max_distance must be from 0 to 4")
 
     def near(a, b):
         return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_distance
 
     points = grid_points(fingerprints)
     shared = stored(
-        points.groupBy("half", "point").agg(
+        points.groupBy("left_out", "point").agg(
             F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("first"), F.max("fingerprint").alias("last"))
         .where("n > 1"), "shared-points")
     # a point that two fingerprints share is a pair; only larger ones need their members
     pairs = shared.where((F.col("n") == 2) & near("first", "last")).select(F.col("last").alias("a"), F.col("first").alias("b"))
-    members = stored(points.join(shared.where("n > 2").drop("n", "last"), ["half", "point"]), "grid")
+    members = stored(points.join(shared.where("n > 2").drop("n", "last"), ["left_out", "point"]), "grid")
     stars = (
         members.where((F.col("first") != F.col("fingerprint")) & near("first", "fingerprint"))
         .groupBy(F.col("fingerprint").alias("a")).agg(F.min("first").alias("b"))
@@ -111,10 +122,10 @@ def linked_fingerprints(fingerprints, max_distance=MAX_DISTANCE):
     roots = components(ties)
     # then what joins different groups of the first round
     rooted = members.join(roots.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left").select(
-        "half", "point", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
-    other = rooted.select("half", "point", F.col("fingerprint").alias("other"), F.col("root").alias("other_root"))
+        "left_out", "point", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+    other = rooted.select("left_out", "point", F.col("fingerprint").alias("other"), F.col("root").alias("other_root"))
     rest = stored(
-        rooted.join(other, ["half", "point"])
+        rooted.join(other, ["left_out", "point"])
         .where((F.col("root") < F.col("other_root")) & near("fingerprint", "other"))
         .select(F.col("root").alias("a"), F.col("other_root").alias("b")).distinct(), "links")
     joined = components(rest)
