@@ -70,30 +70,45 @@ def with_fingerprint(docs, text="text"):
 
 
 def grid_points(fingerprints):
-    """Rows (left_out, point, fingerprint): for each two of the three parts, the
-    vector of ones per segment as packed 2-bit counts, zero in the part left
-    out, and its neighbours one step away."""
+    """Rows (point, fingerprint): for each two of the three parts, the vector of
+    ones per segment as packed 2-bit counts, and its neighbours one step away.
+    The part left out is zero, but for a count of 3, which no segment has, in
+    its first segment; so points of different parts differ."""
     odd = F.lit(0x5555555555555555)
     one, other = F.col("fingerprint").bitwiseAND(odd), F.shiftrightunsigned("fingerprint", 1).bitwiseAND(odd)
-    home = F.shiftleft(one.bitwiseAND(other), 1).bitwiseOR(one.bitwiseXOR(other))
+    counts = F.shiftleft(one.bitwiseAND(other), 1).bitwiseOR(one.bitwiseXOR(other))
     # a step up is 00 to 01 or 01 to 10, a step down the same backwards
     near = """concat(array(home), flatten(transform(steps, s -> concat(
         if((shiftright(home, s) & 3L) < 2, array(home ^ shiftleft(1L, s)), array()),
         if((shiftright(home, s) & 3L) > 0, array(home ^ shiftleft(3L, s)), array())))))"""
     kinds = []
-    for i in range(len(_PARTS)):
-        steps = [s for j, part in enumerate(_PARTS) if j != i for s in part]
+    for left_out in _PARTS:
+        steps = [s for part in _PARTS if part != left_out for s in part]
         mask = sum(3 << s for s in steps)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        kinds.append(F.struct(F.lit(i).alias("left_out"), F.lit(signed).alias("mask"),
-                              F.array(*map(F.lit, steps)).alias("steps")))
+        kinds.append(F.struct(F.lit(mask - (1 << 64) if mask >> 63 else mask).alias("mask"),
+                              F.lit(3 << left_out[0]).alias("mark"), F.array(*map(F.lit, steps)).alias("steps")))
+    home = F.col("counts").bitwiseAND(F.col("kind.mask")).bitwiseOR(F.col("kind.mark"))
     return (
-        fingerprints.select("fingerprint", home.alias("counts"), F.explode(F.array(*kinds)).alias("kind"))
-        .select("fingerprint", "kind.left_out", "kind.steps", F.col("counts").bitwiseAND(F.col("kind.mask")).alias("home"))
-        .select("left_out", "fingerprint", F.explode(F.expr(near)).alias("point"))
+        fingerprints.select("fingerprint", counts.alias("counts"), F.explode(F.array(*kinds)).alias("kind"))
+        .select("fingerprint", "kind.steps", home.alias("home"))
+        .select("fingerprint", F.explode(F.expr(near)).alias("point"))
     )
 
 
+def _meetings(fingerprints):
+    """The members of points that several fingerprints share, as rows (point,
+    fingerprint, n, first, last); of two that meet, only the last one.
+
+    A fingerprint becomes about 100 rows, so few of them go to a task. The
+    points are shuffled once, without a map-side combine, as almost none repeats.
+    """
+    tasks = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = grid_points(fingerprints.repartition(tasks, "fingerprint")).repartition("point")
+    shared = points.groupBy("point").agg(
+        F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("first"), F.max("fingerprint").alias("last")).where("n > 1")
+    return points.join(shared, "point").where("n > 2 OR fingerprint = last")
+
+
 def linked_fingerprints(fingerprints, max_distance=MAX_DISTANCE):
     """Rows (fingerprint, root): the smallest fingerprint of each one's group.
 
@@ -106,14 +121,10 @@ def linked_fingerprints(fingerprints, max_distance=MAX_DISTANCE):
     def near(a, b):
         return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_distance
 
-    points = grid_points(fingerprints)
-    shared = stored(
-        points.groupBy("left_out", "point").agg(
-            F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("first"), F.max("fingerprint").alias("last"))
-        .where("n > 1"), "shared-points")
+    met = stored(_meetings(fingerprints), "grid")
     # a point that two fingerprints share is a pair; only larger ones need their members
-    pairs = shared.where((F.col("n") == 2) & near("first", "last")).select(F.col("last").alias("a"), F.col("first").alias("b"))
-    members = stored(points.join(shared.where("n > 2").drop("n", "last"), ["left_out", "point"]), "grid")
+    pairs = met.where((F.col("n") == 2) & near("first", "last")).select(F.col("last").alias("a"), F.col("first").alias("b"))
+    members = met.where("n > 2")
     stars = (
         members.where((F.col("first") != F.col("fingerprint")) & near("first", "fingerprint"))
         .groupBy(F.col("fingerprint").alias("a")).agg(F.min("first").alias("b"))
@@ -122,10 +133,10 @@ def linked_fingerprints(fingerprints, max_distance=MAX_DISTANCE):
     roots = components(ties)
     # then what joins different groups of the first round
     rooted = members.join(roots.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left").select(
-        "left_out", "point", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
-    other = rooted.select("left_out", "point", F.col("fingerprint").alias("other"), F.col("root").alias("other_root"))
+        "point", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+    other = rooted.select("point", F.col("fingerprint").alias("other"), F.col("root").alias("other_root"))
     rest = stored(
-        rooted.join(other, ["left_out", "point"])
+        rooted.join(other, "point")
         .where((F.col("root") < F.col("other_root")) & near("fingerprint", "other"))
         .select(F.col("root").alias("a"), F.col("other_root").alias("b")).distinct(), "links")
     joined = components(rest)
