@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 BLACK_FRIDAY = "Black Friday"
 CHRISTMAS = "Christmas"
 CHRISTMAS_COLUMN_WORDS = ["christmas", "advent", "holiday season"]
+BLACK_COLUMN_WORD = "black"
+BLACK_COLUMN_WORDS = ["friday", "week"]
 BLACK_FRIDAY_WORDS = ["black friday", "cyber monday", "thanksgiving"]
 BLACK_FRIDAY_JOINED = "blackfriday"
 CHRISTMAS_WORDS = ["christmas", "xmas"]
@@ -27,7 +29,7 @@ def _mentions(text, words):
 def _column_season(holiday):
     """Season named by the holiday column itself, else null."""
     name = F.lower(F.coalesce(holiday, F.lit("")))
-    black = F.contains(name, F.lit("black")) & _mentions(name, ["friday", "week"])
+    black = F.contains(name, F.lit(BLACK_COLUMN_WORD)) & _mentions(name, BLACK_COLUMN_WORDS)
     return F.when(black, F.lit(BLACK_FRIDAY)).when(
         _mentions(name, CHRISTMAS_COLUMN_WORDS), F.lit(CHRISTMAS)
     )
@@ -44,6 +46,16 @@ def message_text(subject, translated):
     return F.lower(F.concat(F.coalesce(subject, empty), F.lit(" "), F.coalesce(translated, empty)))
 
 
+def type_needs_text(holiday):
+    """Whether ``holiday_type`` has to look at the text."""
+    return _column_season(holiday).isNull()
+
+
+def label_needs_text(holiday):
+    """Whether ``holiday_label`` has to look at the text."""
+    return F.coalesce(holiday, F.lit("")) == ""
+
+
 def _word_season(text, black_friday_words):
     return F.when(
         _mentions(text, HINTS),

@@ -41,7 +41,9 @@ EMOJI_CLASS = _char_class(EMOJI_RANGES)
 
 # Runs that hold no emoji, as few wide ranges: cheap to test per character, so
 # the long class above only sees what is left of a text.
-_PLAIN_RUN = "[" + _char_class("0-A8 AA-AD AF-203B 329A-1F003") + "]+"
+_PLAIN_RANGES = _char_class("0-A8 AA-AD AF-203B 329A-1F003")
+_PLAIN_RUN = f"[{_PLAIN_RANGES}]+"
+_NOT_PLAIN = f"[^{_PLAIN_RANGES}]"
 _NOT_EMOJI = f"[^{EMOJI_CLASS}]+"
 
 
@@ -60,8 +62,10 @@ def sender_domain(sender, unicode_words=True):
 def emoji_only(col):
     """The text with everything but its emoji removed."""
     is_ascii = F.length(col) == F.octet_length(col)
+    # a search builds no text, so most texts with accents or other scripts end there
+    is_plain = is_ascii | ~F.regexp_like(col, F.lit(_NOT_PLAIN))
     found = F.regexp_replace(F.regexp_replace(col, _PLAIN_RUN, ""), _NOT_EMOJI, "")
-    return F.when(is_ascii, F.lit("")).otherwise(found)
+    return F.when(is_plain, F.lit("")).otherwise(found)
 
 
 def has_emoji(col):

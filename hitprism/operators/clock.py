@@ -137,13 +137,14 @@ def calendar(hits, year=2025, deduped=False):
     ).orderBy("date")
 
 
-def calendar_by_competitor(hits, year=2025, deduped=False):
-    """Messages per day and competitor, with the competitor's share of the day."""
-    sent = messages(hits, "competitor_name", "local_created_at", deduped=deduped)
+def calendar_by_competitor(hits, year=2025, deduped=False, column="competitor_name"):
+    """Messages per day and competitor, with the competitor's share of the day;
+    or per day and value of another ``column``."""
+    sent = messages(hits, column, "local_created_at", deduped=deduped)
     counts = (
         filter_year(sent, year)
-        .where(F.col("competitor_name").isNotNull())
-        .groupBy(F.to_date("local_created_at").alias("date"), "competitor_name")
+        .where(F.col(column).isNotNull())
+        .groupBy(F.to_date("local_created_at").alias("date"), column)
         .agg(F.count(F.lit(1)).alias("n"))
     )
     whole = F.sum("n").over(Window.partitionBy("date"))

@@ -46,23 +46,38 @@ def with_offer_text(df):
     return df.withColumn("offer_text", offers.offer_text(*cols))
 
 
-def _with_season(df, column, rule):
-    """Apply a holiday rule. The text it searches is lower-cased once per row:
-    ``explode`` of one value keeps Spark from merging it into each search."""
+def _with_season(df, column, rule, needs_text):
+    """Apply a holiday rule. The text it searches is lower-cased once per row,
+    and only where the holiday column does not decide: ``explode`` of one value
+    keeps Spark from merging it into each search."""
     text = holidays.message_text(F.col("subject"), F.col("translated_content"))
-    searched = df.select("*", F.explode(F.array(text)).alias("searched_text"))
+    searched = df.select("*", F.explode(F.array(F.when(needs_text(F.col("holiday")), text))).alias("searched_text"))
     return searched.withColumn(column, rule(F.col("holiday"), F.col("searched_text"))).drop(
         "searched_text"
     )
 
 
 def with_holiday_type(df):
-    return _with_season(df, "holiday_type", holidays.holiday_type)
+    """Add the season. A ``holiday_type`` the rows have already is taken as it
+    is, so that several reports can share one search of the texts."""
+    if "holiday_type" in df.columns:
+        return df
+    return _with_season(df, "holiday_type", holidays.holiday_type, holidays.type_needs_text)
 
 
 def with_holiday_label(df):
-    """Replace holiday by its normal label."""
-    return _with_season(df, "holiday", holidays.holiday_label)
+    """Replace holiday by its normal label, or by ``holiday_label`` where the
+    rows have that already."""
+    if "holiday_label" in df.columns:
+        return df.withColumn("holiday", F.col("holiday_label")).drop("holiday_label")
+    return _with_season(df, "holiday", holidays.holiday_label, holidays.label_needs_text)
+
+
+def with_seasons(df):
+    """Add ``holiday_type`` and ``holiday_label``, for reports to share."""
+    typed = with_holiday_type(df)
+    labels = with_holiday_label(typed.withColumn("given_holiday", F.col("holiday")))
+    return labels.withColumnRenamed("holiday", "holiday_label").withColumnRenamed("given_holiday", "holiday")
 
 
 def subject_rollup(df):

@@ -93,7 +93,8 @@ def ips_vs_high_volume(hits, threshold=20, min_ips=1, deduped=False):
 def provider_matrix(hits, ip_dim):
     """Distinct IPs per competitor and provider.
 
-    ``ip_dim(from_ip, org)`` has one row per known IP; others are ``Unknown``.
+    ``ip_dim(from_ip, org)`` has one row per known IP; others are ``Unknown``. An
+    IP that is listed twice counts once for each of its providers.
     Only distinct pairs reach the join, so no IP is met more often than there
     are competitors, and Spark picks the join from the table's size.
     """
@@ -108,6 +109,45 @@ def provider_matrix(hits, ip_dim):
     )
 
 
+def _ip_number(address):
+    """An IPv4 address as a number; null for any other text."""
+    is_ip = F.regexp_like(address, F.lit(r"^\d{1,3}(\.\d{1,3}){3}$"))
+    parts = F.split(F.when(is_ip, address), r"\.")
+    number = F.lit(0).cast("long")
+    for i in range(4):
+        number = number * 256 + F.get(parts, F.lit(i)).cast("long")
+    return number
+
+
+def _masked(number, prefix):
+    """The number of the network block that holds the address."""
+    return F.call_function("shiftright", number, (F.lit(32) - prefix).cast("int"))
+
+
+def provider_matrix_by_network(hits, networks):
+    """``provider_matrix`` by network block: the longest prefix wins.
+
+    ``networks(network, prefix, org)`` has IPv4 blocks such as ``10.0.1.0`` and
+    24. An address is looked up once per prefix length, by equality of its block.
+    Of a block that is listed twice, the first name in order counts. Addresses
+    outside all blocks, or of another kind, are ``Unknown``.
+    """
+    require(hits, "from_ip")
+    pairs = hits.select("competitor_name", "from_ip").dropna().distinct()
+    lengths = F.sequence(F.lit(0), F.lit(32))
+    probes = (
+        pairs.select("from_ip").distinct()
+        .select("from_ip", _ip_number(F.col("from_ip")).alias("number"), F.explode(lengths).alias("prefix"))
+        .select("from_ip", "prefix", _masked(F.col("number"), F.col("prefix")).alias("block"))
+    )
+    blocks = (
+        networks.select(F.col("prefix").cast("int").alias("prefix"), _ip_number(F.col("network")).alias("number"), "org")
+        .groupBy("prefix", _masked(F.col("number"), F.col("prefix")).alias("block")).agg(F.min("org").alias("org"))
+    )
+    owners = probes.join(blocks, ["prefix", "block"]).groupBy("from_ip").agg(F.max_by("org", "prefix").alias("org"))
+    return provider_matrix(hits, owners)
+
+
 def provider_list(hits, ip_dim):
     """Providers of each competitor in name order, joined by ``; ``."""
     names = F.array_sort(F.collect_list("provider"))

@@ -1,12 +1,35 @@
 """The short summary: totals, leaders, and the advice drawn from them (row level)."""
 
 from functools import reduce
+from string import Formatter
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 SUMMARY, ADVICE = "summary", "recommendation"
 
+# The sentences, whole; each {column} is filled in.
+SENTENCES = {
+    "rows": ["Total messages tracked: **{value}**"],
+    "competitors": ["Total number of competitors: **{value}**"],
+    "names": ["Competitors: **{value}**"],
+    "vertical": [
+        "Total number of {vertical} competitors: **{competitors}**",
+        "{vertical} Competitors: **{names}**",
+        "Total messages in {vertical}: **{n}**",
+    ],
+    "promotion": ["Most common promotion type: **{value}** ({n} times)"],
+    "day": ["Peak activity day: **{value}** with {n} messages"],
+    "category": ["Most common content category: **{value}**"],
+    "single": ["All messages are classified as: **{classification}**"],
+}
+ADVICE_SENTENCES = {
+    "promotion": ["Consider emphasizing `{value}` in your upcoming campaigns based on volume."],
+    "day": ["Evaluate the content and timing on {value} to understand what drove high engagement."],
+    "category": ["Ensure variety in content strategy if one category like `{value}` dominates."],
+    "single": ["Review classification criteria to ensure it's capturing message diversity."],
+}
+
 
 def _names():
     return F.array_join(F.array_sort(F.collect_list("competitor_name")), ", ")
@@ -72,68 +95,34 @@ def single_classification(hits):
     return hits.agg(single.alias("is_single"), F.when(single, low).alias("classification"))
 
 
-def _lines(df, section, block, key, *texts):
-    """One row per text of each row, with keys that put the lines in order."""
-    lines = F.array(*[F.concat(*t) for t in texts])
+def _filled(sentence):
+    """The sentence as an expression over the columns it names."""
+    parts = []
+    for text, column, _, _ in Formatter().parse(sentence):
+        parts += [F.lit(text), *([F.col(column).cast("string")] if column else [])]
+    return F.concat(*parts)
+
+
+def _lines(df, section, block, sentences, key=None):
+    """One row per sentence and row, with keys that put the lines in order."""
     return df.select(
         F.lit(section).alias("section"),
         F.lit(block).alias("block"),
-        key.alias("key"),
-        F.posexplode(lines).alias("pos", "text"),
+        (F.lit("") if key is None else F.col(key)).alias("key"),
+        F.posexplode(F.array(*map(_filled, sentences))).alias("pos", "text"),
     )
 
 
 def summary_lines(hits):
     """Summary and advice as text lines, numbered from 1 in each section."""
-
-    def bold(column):
-        return [F.lit("**"), F.col(column).cast("string"), F.lit("**")]
-
-    def quoted(column):
-        return [F.lit("`"), F.col(column).cast("string"), F.lit("`")]
-
-    none = F.lit("")
-    total = totals(hits)
-    vertical, lead = vertical_totals(hits), leaders(hits)
-    single = single_classification(hits).where("is_single")
-
-    def metric(frame, name):
-        return frame.where(F.col("metric") == name)
-
-    promo, day, category = (metric(lead, m) for m in ("promotion", "day", "category"))
-    name = F.col("vertical")
+    total, lead = totals(hits), leaders(hits)
+    frames = {m: total.where(F.col("metric") == m) for m in ("rows", "competitors", "names")}
+    frames |= {m: lead.where(F.col("metric") == m) for m in _LEADERS.values()}
+    frames |= {"vertical": vertical_totals(hits), "single": single_classification(hits).where("is_single")}
     parts = [
-        _lines(metric(total, "rows"), SUMMARY, 1, none,
-               [F.lit("Total messages tracked: "), *bold("value")]),
-        _lines(metric(total, "competitors"), SUMMARY, 2, none,
-               [F.lit("Total number of competitors: "), *bold("value")]),
-        _lines(metric(total, "names"), SUMMARY, 3, none,
-               [F.lit("Competitors: "), *bold("value")]),
-        _lines(vertical, SUMMARY, 4, name,
-               [F.lit("Total number of "), name, F.lit(" competitors: "), *bold("competitors")],
-               [name, F.lit(" Competitors: "), *bold("names")],
-               [F.lit("Total messages in "), name, F.lit(": "), *bold("n")]),
-        _lines(promo, SUMMARY, 5, none,
-               [F.lit("Most common promotion type: "), *bold("value"),
-                F.lit(" ("), F.col("n").cast("string"), F.lit(" times)")]),
-        _lines(day, SUMMARY, 6, none,
-               [F.lit("Peak activity day: "), *bold("value"),
-                F.lit(" with "), F.col("n").cast("string"), F.lit(" messages")]),
-        _lines(category, SUMMARY, 7, none,
-               [F.lit("Most common content category: "), *bold("value")]),
-        _lines(single, SUMMARY, 8, none,
-               [F.lit("All messages are classified as: "), *bold("classification")]),
-        _lines(promo, ADVICE, 1, none,
-               [F.lit("Consider emphasizing "), *quoted("value"),
-                F.lit(" in your upcoming campaigns based on volume.")]),
-        _lines(day, ADVICE, 2, none,
-               [F.lit("Evaluate the content and timing on "), F.col("value"),
-                F.lit(" to understand what drove high engagement.")]),
-        _lines(category, ADVICE, 3, none,
-               [F.lit("Ensure variety in content strategy if one category like "),
-                *quoted("value"), F.lit(" dominates.")]),
-        _lines(single, ADVICE, 4, none,
-               [F.lit("Review classification criteria to ensure it's capturing message diversity.")]),
+        _lines(frames[about], section, block, sentences, "vertical" if about == "vertical" else None)
+        for section, table in ((SUMMARY, SENTENCES), (ADVICE, ADVICE_SENTENCES))
+        for block, (about, sentences) in enumerate(table.items(), 1)
     ]
     lines = reduce(lambda a, b: a.unionByName(b), parts)
     in_order = Window.partitionBy("section").orderBy("block", "key", "pos")

@@ -42,7 +42,7 @@ def holiday_timeline(hits):
         "type",
         "subject",
         "holiday",
-        "translated_content",
+        *[c for c in ("translated_content", "holiday_label") if c in hits.columns],
     )
     # label first: it lets the message text go before rows move
     rows = with_message_kind(with_holiday_label(rows).drop("translated_content"))

@@ -31,7 +31,7 @@ from hitprism.operators.wide import cross_tab_label, widen
 from hitprism.plans.shared import shared_folder
 from hitprism.schema import HIT_ID
 from hitprism.sources.hits import parse_times, write_report
-from hitprism.sources.star import hits_from_star, ip_dim
+from hitprism.sources.star import hits_from_star, ip_dim, networks
 
 # The tables' orders date from 1995 to 2001.
 YEAR = 1998
@@ -177,6 +177,7 @@ OPERATORS = {
     "R16": clock.hour_heatmap_excluding,
     "R17": lambda h: clock.calendar(h, YEAR),
     "R18": lambda h: clock.calendar_by_competitor(h, YEAR),
+    "R18_by_channel": lambda h: clock.calendar_by_competitor(h, YEAR, column="channel"),
     "R19": clock.top_times,
     "R19_rows": clock.message_times,
     "R20": clock.time_distribution,
@@ -194,6 +195,7 @@ OPERATORS = {
     "R26_wide": lambda h: widen(
         sender.provider_matrix(h, ip_dim(h)), "competitor_name", "provider", "n_ips"
     ),
+    "R26_cidr": lambda h: sender.provider_matrix_by_network(h, networks(h)),
     "R27": lambda h: sender.provider_list(h, ip_dim(h)),
     # content
     "R28": content.subject_length,

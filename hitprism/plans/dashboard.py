@@ -10,6 +10,7 @@ from hitprism.operators import (
     filters,
     holiday,
     offers,
+    prepare,
     sender,
     summary,
     timeline,
@@ -71,17 +72,21 @@ def select_hits(hits, selection):
 
 
 def reports(hits, selection=None, year=2025, ip_dim=None, more=False, share=True):
-    """The reports by name, as lazy frames.
+    """The reports by name, as frames.
 
-    With ``share`` the deduplicated messages are written once to the shared
-    folder and all message-level reports read that table; so are the selected
-    rows if an account period had to be joined for them. ``more`` adds the
-    reports that are not part of the standard set.
+    With ``share`` the selected rows are written once to the shared folder, what
+    is looked for in long texts as columns instead of the texts, and so are the
+    deduplicated messages; all reports read these tables. Reports that number
+    their whole result sort it while they are built. ``more`` adds the reports
+    that are not part of the standard set.
     """
     selection = selection or Selection()
     rows = select_hits(hits, selection)
-    if share and selection.has_period:
-        rows = shared_table(rows, "rows")
+    if share:
+        rows = content.with_text_features(rows)
+        if more:
+            rows = prepare.with_seasons(rows)
+        rows = shared_table(rows.drop("content", "translated_content"), "rows")
     msgs = first_rows(content.with_text_features(rows), *MESSAGE_COLUMNS)
     if share:
         msgs = shared_table(msgs, "messages")

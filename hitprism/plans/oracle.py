@@ -208,6 +208,23 @@ _PROVIDERS = (
     "count(DISTINCT hits.from_ip) AS n_ips FROM hits JOIN ip_dim ON ip_dim.from_ip = hits.from_ip "
     "WHERE competitor_name IS NOT NULL GROUP BY 1, 2"
 )
+_IP_NUMBER = " + ".join(
+    f"CAST(split_part({{0}}, '.', {i}) AS BIGINT) * {256 ** (4 - i)}" for i in range(1, 5))
+_NETWORKS = (
+    "SELECT DISTINCT concat('10.0.', split_part(from_ip, '.', 3), '.0') AS network, 24 AS prefix, "
+    "'AS400 Delta Net' AS org FROM hits WHERE from_ip IS NOT NULL AND split_part(from_ip, '.', 3) <> '3' "
+    "UNION ALL SELECT from_ip, CASE WHEN org LIKE 'AS100%' THEN 31 ELSE 32 END, org FROM ip_dim "
+    "WHERE split_part(from_ip, '.', 4) IN ('0', '5')"
+)
+_CIDR_PROVIDERS = (
+    "SELECT competitor_name, coalesce(org, 'Unknown') AS provider, count(DISTINCT from_ip) AS n_ips FROM ("
+    "SELECT DISTINCT ON (competitor_name, from_ip) competitor_name, from_ip, org "
+    "FROM (SELECT DISTINCT competitor_name, from_ip FROM hits "
+    "WHERE competitor_name IS NOT NULL AND from_ip IS NOT NULL) AS p "
+    f"LEFT JOIN networks ON ({_IP_NUMBER.format('from_ip')}) // CAST(pow(2, 32 - prefix) AS BIGINT) "
+    f"= ({_IP_NUMBER.format('network')}) // CAST(pow(2, 32 - prefix) AS BIGINT) "
+    "ORDER BY competitor_name, from_ip, prefix DESC NULLS LAST) AS longest GROUP BY 1, 2"
+)
 _EARLY = "epoch_us(local_created_at) - epoch_us(tracking_start_at) <= 172800000000"
 
 
@@ -533,6 +550,13 @@ def oracle_sql():
             "(SELECT CAST(local_created_at AS DATE) AS day, competitor_name, count(*) AS n "
             f"FROM msgs WHERE year(local_created_at) = {YEAR} AND competitor_name IS NOT NULL "
             "GROUP BY 1, 2) AS c"),
+        "R18_by_channel": _with(
+            "SELECT CAST(day AS VARCHAR) AS date, channel, n, "
+            "CAST(sum(n) OVER (PARTITION BY day) AS BIGINT) AS day_total, "
+            "CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY day) AS share FROM "
+            "(SELECT CAST(local_created_at AS DATE) AS day, channel, count(*) AS n "
+            f"FROM msgs WHERE year(local_created_at) = {YEAR} AND channel IS NOT NULL "
+            "GROUP BY 1, 2) AS c"),
         "R19": _with(
             f"SELECT t.tracking_id, t.competitor_name, {_clock('t.med')} AS median_time, "
             f"{_clock('t.avg_')} AS mean_time, b.competitor_rows FROM "
@@ -574,6 +598,7 @@ def oracle_sql():
         "R26": _with(_PROVIDERS, ip_dim=_IP_DIM),
         "R26_wide": _with(_wide(_PROVIDERS, "competitor_name", "provider", "n_ips", PROVIDERS),
                           ip_dim=_IP_DIM),
+        "R26_cidr": _with(_CIDR_PROVIDERS, ip_dim=_IP_DIM, networks=_NETWORKS),
         "R27": _with(
             "SELECT competitor_name, string_agg(provider, '; ' ORDER BY provider) AS providers "
             f"FROM ({_PROVIDERS}) AS p GROUP BY 1", ip_dim=_IP_DIM),

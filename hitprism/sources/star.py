@@ -143,3 +143,14 @@ def ip_dim(hits):
     )
     known = hits.select("from_ip", org.alias("org")).where(F.col("org").isNotNull())
     return known.distinct()
+
+
+def networks(hits):
+    """Blocks of the IPs seen: most wide ones, and narrow ones inside them."""
+    part = [F.split_part("from_ip", F.lit("."), F.lit(i)) for i in (1, 2, 3, 4)]
+    wide = hits.where(F.col("from_ip").isNotNull() & (part[2] != "3")).select(
+        F.concat_ws(".", *part[:3], F.lit("0")).alias("network"), F.lit(24).alias("prefix"),
+        F.lit("AS400 Delta Net").alias("org")).distinct()
+    narrow = ip_dim(hits).where(part[3].isin("0", "5")).select(
+        F.col("from_ip").alias("network"), F.when(part[3] == "0", 31).otherwise(32).alias("prefix"), "org")
+    return wide.union(narrow)

@@ -10,6 +10,7 @@ from hitprism.operators import (
     content,
     holiday,
     offers,
+    prepare,
     sender,
     summary,
     timeline,
@@ -305,3 +306,37 @@ def test_shares_of_a_competitor_sum_to_a_hundred(star_hits):
 def test_heatmap_counts_every_message(star_hits):
     total = clock.hour_heatmap(star_hits).agg(F.sum("n")).first()[0]
     assert total == star_hits.select("tracking_hit_id").distinct().count()
+
+
+def test_wide_form_over_the_limit_points_to_the_tall_one(spark):
+    tall = spark.range(4).selectExpr("'a' AS k", "concat('c', id) AS c", "1 AS n")
+    spark.conf.set("spark.sql.pivotMaxValues", "3")
+    try:
+        with pytest.raises(ValueError, match="tall"):
+            widen(tall, "k", "c", "n")
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+
+
+def test_longest_network_wins(spark, hits):
+    sent = hits(*[{"tracking_hit_id": i, "competitor_name": "A", "from_ip": ip}
+                  for i, ip in enumerate(["10.1.2.3", "10.1.9.9", "11.0.0.1", "fe80::1", "10.1.2.3", None])])
+    blocks = spark.createDataFrame([("10.0.0.0", 8, "wide"), ("10.1.2.0", 24, "narrow"), ("10.1.2.0", 24, "other")],
+                                   "network string, prefix int, org string")
+    got = sender.provider_matrix_by_network(sent, blocks)
+    assert rows(got, "provider", "n_ips") == [("Unknown", 2), ("narrow", 1), ("wide", 1)]
+
+
+def test_seasons_can_be_shared(hits):
+    given = hits(
+        {"tracking_hit_id": 1, "holiday": "Advent", "subject": "black friday"},
+        {"tracking_hit_id": 2, "holiday": "Anniversary", "translated_content": "merry xmas"},
+        {"tracking_hit_id": 3, "subject": "cyber monday"}, {"tracking_hit_id": 4, "subject": "snow ❄"},
+        {"tracking_hit_id": 5})
+    shared = prepare.with_seasons(given)
+    columns = ["tracking_hit_id", "holiday_type", "holiday_label"]
+    assert rows(shared, *columns) == [
+        (1, "Christmas", "Christmas"), (2, "Christmas", "Anniversary"), (3, "Black Friday", "Black Friday"),
+        (4, "Christmas", ""), (5, None, "")]
+    assert rows(prepare.with_holiday_label(shared), "tracking_hit_id", "holiday") == rows(
+        prepare.with_holiday_label(given), "tracking_hit_id", "holiday")
