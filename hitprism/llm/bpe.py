@@ -8,6 +8,8 @@ batch once, which bounds memory for texts of any length.
 """
 
 import base64
+import json
+import os
 import re
 from functools import lru_cache
 from itertools import chain
@@ -19,17 +21,25 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hitprism.llm.batches import map_batches, map_partitions, text_slices
+from hitprism.llm.batches import LOWER, map_batches, map_partitions, text_slices
 
 SLICE_BYTES = 4 << 20
-#: Pieces remembered by a task, and how many go to the library at once.
-MOST_PIECES, AT_ONCE = 150_000, 10_000
+#: Pieces remembered by a task (words without space are shorter), and how many
+#: go to the library at once.
+MOST_PIECES, MOST_WORDS, AT_ONCE = 150_000, 400_000, 10_000
 
 #: Pieces end before a space that no white space precedes: no match of a
 #: pattern of this kind goes over that place, nor looks beyond it.
 _PIECE_END = re.compile(r"(?<=\S)(?= )")
 _SPACE_BEFORE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
+# ASCII white space as a space; 1 for ASCII letters, 2 for punctuation but "'".
+_TO_SPACE = np.arange(256, dtype=np.uint8)
+_TO_SPACE[9:14] = 32
+_KIND = np.zeros(256, np.uint8)
+_KIND[[b for b in range(128) if chr(b).isalpha()]] = 1
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 2
+
 
 @lru_cache(1)
 def byte_characters():
@@ -74,19 +84,30 @@ def byte_tokenizer(ranks, pattern):
     return tokenizer.to_str()
 
 
+def _lowers(tokenizer_json):
+    """Whether a tokenizer makes small letters of capitals before all else."""
+    first = json.loads(tokenizer_json)["normalizer"] or {}
+    return any(n["type"] == "Lowercase" for n in first.get("normalizers", [first]) if n)
+
+
 class Encoder:
     """Encodes Arrow arrays of texts; keeps the ids of pieces it has seen.
 
     ``spaces``: whether the vocabulary has tokens with white space. If not, the
-    tokenizer drops it and pieces may end at any space.
+    tokenizer drops it and pieces may end at any ASCII white space. ``apart``:
+    no token holds an ASCII letter beside ASCII punctuation other than ``'``, so
+    pieces may end there too; only where ``spaces`` is false.
     """
 
-    def __init__(self, tokenizer_json, spaces=True):
+    def __init__(self, tokenizer_json, spaces=True, apart=False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.spaces = spaces
+        self.spaces, self.apart = spaces, apart
+        self.most = MOST_PIECES if spaces else MOST_WORDS
+        self.table = LOWER[_TO_SPACE] if _lowers(tokenizer_json) else _TO_SPACE
         self.clear()
 
     def clear(self):
@@ -105,7 +126,10 @@ class Encoder:
         self.flat, self.ends = np.concatenate(flat), np.concatenate(ends)
 
     def _pieces(self, texts):
-        """A list array: the pieces of each text, which joined give the text."""
+        """The pieces of all texts, and how many each text has; joined, those of
+        a text have the same ids as the text."""
+        if not self.spaces:
+            texts = self._spaced(texts)
         lists = pc.split_pattern(texts, " ")
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         values = lists.flatten()
@@ -119,6 +143,22 @@ class Encoder:
             values, sizes = self._with_odd(texts, odd, values, sizes)
         return values, sizes
 
+    def _spaced(self, texts):
+        """The texts with a plain space wherever a piece may end."""
+        _, offsets, data = texts.buffers()
+        if data is None:
+            return texts
+        wide = pa.types.is_large_string(texts.type)
+        ends = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        text = self.table[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]]
+        ends = ends - ends[0]
+        if self.apart:
+            kind = _KIND[text]
+            at = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1
+            text, ends = np.insert(text, at, 32), ends + np.searchsorted(at, ends)
+        return pa.Array.from_buffers(
+            pa.large_string(), len(texts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(text)])
+
     @staticmethod
     def _with_odd(texts, odd, values, sizes):
         """Cut texts with white space before a space by the rule itself."""
@@ -135,7 +175,7 @@ class Encoder:
         values, sizes = self._pieces(texts.fill_null(""))
         found = values.dictionary_encode()
         unique = found.dictionary.to_pylist()
-        if len(self.slots) > MOST_PIECES:
+        if len(self.slots) > self.most:
             self.clear()
         slots = self.slots
         self._learn([p for p in unique if p not in slots])
@@ -150,8 +190,8 @@ class Encoder:
 
 
 @lru_cache(2)
-def _encoder(tokenizer_json, spaces):
-    return Encoder(tokenizer_json, spaces)
+def _encoder(tokenizer_json, spaces, apart=False):
+    return Encoder(tokenizer_json, spaces, apart)
 
 
 @lru_cache(2)

@@ -7,7 +7,7 @@ frame run side by side as numpy lanes: one step codes one id of every block.
 Model of a block, integers only, so that all machines agree:
 
 - order 0: how often each range of 256 ids has come up, ids within a range
-  alike;
+  alike; tallied after 1, 2, 4, ... ids and from ``TALLY`` on after so many;
 - order 1 and order 2: the id that last followed the same one or two ids
   (hashed slots). Each of the two guesses adds weight to its id; the weight is
   the odds with which guesses of that order and confidence came true so far.
@@ -26,64 +26,83 @@ RANGES, RANGE_IDS = 256, 256
 SLOTS = (512, 1024)
 LEVELS = 4
 STEP, START = 24, 1
+TALLY = 32
 MOST_ODDS = 16 * 64
 _U = np.uint64
 _WORD, _MASK = _U(32), _U(0xFFFFFFFF)
-_SIXTEEN = np.arange(16, dtype=np.int32)
+
+
+def _reached(bounds, values):
+    """Per row of 16 rising bounds, the number of the last one reached."""
+    reached = (bounds <= values.astype(np.int32)[:, None]).view(_U)
+    ones = np.bitwise_count(reached)  # of 8 truth values each
+    return (ones[:, 0] + ones[:, 1]).astype(np.int64) - 1
 
 
 class _Model:
-    """The model of each lane; all values fit 32 bits (see ``BLOCK``, ``STEP``)."""
+    """The model of each lane; arrays for orders 1 and 2 have a row for each.
+
+    Sums of weights fit 32 bits (see ``BLOCK``, ``STEP``).
+    """
 
     def __init__(self, lanes):
-        lane = np.arange(lanes, dtype=np.int32)
+        lane = np.arange(lanes)
         self.lanes, self.of_16, self.of_256 = lanes, lane * 16, lane * RANGES
-        # counts of ranges; and counts before a range, in two steps of 16
         self.count = np.full(lanes * RANGES, START, np.int32)
-        self.before_16 = np.tile(_SIXTEEN * (16 * START), (lanes, 1))
-        self.before_1 = np.tile(_SIXTEEN * START, (lanes * 16, 1))
-        self.base = START * RANGES * RANGE_IDS
+        self.recent, self.step = [], 0
+        self._tally()
         # what last followed a context: 4 * id + confidence, below 0 if nothing did
-        self.guess = [np.full(lanes * n, -1, np.int32) for n in SLOTS]
-        self.of_slot = [lane * n for n in SLOTS]
-        self.hits = [np.full(lanes * LEVELS, 1, np.int32) for _ in SLOTS]
-        self.misses = [np.full(lanes * LEVELS, 2, np.int32) for _ in SLOTS]
-        self.of_level = lane * LEVELS
-        self.last = [np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)]
+        self.guess = np.full(lanes * sum(SLOTS), -1, np.int32)
+        self.of_slot = np.stack([lane * SLOTS[0], lanes * SLOTS[0] + lane * SLOTS[1]])
+        self.slot_mask = np.array(SLOTS)[:, None] - 1
+        # how often a guess came true (times 65,536) and how often it did not
+        self.record = np.full(2 * lanes * LEVELS, (1 << 16) + 2, np.int32)
+        self.of_level = np.arange(2 * lanes).reshape(2, lanes) * LEVELS
+        self.keys = np.zeros((2, lanes), np.int64)
+        self.last = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
+
+    def _tally(self):
+        """Count the ids since the last tally; sum the counts before each range."""
+        if self.recent:
+            places = (np.stack(self.recent) >> 8) + self.of_256
+            self.count += (np.bincount(places.ravel(), minlength=len(self.count)) * STEP).astype(np.int32)
+            self.recent = []
+        count = self.count.reshape(self.lanes, RANGES)
+        before = np.cumsum(count, axis=1, dtype=np.int32) - count
+        self.before, self.before_1 = before.ravel(), before.reshape(self.lanes * 16, 16)
+        self.before_16 = np.ascontiguousarray(before[:, ::16])
+        self.base = (START * RANGES + STEP * self.step) * RANGE_IDS
 
     def predict(self):
         """Guesses and their weights; returns the sum of all weights."""
         one, two = self.last
-        keys = ((one * 405) >> 4, (one * 405 ^ two * 527) >> 4)
-        self.slot, self.level, self.ids, self.weight = [], [], [], []
-        for k in (0, 1):
-            slot = self.of_slot[k] + (keys[k] & (SLOTS[k] - 1))
-            guess = self.guess[k].take(slot)
-            level = self.of_level + (guess & (LEVELS - 1))
-            odds = self.hits[k].take(level) * 16 // self.misses[k].take(level)
-            odds = np.minimum(odds, MOST_ODDS) * (guess >= 0)
-            self.slot.append(slot)
-            self.level.append(level)
-            self.ids.append(guess >> 2)
-            self.weight.append(odds * np.int32(self.base >> 4))
+        hashed = one * 405
+        self.keys[0] = hashed >> 4
+        self.keys[1] = (hashed ^ two * 527) >> 4
+        self.slot = (self.keys & self.slot_mask) + self.of_slot
+        guess = self.guess.take(self.slot)
+        self.level = self.of_level + (guess & (LEVELS - 1))
+        self.was = self.record.take(self.level)
+        odds = (self.was >> 16) * 16 // (self.was & 0xFFFF)
+        odds = np.minimum(odds, MOST_ODDS) * (guess >= 0)
+        self.ids = guess >> 2
+        weight = odds.astype(np.int64) * (self.base >> 4)
         swap = self.ids[0] > self.ids[1]
         self.low_id, self.high_id = np.minimum(*self.ids), np.maximum(*self.ids)
-        self.low_w = np.where(swap, self.weight[1], self.weight[0])
-        self.high_w = np.where(swap, self.weight[0], self.weight[1])
-        return self.low_w + self.high_w + np.int32(self.base)
+        self.low_w = np.where(swap, weight[1], weight[0])
+        self.high_w = np.where(swap, weight[0], weight[1])
+        return self.low_w + self.high_w + self.base
 
     def _plain(self, ids):
         """Start and size of the ids' intervals by order 0 alone."""
         at = self.of_256 + (ids >> 8)
         count = self.count.take(at)
-        before = self.before_16.ravel().take(self.of_16 + (ids >> 12)) + self.before_1.ravel().take(at)
-        return (before << 8) + (ids & 255) * count, count
+        return (self.before.take(at).astype(np.int64) << 8) + (ids & 255) * count, count
 
     def interval(self, ids):
         start, size = self._plain(ids)
         start += self.low_w * (ids > self.low_id) + self.high_w * (ids > self.high_id)
-        size += self.low_w * (ids == self.low_id) + self.high_w * (ids == self.high_id)
-        return start, size
+        return start, size + self.low_w * (ids == self.low_id) + self.high_w * (ids == self.high_id)
 
     def find(self, at):
         """The ids whose intervals hold the places ``at``; start and size of these."""
@@ -99,33 +118,25 @@ class _Model:
         plain = at - self.low_w * (at >= low_start) - self.high_w * (at >= high_start)
         plain = np.maximum(plain, 0)
         unit = plain >> 8
-        top = (self.before_16 <= unit[:, None]).sum(axis=1, dtype=np.int32) - 1
-        row = self.of_16 + top
-        unit -= self.before_16.ravel().take(row)
-        mid = (self.before_1.take(row, axis=0) <= unit[:, None]).sum(axis=1, dtype=np.int32) - 1
-        where = (row << 4) + mid
+        row = self.of_16 + _reached(self.before_16, unit)
+        where = (row << 4) + _reached(self.before_1.take(row, axis=0), unit)
         count = self.count.take(where)
-        rest = ((unit - self.before_1.ravel().take(where)) << 8) + (plain & 255)
+        rest = ((unit - self.before.take(where)) << 8) + (plain & 255)
         inner = rest // count
-        ids = np.where(is_low, low, np.where(is_high, high, (top << 12) + (mid << 8) + inner))
+        ids = np.where(is_low, low, np.where(is_high, high, ((where - self.of_256) << 8) + inner))
         start = np.where(is_low, low_start, np.where(is_high, high_start, at - rest + inner * count))
         size = np.where(is_low, low_size, np.where(is_high, high_size, count))
         return ids, start, size
 
     def update(self, ids):
-        top, mid = ids >> 12, (ids >> 8) & 15
-        row = self.of_16 + top
-        self.before_16 += (_SIXTEEN > top[:, None]) * np.int32(STEP)
-        self.before_1[row] += (_SIXTEEN > mid[:, None]) * np.int32(STEP)
-        self.count[self.of_256 + (ids >> 8)] += STEP
-        self.base += STEP * RANGE_IDS
-        for k in (0, 1):
-            true = self.ids[k] == ids
-            level = self.level[k]
-            self.hits[k][level] += true
-            self.misses[k][level] += ~true & (self.ids[k] >= 0)
-            sure = np.minimum((level & (LEVELS - 1)) + 1, LEVELS - 1) * true
-            self.guess[k][self.slot[k]] = (ids << 2) + sure
+        self.recent.append(ids)
+        self.step += 1
+        if self.step % TALLY == 0 or (self.step < TALLY and self.step & (self.step - 1) == 0):
+            self._tally()
+        true = self.ids == ids
+        self.record[self.level] = self.was + np.where(true, 1 << 16, self.ids >= 0)
+        sure = np.minimum((self.level & (LEVELS - 1)) + 1, LEVELS - 1) * true
+        self.guess[self.slot] = (ids << 2) + sure
         self.last = [ids, self.last[0]]
 
 
@@ -143,9 +154,9 @@ def encode_blocks(ids, length):
     model = _Model(lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
     words, n_words = np.zeros((lanes, steps + 2), np.uint32), np.zeros(lanes, np.int64)
-    columns, ends = np.ascontiguousarray(ids.T, np.int32), set(length.tolist())
+    columns, ends = np.ascontiguousarray(ids.T, np.int64), set(length.tolist())
     for t in range(int(length.max(initial=0))):
-        part = span // model.predict().astype(_U)
+        part = span // model.predict().view(_U)
         start, size = model.interval(columns[t])
         low += part * start.astype(_U)
         span = part * size.astype(_U)
@@ -175,8 +186,8 @@ def decode_blocks(words, length):
     ids = np.zeros((int(length.max(initial=0)), lanes), np.int32)
     for t in range(len(ids)):
         total = model.predict()
-        part = span // total.astype(_U)
-        at = np.minimum((code - low) // part, (total - 1).astype(_U)).astype(np.int32)
+        part = span // total.view(_U)
+        at = np.minimum((code - low) // part, (total - 1).view(_U)).view(np.int64)
         now, start, size = model.find(at)
         ids[t] = now
         low += part * start.astype(_U)

@@ -67,7 +67,7 @@ def token_id_output(spark, folder):
     path = f"{shared_folder(spark)}/tables/token-file-{uuid.uuid4().hex}"
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         tokenizer = file.read()
-    tokenfile.write_token_file(_table(spark, folder, "documents"), path, tokenizer, end_id=END_ID)
+    tokenfile.write_token_file(_table(spark, folder, "documents"), path, tokenizer, end_id=END_ID, apart=True)
     return tokenfile.read_token_file(spark, path, keep_ids=False).drop("ids")
 
 

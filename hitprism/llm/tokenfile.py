@@ -65,11 +65,11 @@ class _Frames:
         return row
 
 
-def write_token_file(docs, path, tokenizer_json, end_id=None, doc_id="doc_id", text="text"):
+def write_token_file(docs, path, tokenizer_json, end_id=None, doc_id="doc_id", text="text", apart=False):
     """Encode whole texts and write them; ``end_id`` is put after each document.
 
     ``tokenizer_json``: a tokenizer of the tokenizers library that drops white
-    space and has ids below 65,536. A null text counts as empty; documents with
+    space and has ids below 65,536; ``apart`` as in ``bpe.Encoder``. A null text counts as empty; documents with
     equal or null ids stay apart. An empty table gives a file without frames.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
@@ -77,7 +77,7 @@ def write_token_file(docs, path, tokenizer_json, end_id=None, doc_id="doc_id", t
                         ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
 
     def run(batches):
-        encoder = _encoder(shared.value, False)
+        encoder = _encoder(shared.value, False, apart)
         frames = _Frames(TaskContext.get().partitionId())
         for batch in batches:
             for rows in text_slices(batch, "text", SLICE_BYTES):
