@@ -141,11 +141,13 @@ class _Model:
 
 
 def _settle(low, span):
-    """Lanes that move on by a word, with ranges cut at word boundaries."""
-    same = (low ^ (low + span - _U(1))) >> _WORD == 0
-    cut = ~same & (span < _U(1 << 32))
-    span = np.where(cut, (~low + _U(1)) & _MASK, span)
-    return same | cut, span
+    """Lanes that move on by a word, with ranges cut at word boundaries.
+
+    A range of one whole word stays: moved on, its size would need 65 bits.
+    """
+    move = span < _U(1 << 32)
+    cut = move & ((low ^ (low + span - _U(1))) >> _WORD != 0)
+    return move, np.where(cut, (~low + _U(1)) & _MASK, span)
 
 
 def encode_blocks(ids, length):

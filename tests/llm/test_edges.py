@@ -182,6 +182,34 @@ def test_coder_round_trip_and_damage(n):
                 coder.unpack(data[:-4])
 
 
+def test_coder_ranges_at_word_boundaries():
+    import numpy as np
+
+    low = np.array([0xD826B76800000000, 0xD826B76800000000, 0xD826B767FFFFFFFF, 0], np.uint64)
+    span = np.array([1 << 32, (1 << 32) - 1, 5, (1 << 64) - 1], np.uint64)
+    move, left = coder._settle(low, span)
+    assert move.tolist() == [False, True, True, False]
+    assert left.tolist() == [1 << 32, (1 << 32) - 1, 1, (1 << 64) - 1]
+
+
+def test_words_end_at_spaces_and_punctuation():
+    import random
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    text = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    library = Tokenizer.from_str(text)
+    library.encode_special_tokens = True
+    rnd = random.Random(2)
+    parts = ["a", "B", "é", "Σ", "'s", "'", "'LL", ".", ",", " ", "\n", "\x0b", "\u0301", "\u0338", ">", "<|endoftext|>", "9", "\u3000", "K", "_", "\x00"]
+    texts = ["", *("".join(rnd.choices(parts, k=rnd.randint(0, 25))) for _ in range(3000))]
+    ids, sizes = bpe.Encoder(text, spaces=False, apart=True)(pa.array([None, *texts]).slice(1))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_substrings(docs, nothing):
     want = substrings([(i, t) for i, t, _ in ROWS])
     got = {r.doc_id: (r.n_words, r.n_removed, sha(r.kept_text)) for r in repeats.remove_repeats(clashing(docs, "n_words", "_x")).collect()}
