@@ -5,12 +5,13 @@ word) of level q is in the filter with each level 1..q; a reader probes level 1,
 2, ... until a probe fails and knows the count up to a factor of two. A false
 positive can raise a level, nothing lowers it.
 
-The filter has one segment per shard. Tasks count bigrams and words in batches
-and pass them on as packed 32-bit hashes within a shard; each shard, one group
-of bounded expected size, builds its own segment. Segments together are at most
-``MOST_BYTES`` and are broadcast. There are ``BITS`` bits per entry up to that
-size; for a corpus beyond it fewer, so that false positives grow while all
-bigrams still go in.
+The filter is a table with one segment per shard; a shard has a bounded number of
+tokens, so there are more segments, of the same expected size and with the same
+``BITS`` bits per entry, for a larger corpus. Texts are cut into words once, in
+slices kept as a table. A slice sends its distinct bigrams and words, as packed
+32-bit hashes within a shard, to their segments: first with counts, to build them,
+then to be answered with levels, which go back to the slice. No task or driver
+holds more than one segment.
 
 Word counts are exact at any size: the most frequent words, at most ``HEAD``, are
 broadcast as hashes and counts; a document's other words join their counts.
@@ -30,27 +31,54 @@ from hitprism.llm.stored import stored
 
 MODULUS, HELD_OUT = 7, 2
 HEAD = 1 << 19
-BITS, PROBES, MOST_BYTES = 10, 4, 64 << 20
+BITS, PROBES = 10, 4
 #: Tokens per shard.
 SHARD_TOKENS = 1 << 21
 #: Weight of the bigram's share; the rest is the word's own probability.
 WEIGHT = 0.1
-_SLICE_BYTES = 6 << 20
+# small, as a Parquet writer holds at least 100 rows
+_SLICE_BYTES = 3 << 19
 _END = np.uint64(xxhash.xxh3_64_intdigest(b"", 7))
 
 
-class _Tokens:
-    """Tokens of a slice of texts as 64-bit hashes: words, then one end each."""
+_SLICES = "slice long, doc_ids array<long>, held array<boolean>, n array<int>, words binary, codes binary"
+
+
+def token_slices(docs):
+    """Rows of several texts each: ids, whether held out, and token counts per text;
+    the hashes of all words (8 bytes each) and each token's place there (4 bytes).
+    ``slice`` + i is a number of its own for the i-th text."""
+
+    def run(batches):
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for rows in text_slices(batch, "text", _SLICE_BYTES):
+                words = Words(byte_mapped(rows.column("text"), LOWER))
+                unique = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.unique.to_pylist()), np.uint64, len(words.unique))
+                codes = np.insert(words.codes, words.ends, len(unique)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row]), *(pa.array([x], kind) for x, kind in (
+                        (rows.column("doc_id").to_pylist(), pa.list_(pa.int64())), (held_out(rows.column("doc_id")).tolist(), pa.list_(pa.bool_())),
+                        ((words.n + 1).tolist(), pa.list_(pa.int32())), (np.append(unique, _END).tobytes(), pa.binary()), (codes.tobytes(), pa.binary())))],
+                    names=["slice", "doc_ids", "held", "n", "words", "codes"])
+                row += rows.num_rows
+
+    return map_partitions(docs, run, _SLICES)
 
-    def __init__(self, texts):
-        words = Words(byte_mapped(texts, LOWER))
-        unique = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.unique.to_pylist()), np.uint64, len(words.unique))
-        self.n = words.n + 1
-        self.values = np.insert(unique[words.codes], words.ends, _END)
+
+class _Tokens:
+    """Tokens of a slice as 64-bit hashes: each text's words, then one end."""
+
+    def __init__(self, rows, at=0):
+        self.slice = rows.column("slice")[at].as_py()
+        self.held = np.array(rows.column("held")[at].as_py(), bool)
+        self.n = np.array(rows.column("n")[at].as_py(), np.int64)
+        words, codes = (np.frombuffer(rows.column(c)[at].as_py(), kind) for c, kind in (("words", np.uint64), ("codes", np.int32)))
+        self.values = words[codes]
         self.ends = np.cumsum(self.n)
         self.starts = self.ends - self.n
         before = np.roll(self.values, 1)
-        before[self.starts[: len(self.n)]] = _END
+        before[self.starts] = _END
         self.pairs = mixed(before * np.uint64(0x9E3779B97F4A7C15) ^ self.values)
         self.singles = mixed(self.values ^ np.uint64(0x5851F42D4C957F2D))
         self.before = before
@@ -58,6 +86,9 @@ class _Tokens:
     def text_of_token(self):
         return np.repeat(np.arange(len(self.n)), self.n)
 
+    def training(self):
+        return np.repeat(~self.held, self.n)
+
 
 def held_out(doc_ids):
     """Of ids as an Arrow array: whether the CRC-32 of the id as text has the
@@ -65,94 +96,115 @@ def held_out(doc_ids):
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % MODULUS == HELD_OUT for i in doc_ids.to_pylist()], bool)
 
 
-def _training_texts(rows, doc_id, text):
-    return rows.column(text).filter(pa.array(~held_out(rows.column(doc_id))))
-
-
-def word_counts(docs, doc_id="doc_id", text="text"):
+def word_counts(slices):
     """Rows (word, n): hash and count of each training token."""
 
     def run(batch):
-        for rows in text_slices(batch, text, _SLICE_BYTES):
-            found, n = np.unique(_Tokens(_training_texts(rows, doc_id, text)).values, return_counts=True)
+        for at in range(batch.num_rows):
+            tokens = _Tokens(batch, at)
+            found, n = np.unique(tokens.values[tokens.training()], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    parts = map_batches(docs.select(doc_id, text), run, "word long, n long")
+    parts = map_batches(slices, run, "word long, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _shard(pairs, shards):
-    """Shard of each bigram by the upper half of its hash; the lower names it there."""
-    return ((pairs >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def _shard(grams, shards):
+    """Shard of each bigram or word by the upper half of its hash; the lower names
+    it there. Sorted hashes are sorted by shard, too."""
+    return ((grams >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
 
+def _by_shard(grams, shards):
+    """Of sorted hashes: the shards that occur and a slice of places for each."""
+    used, first = np.unique(_shard(grams, shards), return_index=True)
+    return used, [slice(a, b) for a, b in zip(first, np.append(first[1:], len(grams)))]
 
-def bigram_filter(docs, shards, doc_id="doc_id", text="text"):
-    """Rows (shard, bits): the filter's segments, all of one size."""
+
+def ngram_filter(slices, shards):
+    """Rows (shard, top, bits): the filter's segments and their highest levels."""
 
     def count(batch):
-        for rows in text_slices(batch, text, _SLICE_BYTES):
-            tokens = _Tokens(_training_texts(rows, doc_id, text))
-            pairs, n = np.unique(np.concatenate([tokens.pairs, tokens.singles]), return_counts=True)
-            cut = np.searchsorted(_shard(pairs, shards), np.arange(shards + 1))
-            low, n = pairs.astype(np.uint32), n.astype(np.uint32)
-            used = [s for s in range(shards) if cut[s] < cut[s + 1]]
+        for at in range(batch.num_rows):
+            tokens = _Tokens(batch, at)
+            training = tokens.training()
+            grams, n = np.unique(np.concatenate([tokens.pairs[training], tokens.singles[training]]), return_counts=True)
+            low, n = grams.astype(np.uint32), n.astype(np.uint32)
+            used, places = _by_shard(grams, shards)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array([low[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary()),
-                 pa.array([n[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary())], names=["shard", "low", "n"])
-
-    most = MOST_BYTES // shards
+                [pa.array(used, pa.int32()), pa.array([low[p].tobytes() for p in places], pa.binary()),
+                 pa.array([n[p].tobytes() for p in places], pa.binary())], names=["shard", "low", "n"])
 
     def build(table):
         low = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()])
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()])
-        pairs, back = np.unique(low, return_inverse=True)
+        grams, back = np.unique(low, return_inverse=True)
         levels = np.frexp(np.bincount(back, weights=n))[1]  # 1 + floor(log2 count)
-        entries = int(levels.sum())
-        size = max(64, min(entries * BITS, most * 8) & ~7)
+        size, top = max(64, int(levels.sum()) * BITS & ~7), int(levels.max())
         bits = np.zeros(size, bool)
-        for level in range(1, int(levels.max()) + 1):
-            for at in _places(pairs[levels >= level], level, size):
+        for level in range(1, top + 1):
+            for at in _places(grams[levels >= level], level, size):
                 bits[at] = True
-        return pa.table({"shard": table.column("shard")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        return pa.table({"shard": table.column("shard")[:1], "top": pa.array([top], pa.int32()),
+                         "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    counted = map_batches(docs.select(doc_id, text), count, "shard int, low binary, n binary")
-    return counted.groupBy("shard").applyInArrow(build, "shard int, bits binary")
+    counted = map_batches(slices, count, "shard int, low binary, n binary")
+    return counted.groupBy("shard").applyInArrow(build, "shard int, top int, bits binary")
 
 
 def _places(low, level, size):
-    """The filter's bits for bigrams (lower halves) at a level."""
+    """The segment's bits for bigrams (lower halves) at a level."""
     step = mixed(low.astype(np.uint64) | np.uint64(level) << np.uint64(32))
     first, second = step & np.uint64(0xFFFFFFFF), step >> np.uint64(32) | np.uint64(1)
     for k in range(PROBES):
         yield ((first + np.uint64(k) * second) % np.uint64(size)).astype(np.int64)
 
 
-class _Filter:
-    def __init__(self, segments, shards):
-        """``segments``: rows (shard, bits), one after the other."""
-        self.shards = shards
-        self.sizes, self.offsets = np.ones(shards, np.int64), np.zeros(shards, np.int64)
-        data = bytearray(1)  # a shard without entries has one bit, which is 0
-        for shard, bits in segments:
-            self.sizes[shard], self.offsets[shard] = 8 * len(bits), 8 * len(data)
-            data += bits
-        self.bits = np.frombuffer(data, np.uint8)
-
-    def levels(self, pairs):
-        """Level of each bigram: probes go on while all bits are set."""
-        out, left = np.zeros(len(pairs), np.int64), np.arange(len(pairs))
-        shard = _shard(pairs, self.shards)
-        low, sizes, offsets = pairs.astype(np.uint32), self.sizes[shard].astype(np.uint64), self.offsets[shard]
-        level = 1
-        while len(left):
-            there = np.ones(len(left), bool)
-            for at in _places(low[left], level, sizes[left]):
-                bit = at + offsets[left]
-                there &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-            left = left[there]
-            out[left] = level
-            level += 1
-        return out
+def _levels(low, bits, top):
+    """Level of each bigram or word (lower halves) in a segment: probes go on while
+    all bits are set, to the highest level at most."""
+    out, left = np.zeros(len(low), np.uint8), np.arange(len(low))
+    for level in range(1, top + 1):
+        there = np.ones(len(left), bool)
+        for at in _places(low[left], level, 8 * len(bits)):
+            there &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        left = left[there]
+        out[left] = level
+    return out
+
+
+def _grams(tokens):
+    """The distinct bigrams and words of a slice, sorted."""
+    return np.unique(np.concatenate([tokens.pairs, np.unique(tokens.singles)]))
+
+
+def looked_up(slices, segments, shards):
+    """Rows (slice, shard, levels): a byte for each distinct bigram and word of the
+    slice in the shard, in the order of their hashes."""
+
+    def ask(batch):
+        for at in range(batch.num_rows):
+            tokens = _Tokens(batch, at)
+            grams = _grams(tokens)
+            low = grams.astype(np.uint32)
+            used, places = _by_shard(grams, shards)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), pa.array(np.full(len(used), tokens.slice)),
+                 pa.array([low[p].tobytes() for p in places], pa.binary())], names=["shard", "slice", "low"])
+
+    def answer(asked, segment):
+        low = [np.frombuffer(x, np.uint32) for x in asked.column("low").to_pylist()]
+        if low and segment.num_rows:
+            bits = np.frombuffer(segment.column("bits")[0].as_py(), np.uint8)
+            levels = _levels(np.concatenate(low), bits, segment.column("top")[0].as_py())
+        else:
+            levels = np.zeros(sum(map(len, low)), np.uint8)
+        parts = np.split(levels, np.cumsum([len(x) for x in low])[:-1]) if low else []
+        return pa.table({"slice": asked.column("slice"), "shard": asked.column("shard"),
+                         "levels": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    asked = map_batches(slices, ask, "shard int, slice long, low binary")
+    return asked.groupBy("shard").cogroup(segments.groupBy("shard")).applyInArrow(answer, "slice long, shard int, levels binary")
 
 
 def _frequent(counts):
@@ -171,23 +223,21 @@ def _frequent(counts):
     return words[order], head.column("n").to_numpy()[order]
 
 
-def _scored(rows, head, n_head, bloom, total):
+def _scored(tokens, head, n_head, levels, total):
     """Per text: tokens, known head tokens, sum of log10(count + 1) over head
-    tokens, model score, and the hashes of the other tokens."""
-    tokens = _Tokens(rows.column("text"))
-    unique, back = np.unique(tokens.values, return_inverse=True)
+    tokens, model score, and the hashes of the other tokens. ``levels``: those of
+    the slice's bigrams and words."""
+    grams = _grams(tokens)
+    unique, first, back = np.unique(tokens.values, return_index=True, return_inverse=True)
     place = np.searchsorted(head, unique).clip(max=max(len(head) - 1, 0))
     is_head = head[place] == unique if len(head) else np.zeros(len(unique), bool)
     count = np.where(is_head, n_head[place] if len(head) else 0, 0)
-    first = np.zeros(len(unique), np.int64)
-    first[back] = np.arange(len(back))
-    level = bloom.levels(tokens.singles[first])
+    level = levels[np.searchsorted(grams, tokens.singles[first])].astype(np.int64)
     low = np.where(is_head, count, np.where(level > 0, 1 << np.maximum(level - 1, 0), 0))
     high = np.where(is_head, count, (1 << level) - 1)
 
     of_before = np.searchsorted(unique, tokens.before)
-    pairs, pair_back = np.unique(tokens.pairs, return_inverse=True)
-    pair_level = bloom.levels(pairs)[pair_back]
+    pair_level = levels[np.searchsorted(grams, tokens.pairs)].astype(np.int64)
     pair_count = np.where(pair_level > 0, 1 << np.maximum(pair_level - 1, 0), 0)
     share = np.minimum(1.0, pair_count / np.maximum(high[of_before], 1)) * (high[of_before] > 0)
     own = (low[back] + 1) / total
@@ -216,29 +266,26 @@ def score(docs, doc_id="doc_id", text="text"):
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = stored(word_counts(docs), "word-counts")
+    slices = stored(token_slices(docs), "token-slices")
+    counts = stored(word_counts(slices), "word-counts")
     n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total = n_tokens + n_words + 1
     shards = 1 + n_tokens // SHARD_TOKENS
-    # at most MOST_BYTES
-    bloom = _Filter(stored(bigram_filter(docs, shards), "filter").toLocalIterator(), shards)
-    shared = spark.sparkContext.broadcast((*_frequent(counts), bloom))
-
-    def run(batches):
-        part, row = TaskContext.get().partitionId() << 40, 0
-        head, n_head, bloom = shared.value
-        for batch in batches:
-            for rows in text_slices(batch, "text", _SLICE_BYTES):
-                keys = pa.array(part + row + np.arange(rows.num_rows))
-                row += rows.num_rows
-                ids = rows.column("doc_id")
-                yield pa.RecordBatch.from_arrays(
-                    [keys, ids, pa.array(held_out(ids)), *_scored(rows, head, n_head, bloom, total)],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_head", "logs", "score", "rest"])
+    segments = stored(ngram_filter(slices, shards), "filter")
+    levels = stored(looked_up(slices, segments, shards), "levels")
+    shared = spark.sparkContext.broadcast(_frequent(counts))
+
+    def run(texts, answers):
+        tokens, (head, n_head) = _Tokens(texts), shared.value
+        found = answers.sort_by("shard").column("levels").to_pylist()
+        return pa.table(
+            [pa.array(tokens.slice + np.arange(len(tokens.n))), pa.array(texts.column("doc_ids")[0].as_py(), pa.int64()), pa.array(tokens.held),
+             *_scored(tokens, head, n_head, np.frombuffer(b"".join(found), np.uint8), total)],
+            names=["row", "doc_id", "held_out", "n_tokens", "n_head", "logs", "score", "rest"])
 
     schema = ("row long, doc_id long, held_out boolean, n_tokens long, n_head long, logs double, score double, "
               "rest array<long>")
-    scored = stored(map_partitions(docs, run, schema), "scored")
+    scored = stored(slices.groupBy("slice").cogroup(levels.groupBy("slice")).applyInArrow(run, schema), "scored")
     rest = scored.select("row", F.explode("rest").alias("word")).join(counts, "word", "left")
     rest = rest.groupBy("row").agg(F.count("n").alias("n_rest"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rest_logs"))
     base = F.col("logs") + F.coalesce("rest_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(total))
