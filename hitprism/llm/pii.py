@@ -10,7 +10,7 @@ is a permutation of the domain. All of it is column expressions.
 | kind | validated by | permuted |
 | --- | --- | --- |
 | card | 13 to 19 digits with spaces or hyphens, Luhn sum | all digits but the last, which is the new check digit |
-| phone | ten digits, area and exchange from 200 on | within such numbers |
+| phone | ten digits as area, exchange and line | within all ten-digit numbers |
 | social | ddd-dd-dddd, no part of zeros, area below 900 and not 666 | within such numbers |
 | ip | four numbers up to 255 | within all addresses |
 | date | calendar dates yyyy-mm-dd and dd/mm/yyyy, 1800 to 2199 | within the 146,097 days of these years |
@@ -28,7 +28,7 @@ PATTERNS = {
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+(])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)",
+    "phone": r"(?<![\d+(])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -84,11 +84,9 @@ def _card(key):
 
 
 def _phone(key):
-    n = "right(d, 10)"
-    area, exchange, line = (_number(f"substr({n}, {at}, {size})") for at, size in ((1, 3), (4, 3), (7, 4)))
-    f = _feistel("phone", f"(({area} - 200) * 100 + ({exchange} - 200) div 8)", f"((({exchange} - 200) % 8) * 10000 + {line})", 80000, 80000, key)
-    new = ("concat(left(d, length(d) - 10), cast(f.a div 100 + 200 as string), "
-           "cast((f.a % 100) * 8 + f.b div 10000 + 200 as string), lpad(cast(f.b % 10000 as string), 4, '0'))")
+    half = [_number(f"substr(right(d, 10), {at}, 5)") for at in (1, 6)]
+    f = _feistel("phone", *half, 100000, 100000, key)
+    new = "concat(left(d, length(d) - 10), lpad(cast(f.a as string), 5, '0'), lpad(cast(f.b as string), 5, '0'))"
     return _with("f", f, _with("n", new, _refilled("m", "n")))
 
 
