@@ -9,11 +9,12 @@ is a permutation of the domain. All of it is column expressions.
 
 | kind | validated by | permuted |
 | --- | --- | --- |
-| card | 13 to 19 digits with spaces or hyphens, Luhn sum | all digits but the last, which is the new check digit |
+| card | 13 to 19 digits in whole groups with a space or hyphen between, Luhn sum, anywhere in a run of groups | all digits but the last, which is the new check digit |
 | phone | ten digits as area, exchange and line | within all ten-digit numbers |
 | social | ddd-dd-dddd, no part of zeros, area below 900 and not 666 | within such numbers |
 | ip | four numbers up to 255 | within all addresses |
 | date | calendar dates yyyy-mm-dd and dd/mm/yyyy, 1800 to 2199 | within the 146,097 days of these years |
+| date | mm/dd/yyyy where that is no dd/mm/yyyy | within the 88,497 days after a 12th, so that it stays one |
 | mail | local part and domain | letters and digits of the local part, by a keyed digest, not a permutation |
 """
 
@@ -29,10 +30,15 @@ PATTERNS = {
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+(])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+# Cards are looked for between these: in runs of digits, spaces and hyphens, at
+# each group of digits; the usual groupings go before others.
+_RUN = r"(?<!\d)\d[\d -]{12,}+"
+_CARD = r"^[ -]*\d(?:[ -]?\d){12,18}$"
+_USUAL = r"^[ -]*(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})$"
+
 
 def _sql(text):
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -80,7 +86,42 @@ def _card(key):
     body = f"concat(lpad(cast(f.a as string), {half}, '0'), lpad(cast(f.b as string), {rest}, '0'))"
     check = f"cast((10 - {_luhn('n', 1)} % 10) % 10 as string)"
     new = _with("f", f, _with("n", body, _refilled("m", f"concat(n, {check})")))
-    return f"if({_luhn('d', 0)} % 10 = 0, {new}, m)"
+    return _with("d", "regexp_replace(m, '[^0-9]', '')", new)
+
+
+def _cards(key):
+    """Of a run ``r``: a struct (text, n), its cards replaced and counted.
+
+    ``u`` has each group of digits with what stands before it. A candidate is k
+    groups from the i-th on; a start takes its usual grouping, else its longest
+    other that no usual grouping starts in. Cards go from left to right.
+    """
+    window = "array_join(slice(u, i + 1, k), '')".format
+    valid = _with("d", "regexp_replace(w, '[^0-9]', '')", f"{_luhn('d', 0)} % 10 = 0")
+    fits = _with("w", window(), f"if(w rlike {_sql(_CARD)}, {valid}, false)")
+    all_k = f"filter(sequence(1, least(19, size(u) - i)), k -> {fits})"
+    usual = f"coalesce(array_min(filter(ks, k -> {window()} rlike {_sql(_USUAL)})), 0)"
+    starts = f"transform(u, (x, i) -> {_with('ks', all_k, f'struct({usual} as usual, ks as ks)')})"
+    other = "coalesce(array_max(filter(x.ks, k -> not exists(slice(t, i + 2, k - 1), z -> z.usual > 0))), 0)"
+    picked = f"filter(transform(t, (x, i) -> struct(i as i, if(x.usual > 0, x.usual, {other}) as k)), c -> c.k > 0)"
+    got = (f"aggregate({picked}, struct(0 as free, cast(array() as array<struct<i: int, k: int>>) as got), "
+           "(a, c) -> if(c.i >= a.free, struct(c.i + c.k as free, concat(a.got, array(c)) as got), a)).got")
+    free = "if(x = 0, 0, got[x - 1].i + got[x - 1].k)"
+    card = _with("m", "array_join(slice(u, c.i + 1, c.k), '')", _card(key))
+    pieces = f"transform(got, (c, x) -> concat(array_join(slice(u, {free} + 1, c.i - {free}), ''), {card}))"
+    last = "if(size(got) = 0, 0, got[size(got) - 1].i + got[size(got) - 1].k)"
+    text = f"concat(array_join({pieces}, ''), array_join(slice(u, {last} + 1, size(u) - {last}), ''), regexp_extract(r, '[ -]*$', 0))"
+    units = "regexp_extract_all(r, '[ -]*[0-9]+', 0)"
+    return _with("u", units, _with("t", starts, _with("got", got, f"struct({text} as text, size(got) as n)")))
+
+
+def _between(key):
+    """Of a text ``g`` between other values: a struct (text, n) as for a run."""
+    runs = _with("rs", f"transform(regexp_extract_all(g, {_sql(_RUN)}, 0), r -> {_cards(key)})", _with(
+        "gs", f"split(g, {_sql(_RUN)}, -1)",
+        "struct(array_join(transform(gs, (x, i) -> if(i < size(rs), concat(x, rs[i].text), x)), '') as text, "
+        "aggregate(rs, 0, (a, x) -> a + x.n) as n)"))
+    return f"if(g rlike {_sql(_RUN)}, {runs}, struct(g as text, 0 as n))"
 
 
 def _phone(key):
@@ -110,14 +151,28 @@ def _ip(key):
 
 def _date(key):
     iso = "substr(m, 5, 1) = '-'"
-    year, month, day = (f"cast(if({iso}, substr(m, {a}, {n}), substr(m, {b}, {n})) as int)"
-                        for a, b, n in ((1, 7, 4), (6, 4, 2), (9, 1, 2)))
-    valid = (f"{year} between 1800 and 2199 and {month} between 1 and 12 and {day} >= 1 "
-             f"and {day} <= day(last_day(make_date({year}, {month}, 1)))")
-    index = f"cast(datediff(make_date({year}, {month}, {day}), date'1800-01-01') as bigint)"
+    year, first, second = (f"cast(if({iso}, substr(m, {a}, {n}), substr(m, {b}, {n})) as int)"
+                           for a, b, n in ((1, 7, 4), (6, 4, 2), (9, 1, 2)))
+    start = "date'1800-01-01'"
+
+    def valid(month, day):
+        return (f"{year} between 1800 and 2199 and {month} between 1 and 12 and {day} >= 1 "
+                f"and {day} <= day(last_day(make_date({year}, {month}, 1)))")
+
+    index = f"cast(datediff(make_date({year}, {first}, {second}), {start}) as bigint)"
     f = _feistel("date", f"({index} div 773)", f"({index} % 773)", 189, 773, key)
-    new = "date_format(date_add(date'1800-01-01', cast(f.a * 773 + f.b as int)), {})".format
-    return f"if({valid}, {_with('f', f, f"if({iso}, {new(_sql('yyyy-MM-dd'))}, {new(_sql('dd/MM/yyyy'))})")}, m)"
+    new = f"date_format(date_add({start}, cast(f.a * 773 + f.b as int)), {{}})".format
+    day_first = _with("f", f, f"if({iso}, {new(_sql('yyyy-MM-dd'))}, {new(_sql('dd/MM/yyyy'))})")
+    # mm/dd: the days from the 13th on are numbered, 12 fewer in each month
+    months = f"(({year} - 1800) * 12 + {second} - 1)"
+    late = f"cast(datediff(make_date({year}, {second}, {first}), {start}) - 12 * ({months} + 1) as bigint)"
+    f = _feistel("date of month first", f"({late} div 9833)", f"({late} % 9833)", 9, 9833, key)
+    about = "cast(floor(n / 18.436875D) as int)"
+    month = (f"array_max(filter(sequence(greatest({about} - 2, 0), least({about} + 2, 4799)), "
+             f"y -> datediff(add_months({start}, y), {start}) - 12 * y <= n))")
+    month_first = _with("f", f, _with("n", "cast(f.a * 9833 + f.b as int)", _with(
+        "y", month, f"date_format(date_add({start}, n + 12 * (y + 1)), 'MM/dd/yyyy')")))
+    return f"case when {valid(first, second)} then {day_first} when not {iso} and {valid(second, first)} then {month_first} else m end"
 
 
 def _mail(key):
@@ -130,7 +185,7 @@ def _mail(key):
 
 
 def _pseudonym(key):
-    makers = {"mail": _mail, "date": _date, "ip": _ip, "social": _social, "phone": _phone, "card": _card}
+    makers = {"mail": _mail, "date": _date, "ip": _ip, "social": _social, "phone": _phone}
     whens = " ".join(f"when m rlike {_sql(f'^(?:{p})$')} then {makers[kind](key)}" for kind, p in PATTERNS.items())
     return _with("d", "regexp_replace(m, '[^0-9]', '')", f"case {whens} else m end")
 
@@ -148,9 +203,11 @@ def pseudonymise(docs, key, text="text"):
     found = docs.select(*names, matches.alias("_found"))
     new = F.when(F.size("_found") > 0, F.expr(f"transform(_found, m -> {_pseudonym(key)})"))
     gaps = F.split(F.col(text), _ANY, -1)
-    whole = F.array_join(F.flatten(F.zip_with(gaps, F.concat("_new", F.array(F.lit(""))), lambda g, n: F.array(g, n))), "")
-    n_found = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    result = found.withColumn("_new", new)
-    return result.select(
-        *[F.when(F.col("_new").isNull(), F.col(text)).otherwise(whole).alias(c) if c == text else F.col(c) for c in names],
-        F.when(F.col("_new").isNull(), F.lit(0)).otherwise(n_found).cast("long").alias("n_found"))
+    rest = found.withColumn("_gaps", gaps).withColumn(
+        "_rest", F.expr(f"transform(_gaps, g -> {_between(key)})")).withColumn("_new", F.coalesce(new, F.array().cast("array<string>")))
+    others = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
+    cards = F.aggregate("_rest", F.lit(0), lambda n, x: n + x["n"])
+    whole = F.array_join(F.flatten(F.zip_with("_rest", F.concat("_new", F.array(F.lit(""))), lambda g, n: F.array(g["text"], n))), "")
+    return rest.select(
+        *[F.when(F.col(text).isNull(), F.col(text)).otherwise(whole).alias(c) if c == text else F.col(c) for c in names],
+        F.when(F.col(text).isNull(), F.lit(0)).otherwise(others + cards).cast("long").alias("n_found"))

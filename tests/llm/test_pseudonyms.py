@@ -40,3 +40,27 @@ def test_any_area_and_exchange(spark):
     texts = ["+1 (017) 555-7713", "+1 (132) 555-1352", "call 123-045-6789.", "000.000.0000"]
     for text, (new, n) in zip(texts, replaced(spark, texts)):
         assert n == 1 and new != text and shape(new) == shape(text)
+
+
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [card, f"{card} 123", f"{card} 12/27", f"7 {card}", f"{card} 5500 0000 0000 0004", f"{card} 988-555-2485",
+             f"{card} 12/12/1990", "1 2 3  4 - 5", "4111111111111111222222222222222222"]
+    got = replaced(spark, texts)
+    assert [n for _, n in got] == [1, 1, 1, 1, 2, 2, 2, 0, 0]
+    new = got[0][0]
+    assert new != card and shape(new) == shape(card)
+    assert [got[i][0] for i in (1, 2, 3)] == [f"{new} 123", f"{new} 12/27", f"7 {new}"]
+    assert all(got[i][0].startswith(new) and shape(got[i][0]) == shape(texts[i]) for i in (4, 5, 6))
+    assert [got[i][0] for i in (7, 8)] == texts[7:]
+
+
+def test_month_before_day(spark):
+    texts = ["12/25/1990", "25/12/1990", "02/30/1990"]
+    (new, n), (other, m), kept = replaced(spark, texts)
+    assert n == m == 1 and kept == (texts[2], 0)
+    assert new != texts[0] and 1 <= int(new[:2]) <= 12 < int(new[3:5]) and int(other[3:5]) <= 12
+    days = spark.range(146097).selectExpr("id as doc_id", "date_add(date'1800-01-01', cast(id as int)) as day").where("day(day) > 12")
+    days = days.selectExpr("doc_id", "date_format(day, 'MM/dd/yyyy') as text")
+    out = pii.pseudonymise(days, "k")
+    assert tuple(out.selectExpr("count(distinct text)", "min(int(substr(text, 4, 2)))", "sum(n_found) > 88000").first()) == (88497, 13, True)
