@@ -6,7 +6,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hitprism.llm import bpe, decontamination, linededup, lm, pii, quality, simhash, substrings, tokenfile, urls
+from hitprism.llm import bpe, decontamination, linededup, lm, pii, quality, simhash, spelling, substrings, suffixes, tokenfile, urls, whitening
 from hitprism.plans.shared import shared_folder
 
 URL_RULES = [
@@ -17,6 +17,7 @@ URL_RULES = [
     ("com", "/de/", "block"),
 ]
 END_ID = 1
+COMPONENTS = 4
 PII_KEY = "pseudonyms of the query"
 
 
@@ -90,6 +91,23 @@ def lm_scoring(spark, folder):
     return lm.score(_table(spark, folder, "documents"))
 
 
+def embedding_whitening(spark, folder):
+    found = whitening.whiten(_table(spark, folder, "embeddings").select("vec_id", "embedding"), "embedding", COMPONENTS)
+    each = F.explode(F.arrays_zip(F.sequence(F.lit(1), F.size("whitened")).alias("component"), "whitened", "explained")).alias("c")
+    return found.where(F.size("whitened") > 0).select("vec_id", "n", "deviation", "identity_error", each).select(
+        "vec_id", "c.component", "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def spelling_variants(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return spelling.group_variants(spelling.document_words(docs))
+
+
+def suffix_dedup(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return suffixes.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries():
     return {
         "op1_url_filters": url_filters,
@@ -102,4 +120,7 @@ def queries():
         "op8_pii_pseudonyms": pii_pseudonyms,
         "op9_line_dedup": line_dedup,
         "op10_lm_scoring": lm_scoring,
+        "op11_embedding_whitening": embedding_whitening,
+        "op12_spelling_variants": spelling_variants,
+        "op13_suffix_dedup": suffix_dedup,
     }
