@@ -38,12 +38,29 @@ def _column_season(holiday):
 # Each season word holds one of these, so most texts need three searches only.
 HINTS = ["day", "mas", BLACK_FRIDAY_WORDS[2]]
 
+# Characters of the long text that a word begun in the subject can reach.
+EDGE = 16
 
-def message_text(subject, translated):
-    """Lower-case text that the season words are looked for in. Costly on long
-    texts, so make it a column of its own first."""
+
+def joined_edge(subject, translated):
+    """Subject and the start of the text after it, where words can span both."""
     empty = F.lit("")
-    return F.lower(F.concat(F.coalesce(subject, empty), F.lit(" "), F.coalesce(translated, empty)))
+    return F.concat(F.coalesce(subject, empty), F.lit(" "), F.left(F.coalesce(translated, empty), F.lit(EDGE)))
+
+
+def season_marks(text):
+    """Which season words and emoji a text holds, in any case; a struct."""
+    text = F.lower(text)
+    hinted = _mentions(text, HINTS)
+    # only texts with characters of several bytes can hold emoji
+    wide = F.length(text) < F.octet_length(text)
+    return F.struct(
+        (hinted & _mentions(text, BLACK_FRIDAY_WORDS)).alias("black_friday"),
+        (hinted & F.contains(text, F.lit(BLACK_FRIDAY_JOINED))).alias("joined"),
+        (hinted & _mentions(text, CHRISTMAS_WORDS)).alias("christmas"),
+        (wide & _mentions(text, CHRISTMAS_EMOJI)).alias("christmas_emoji"),
+        (wide & _mentions(text, BLACK_FRIDAY_EMOJI)).alias("black_friday_emoji"),
+    )
 
 
 def type_needs_text(holiday):
@@ -56,34 +73,19 @@ def label_needs_text(holiday):
     return F.coalesce(holiday, F.lit("")) == ""
 
 
-def _word_season(text, black_friday_words):
-    return F.when(
-        _mentions(text, HINTS),
-        F.when(_mentions(text, black_friday_words), F.lit(BLACK_FRIDAY)).when(
-            _mentions(text, CHRISTMAS_WORDS), F.lit(CHRISTMAS)
-        ),
+def holiday_type(holiday, marks):
+    """Season of a message from its holiday column, words or emoji (``marks``: a
+    function from a mark to whether the message has it); else null."""
+    return F.coalesce(
+        _column_season(holiday),
+        F.when(marks("black_friday"), F.lit(BLACK_FRIDAY)).when(marks("christmas"), F.lit(CHRISTMAS)),
+        F.when(marks("christmas_emoji"), F.lit(CHRISTMAS)).when(marks("black_friday_emoji"), F.lit(BLACK_FRIDAY)),
     )
 
 
-def _emoji_season(text):
-    """Only texts with characters of several bytes can hold emoji."""
-    return F.when(
-        F.length(text) < F.octet_length(text),
-        F.when(_mentions(text, CHRISTMAS_EMOJI), F.lit(CHRISTMAS)).when(
-            _mentions(text, BLACK_FRIDAY_EMOJI), F.lit(BLACK_FRIDAY)
-        ),
-    )
-
-
-def holiday_type(holiday, text):
-    """Season of a message from its holiday column, words or emoji; else null."""
-    words = _word_season(text, BLACK_FRIDAY_WORDS)
-    return F.coalesce(_column_season(holiday), words, _emoji_season(text))
-
-
-def holiday_label(holiday, text):
+def holiday_label(holiday, marks):
     """As ``holiday_type``, but other holiday names are kept, emoji do not
     count, and a message without any holiday gets the empty text."""
-    words = _word_season(text, [*BLACK_FRIDAY_WORDS, BLACK_FRIDAY_JOINED])
+    words = F.when(marks("black_friday") | marks("joined"), F.lit(BLACK_FRIDAY)).when(marks("christmas"), F.lit(CHRISTMAS))
     own = F.nullif(holiday, F.lit(""))
     return F.coalesce(_column_season(holiday), own, words, F.lit(""))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hitprism.functions import numbers, offers, text
 from hitprism.operators.messages import messages
 from hitprism.plans.groups import numbered
+from hitprism.plans.texts import with_text_value
 from hitprism.schema import HIT_ID
 
 TOP_EMOJI = 5
@@ -22,16 +23,21 @@ def with_text_features(hits):
     """Add the length of the subject and the emoji of subject and content."""
     if all(c in hits.columns for c in _FEATURES):
         return hits
-    subject, content = F.col("subject"), F.col("content")
-    return hits.withColumns(
+    subject = F.col("subject")
+    return with_text_value(hits, "content", "content_emoji", text.emoji_only).withColumns(
         {
             "subject_chars": F.length(text.strip(subject)).cast("long"),
             "subject_emoji": text.emoji_only(subject),
-            "content_emoji": text.emoji_only(content),
         }
     )
 
 
+def _with_subject_chars(hits):
+    if "subject_chars" in hits.columns:
+        return hits
+    return hits.withColumn("subject_chars", F.length(text.strip(F.col("subject"))).cast("long"))
+
+
 def _length_band(chars):
     """Colour of an average subject length: green is best, red is worst."""
     return (
@@ -45,7 +51,7 @@ def subject_length(hits, deduped=False):
     """Average subject length per competitor, longest first, and its band."""
     mean = numbers.round_half_even(F.avg("subject_chars"), 2)
     return (
-        messages(with_text_features(hits), "competitor_name", "subject_chars", deduped=deduped)
+        messages(_with_subject_chars(hits), "competitor_name", "subject_chars", deduped=deduped)
         .dropna(subset=["competitor_name", "subject_chars"])
         .groupBy("competitor_name")
         .agg(mean.alias("avg_subject_length"))

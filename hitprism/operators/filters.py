@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from hitprism.functions import times
 from hitprism.plans.groups import with_group_values
+from hitprism.plans.shared import shared_table
 from hitprism.schema import FILTER_COLUMNS, require
 
 # Longer value lists are joined instead of spelled out in the plan.
@@ -78,6 +79,24 @@ def _positive(n):
         raise ValueError("the number of days must be at least 1")
 
 
+# So many accounts may be sent to all tasks, as two numbers each.
+MOST_ACCOUNTS = 2_000_000
+
+
+def _with_account_value(df, value):
+    """Attach an aggregate of each account to its rows; rows without one drop out.
+
+    The accounts are aggregated from two narrow columns into a table of their own. As
+    long as there are few enough they are broadcast, so that whole rows, texts and all,
+    never meet an exchange; more accounts are joined by shuffle.
+    """
+    accounts = df.where(F.col("tracking_id").isNotNull()).groupBy("tracking_id").agg(value)
+    accounts = shared_table(accounts, "accounts")
+    if accounts.count() <= MOST_ACCOUNTS:
+        return df.join(F.broadcast(accounts), "tracking_id").select(*df.columns, accounts.columns[-1])
+    return with_group_values(df, ["tracking_id"], [value])
+
+
 def first_n_days(df, n):
     """Rows within the first ``n`` days of their account, with ``days_since``
     its first message by local time. Rows without an account drop out."""
@@ -85,7 +104,7 @@ def first_n_days(df, n):
     require(df, "tracking_id", "local_created_at")
     first = F.min("local_created_at").alias("first_at")
     days = times.whole_days(F.col("first_at"), F.col("local_created_at"))
-    rows = with_group_values(df, ["tracking_id"], [first]).withColumn("days_since", days)
+    rows = _with_account_value(df, first).withColumn("days_since", days)
     return rows.where(F.col("days_since") <= n - 1).drop("first_at")
 
 
@@ -96,7 +115,7 @@ def last_n_days(df, n):
     require(df, "tracking_id", "created_at")
     last = F.max("created_at").alias("last_at")
     days = times.whole_days(F.col("created_at"), F.col("last_at"))
-    rows = with_group_values(df, ["tracking_id"], [last]).withColumn("days_since", days)
+    rows = _with_account_value(df, last).withColumn("days_since", days)
     return rows.where(F.col("days_since") < n).drop("last_at")
 
 

@@ -5,36 +5,38 @@ from pyspark.sql import functions as F
 from hitprism.schema import HIT_ID, HITS, ROW_ORDER, require
 
 
-# Columns that tell the offers of a message apart, and texts that do not.
-_OFFER = ["type", "value", "play_value", "deposit_requirement"]
+# The long texts, and what reports derive from them.
 _TEXTS = ["subject", "content", "translated_content"]
+_DERIVED = {"subject_chars": "subject", "subject_emoji": "subject", "content_emoji": "content"}
 
 
-def _own_order(df):
-    """An order of rows by their values, the same for every report: the offer's
-    columns, nulls last, then a hash of all others but the long texts."""
-    order = []
-    for c in _OFFER:
-        if c in df.columns:
-            order += [F.col(c).isNull().alias(f"no_{c}"), F.col(c)]
-    rest = [c for c in HITS.names if c in df.columns and c not in (HIT_ID, *_OFFER, *_TEXTS)]
-    return [*order, F.xxhash64(*rest).alias("rest")] if rest else order
+def _row_keys(df, columns):
+    """An order of rows by hashes of fixed width: of all columns but the texts, then
+    of each text in turn, up to the last one that ``columns`` need. Rows that tie are
+    alike in all that is asked for, so reports agree on the row whatever they read."""
+    plain = [c for c in HITS.names if c in df.columns and c not in (HIT_ID, *_TEXTS)]
+    texts = [c for c in _TEXTS if c in df.columns]
+    read = {_DERIVED.get(c, c) for c in columns}
+    unknown = read - set(HITS.names)
+    needed = max((i + 1 for i, c in enumerate(texts) if c in read or unknown), default=0)
+    groups = [plain, *[[c] for c in texts[:needed]]]
+    return [F.xxhash64(*g).alias(f"key_{i}") for i, g in enumerate(groups) if g]
 
 
 def first_rows(df, *columns, order=None):
     """The first row of each message, as ``tracking_hit_id`` plus ``columns``.
 
     Order: the given columns, else the load order if the table carries it, else
-    the rows' own values (``_own_order``). The order never depends on which
-    ``columns`` a report asks for, so all reports of a table agree on the row.
-    One aggregation with map-side combine.
+    hashes of the rows (``_row_keys``). The order never depends on which ``columns``
+    a report asks for, so all reports of a table agree on the row. One aggregation
+    with map-side combine, over a hash and the columns asked for.
     """
     columns = [c for c in columns or df.columns if c not in (HIT_ID, ROW_ORDER)]
     require(df, HIT_ID, *columns)
     if not columns:
         return df.select(HIT_ID).distinct()
     if order is None:
-        order = [ROW_ORDER] if ROW_ORDER in df.columns else _own_order(df)
+        order = [ROW_ORDER] if ROW_ORDER in df.columns else _row_keys(df, columns)
     sort_key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order]) if order else F.lit(0)
     return (
         df.groupBy(HIT_ID)

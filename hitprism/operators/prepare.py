@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hitprism.functions import holidays, offers, text
+from hitprism.plans.texts import with_text_value
 from hitprism.schema import HIT_ID
 
 # Length of a joined subject list, and the subjects that can matter for it:
@@ -47,14 +48,18 @@ def with_offer_text(df):
 
 
 def _with_season(df, column, rule, needs_text):
-    """Apply a holiday rule. The text it searches is lower-cased once per row,
-    and only where the holiday column does not decide: ``explode`` of one value
-    keeps Spark from merging it into each search."""
-    text = holidays.message_text(F.col("subject"), F.col("translated_content"))
-    searched = df.select("*", F.explode(F.array(F.when(needs_text(F.col("holiday")), text))).alias("searched_text"))
-    return searched.withColumn(column, rule(F.col("holiday"), F.col("searched_text"))).drop(
-        "searched_text"
-    )
+    """Apply a holiday rule. Texts are looked at only where the holiday column does
+    not decide, and each distinct one once; what joins it to the subject, in each
+    row (``explode`` of one value keeps Spark from working it out for each mark)."""
+    holiday, text = F.col("holiday"), F.col("translated_content")
+    in_text = with_text_value(df, "translated_content", "text_marks", holidays.season_marks, needs_text(holiday))
+    edge = F.when(needs_text(holiday), holidays.season_marks(holidays.joined_edge(F.col("subject"), text)))
+    marked = in_text.select("*", F.explode(F.array(edge)).alias("edge_marks"))
+
+    def marks(name):
+        return F.coalesce(F.col("text_marks")[name], F.lit(False)) | F.coalesce(F.col("edge_marks")[name], F.lit(False))
+
+    return marked.withColumn(column, rule(holiday, marks)).drop("text_marks", "edge_marks")
 
 
 def with_holiday_type(df):

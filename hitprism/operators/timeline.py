@@ -7,6 +7,7 @@ from hitprism.operators.filters import first_hours
 from hitprism.operators.messages import messages
 from hitprism.operators.prepare import with_holiday_label, with_message_kind
 from hitprism.plans.groups import with_group_values
+from hitprism.schema import HIT_ID
 
 DEFAULT_EMAIL_TYPE = "Informational"
 
@@ -36,6 +37,7 @@ def timeline(hits):
 def holiday_timeline(hits):
     """``timeline`` with holidays: label, and marker of seasonal messages."""
     rows = hits.select(
+        HIT_ID,
         "competitor_name",
         times.parse_lenient(F.col("created_at")).alias("created_at"),
         "email_type",
