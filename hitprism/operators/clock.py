@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from hitprism.functions import times
 from hitprism.operators.filters import filter_year
 from hitprism.operators.messages import messages
-from hitprism.plans.groups import numbered, with_group_values
+from hitprism.plans.groups import ranked, with_group_values
 from hitprism.schema import HIT_ID
 
 DAYS = range(7)
@@ -204,9 +204,9 @@ def time_distribution(hits):
         .groupBy("competitor_name")
         .agg(F.count(F.lit(1)).alias("n"), quarters.alias("q"))
     )
-    ranked = numbered(boxes, [F.desc("n"), F.asc("competitor_name")], "rank")
+    boxes = ranked(boxes, [F.desc("n"), F.asc("competitor_name")], "rank")
     names = ["min", "q1", "median", "q3", "max"]
-    return ranked.select(
+    return boxes.select(
         "rank",
         F.concat(F.col("rank").cast("string"), F.lit(". "), "competitor_name").alias("label"),
         "competitor_name",

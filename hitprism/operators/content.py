@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hitprism.functions import numbers, offers, text
 from hitprism.operators.messages import messages
-from hitprism.plans.groups import numbered
+from hitprism.plans.groups import ranked
 from hitprism.plans.texts import with_text_value
 from hitprism.schema import HIT_ID
 
@@ -72,7 +72,7 @@ def _ranked_shares(rows, column):
     """``_shares`` with the place of each value by the sum of its percentages."""
     shares = _shares(rows, column)
     sums = shares.groupBy(column).agg(F.sum(F.col("pct").cast("decimal(28,1)")).alias("s"))
-    ranks = numbered(sums, [F.desc("s"), F.asc(column)], "column_rank").drop("s")
+    ranks = ranked(sums, [F.desc("s"), F.asc(column)], "column_rank").drop("s")
     return shares.join(ranks, column).select("competitor_name", column, "n", "pct", "column_rank")
 
 

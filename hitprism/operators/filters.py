@@ -69,6 +69,39 @@ def filter_options(df, column):
     return options.orderBy("value") if column == "tracking_id" else options
 
 
+def filter_cascade(df, chosen):
+    """The values left to choose from at each filter, as rows (position, column,
+    value): those of the rows that fit all choices before it.
+
+    ``chosen`` maps columns to the values taken, in the order of ``FILTER_COLUMNS``; an
+    empty list does not narrow. Values are text, nulls are no choice. One scan: rows
+    are reduced to the distinct combinations of the filter columns, each of which
+    knows the first filter that it fails and counts for all filters up to that one.
+    """
+    unknown = set(chosen) - set(FILTER_COLUMNS)
+    if unknown:
+        raise ValueError(f"cannot filter by {sorted(unknown)}")
+    columns = [c for c in FILTER_COLUMNS if c in df.columns]
+    fails = F.lit(len(columns))
+    for place, column in reversed(list(enumerate(columns))):
+        values = list(chosen.get(column) or [])
+        if values:
+            fits = _fits(df, column, values)
+            fails = F.when(fits, fails).otherwise(F.lit(place))
+    combinations = df.select(*columns).distinct()
+    offered = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                        for i, c in enumerate(columns)])
+    return (
+        combinations.select(F.explode(F.slice(offered, F.lit(1), F.least(fails + 1, F.lit(len(columns))))).alias("offer"))
+        .select("offer.*").where(F.col("value").isNotNull()).distinct()
+    )
+
+
+def _fits(df, column, values):
+    """Whether a column is in a list; false for null."""
+    return F.coalesce(F.col(column).isin(_typed(values, df.schema[column].dataType)), F.lit(False))
+
+
 def date_bounds(df):
     ts = F.col("local_created_at")
     return df.agg(F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"))

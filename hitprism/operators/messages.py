@@ -5,22 +5,28 @@ from pyspark.sql import functions as F
 from hitprism.schema import HIT_ID, HITS, ROW_ORDER, require
 
 
+_OFFER = ["type", "value", "play_value", "deposit_requirement"]
 # The long texts, and what reports derive from them.
 _TEXTS = ["subject", "content", "translated_content"]
 _DERIVED = {"subject_chars": "subject", "subject_emoji": "subject", "content_emoji": "content"}
 
 
 def _row_keys(df, columns):
-    """An order of rows by hashes of fixed width: of all columns but the texts, then
-    of each text in turn, up to the last one that ``columns`` need. Rows that tie are
-    alike in all that is asked for, so reports agree on the row whatever they read."""
+    """An order of rows by longs: rows that lack fewer of the offer's columns come
+    first, then a hash of all columns but the texts decides; then one of each text in
+    turn, up to the last that ``columns`` need. Rows that tie are alike in all that is
+    asked for, so reports agree on the row whatever they read."""
     plain = [c for c in HITS.names if c in df.columns and c not in (HIT_ID, *_TEXTS)]
     texts = [c for c in _TEXTS if c in df.columns]
     read = {_DERIVED.get(c, c) for c in columns}
     unknown = read - set(HITS.names)
     needed = max((i + 1 for i, c in enumerate(texts) if c in read or unknown), default=0)
     groups = [plain, *[[c] for c in texts[:needed]]]
-    return [F.xxhash64(*g).alias(f"key_{i}") for i, g in enumerate(groups) if g]
+    keys = [F.xxhash64(*g) for g in groups if g]
+    lacking = sum((F.col(c).isNull().cast("long") for c in _OFFER if c in plain), F.lit(0))
+    if keys:
+        keys[0] = F.shiftrightunsigned(keys[0], 4).bitwiseOR(F.shiftleft(lacking.cast("long"), 60)) if plain else keys[0]
+    return [k.alias(f"key_{i}") for i, k in enumerate(keys)]
 
 
 def first_rows(df, *columns, order=None):

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hitprism.functions import offers
+from hitprism.operators.counts import N_ROWS, n_rows_column
 from hitprism.plans.groups import broadcast_top, top_rows
 from hitprism.schema import HIT_ID
 
@@ -18,7 +19,7 @@ SCOPES = ["overall", "per_lifecycle", "per_competitor"]
 def _labelled(hits, *columns):
     label = offers.offer_label(F.col("type"), F.col("value")).alias("offer_label")
     kind = offers.type_or_default(F.col("type")).alias("type")
-    return hits.select(*columns, kind, label)
+    return hits.select(*columns, kind, label, n_rows_column(hits))
 
 
 def top_offers_no_promo(hits, n=30):
@@ -28,7 +29,7 @@ def top_offers_no_promo(hits, n=30):
     """
     rows = _labelled(hits, "competitor_name")
     rows = rows.where(~F.col("type").isin(NO_OFFER_TYPES) & F.col("competitor_name").isNotNull())
-    counts = rows.groupBy("competitor_name", "offer_label").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("competitor_name", "offer_label").agg(F.sum(N_ROWS).alias("n"))
     stats = counts.groupBy("offer_label").agg(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_competitors")
     )
@@ -46,7 +47,7 @@ def top_offers(hits, n=30):
         _labelled(hits, "competitor_name")
         .where(F.col("competitor_name").isNotNull())
         .groupBy(*keys, "competitor_name")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(N_ROWS).alias("n"))
     )
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     best = totals.orderBy(F.desc("total"), *keys).limit(n)
@@ -72,7 +73,7 @@ def offer_mix(hits, scope="overall"):
 
     # count first, so that only the few counted rows are expanded to subtotals
     keys = ["scope_value", *path]
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(*keys).agg(F.sum(N_ROWS).alias("n"))
     key_columns = [F.col(k) for k in keys]
     sets = [key_columns[: 1 + depth] for depth in range(len(path), -1, -1)]
     depth = sum((F.lit(1) - F.grouping(p).cast("int") for p in path), F.lit(0))

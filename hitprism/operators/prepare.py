@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hitprism.functions import holidays, offers, text
 from hitprism.plans.texts import with_text_value
-from hitprism.schema import HIT_ID
+from hitprism.schema import HIT_ID, ROW_ORDER
 
 # Length of a joined subject list, and the subjects that can matter for it:
 # distinct texts joined by "; " take 3 characters each, but for one empty text.
@@ -88,27 +88,31 @@ def with_seasons(df):
 def subject_rollup(df):
     """Instances and joined distinct subjects per competitor and offer.
 
-    Subjects are joined in name order and cut at 2000 characters, so only the
-    first few hundred of a group can show. Each task keeps those of its own
-    rows before the shuffle, and no group is collected whole.
+    Subjects are joined in the order they are first seen, if the rows know their load
+    order, else in name order, and cut at 2000 characters; so only the first few
+    hundred of a group can show. Each task keeps those of its own rows before the
+    shuffle, and no group is collected whole.
     """
+    loaded = [ROW_ORDER] if ROW_ORDER in df.columns else []
     keys = ["competitor_name", "offer_label"]
     rows = df.select(
         *keys[:1],
         offers.offer_label(F.col("type"), F.col("value")).alias("offer_label"),
         "subject",
         HIT_ID,
+        *loaded,
     )
     # null subjects form one group of their own, so that no row is lost
-    counts = rows.groupBy(*keys, "subject").agg(F.count(HIT_ID).alias("n"))
+    seen = F.min(ROW_ORDER) if loaded else F.lit(0)
+    counts = rows.groupBy(*keys, "subject").agg(F.count(HIT_ID).alias("n"), seen.alias("seen"))
     instances = counts.groupBy(*keys).agg(F.sum("n").alias("instances"))
-    by_name = Window.partitionBy(*keys).orderBy("subject")
+    in_order = Window.partitionBy(*keys).orderBy("seen", "subject")
     joined = (
         counts.where(F.col("subject").isNotNull())
-        .withColumn("place", F.row_number().over(by_name))
+        .withColumn("place", F.row_number().over(in_order))
         .where(F.col("place") <= SUBJECTS_NEEDED)
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("subject")).alias("list"))
+        .agg(F.array_sort(F.collect_list(F.struct("seen", "subject")))["subject"].alias("list"))
         .select(
             *keys,
             F.substring(F.array_join("list", "; "), 1, SUBJECTS_LENGTH).alias("subjects"),

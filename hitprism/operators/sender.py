@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from hitprism.functions import text, times
+from hitprism.functions import addresses, text, times
 from hitprism.operators.messages import messages
 from hitprism.schema import HIT_ID, require
 
 UNKNOWN = "Unknown"
+_DIGITS = "0123456789abcdef"
 
 
 def _domain_groups(hits, deduped, unicode_words, *keys):
@@ -148,6 +149,31 @@ def provider_matrix_by_network(hits, networks):
     return provider_matrix(hits, owners)
 
 
+def provider_matrix_by_range(hits, ranges):
+    """``provider_matrix`` by ranges of IPv4 and IPv6 addresses, both ends included.
+
+    ``ranges(first_ip, last_ip, org)`` may overlap: of the ranges that hold an address
+    the one that starts last counts, then the one that ends first, then the first name
+    in order. A range is kept as the beginnings that its addresses have in common, a
+    few digits each; an address is looked up by each of its own beginnings, by
+    equality. Rows whose ends are no addresses, or in the wrong order, hold none.
+    """
+    require(hits, "from_ip")
+    first, last = addresses.address_key(F.col("first_ip")), addresses.address_key(F.col("last_ip"))
+    blocks = ranges.select(first.alias("first"), last.alias("last"), "org").where("first <= last").select(
+        "first", "last", "org", F.explode(addresses.range_prefixes(F.col("first"), F.col("last"))).alias("block"))
+    probes = (
+        hits.select("from_ip").dropna().distinct()
+        .select("from_ip", addresses.address_key(F.col("from_ip")).alias("key")).where("key IS NOT NULL")
+        .select("from_ip", F.explode(addresses.prefixes(F.col("key"))).alias("block"))
+    )
+    # of equal starts the smallest end and name: as a maximum, by what they fall short of
+    latest = F.struct(F.col("first"), F.translate("last", _DIGITS, _DIGITS[::-1]).alias("end"))
+    best = probes.join(blocks, "block").groupBy("from_ip", latest.alias("place")).agg(F.min("org").alias("org"))
+    owners = best.groupBy("from_ip").agg(F.max_by("org", "place").alias("org"))
+    return provider_matrix(hits, owners)
+
+
 def provider_list(hits, ip_dim):
     """Providers of each competitor in name order, joined by ``; ``."""
     names = F.array_sort(F.collect_list("provider"))

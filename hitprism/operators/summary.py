@@ -6,6 +6,8 @@ from string import Formatter
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from hitprism.operators.counts import N_ROWS, n_rows, n_rows_column
+
 SUMMARY, ADVICE = "summary", "recommendation"
 
 # The sentences, whole; each {column} is filled in.
@@ -37,7 +39,7 @@ def _names():
 
 def totals(hits):
     """Number of rows, number and names of competitors."""
-    per_name = hits.groupBy("competitor_name").agg(F.count(F.lit(1)).alias("n"))
+    per_name = hits.groupBy("competitor_name").agg(n_rows(hits).alias("n"))
     one = per_name.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.count("competitor_name").alias("competitors"),
@@ -52,7 +54,7 @@ def vertical_totals(hits):
     per_name = (
         hits.where(F.col("vertical").isNotNull())
         .groupBy("vertical", "competitor_name")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(n_rows(hits).alias("n"))
     )
     return per_name.groupBy("vertical").agg(
         F.count("competitor_name").alias("competitors"),
@@ -70,14 +72,14 @@ def leaders(hits):
     All three in one pass; of equally common values the first in name order.
     """
     rows = hits.select(
-        "promotion_types", "category", F.to_date("local_created_at").cast("string").alias("date")
+        "promotion_types", "category", F.to_date("local_created_at").cast("string").alias("date"), n_rows_column(hits)
     )
     sets = [[F.col(c)] for c in _LEADERS]
     metric = F.coalesce(*[F.when(F.grouping(c) == 0, F.lit(m)) for c, m in _LEADERS.items()])
     first = Window.partitionBy("metric").orderBy(F.desc("n"), "value")
     return (
         rows.groupingSets(sets, *_LEADERS)
-        .agg(F.count(F.lit(1)).alias("n"), metric.alias("metric"))
+        .agg(F.sum(N_ROWS).alias("n"), metric.alias("metric"))
         .select("metric", F.coalesce(*_LEADERS).alias("value"), "n")
         .where(F.col("value").isNotNull())
         .withColumn("place", F.row_number().over(first))
@@ -113,12 +115,17 @@ def _lines(df, section, block, sentences, key=None):
     )
 
 
-def summary_lines(hits):
-    """Summary and advice as text lines, numbered from 1 in each section."""
-    total, lead = totals(hits), leaders(hits)
+def summary_lines(hits, counted=None):
+    """Summary and advice as text lines, numbered from 1 in each section. ``counted``:
+    a function from the name of a set of columns to its counted rows, if there are."""
+    brands = classes = days = hits
+    if counted:
+        brands, classes = counted("channel"), counted("classification")
+        days = counted("promotion").unionByName(counted("local_day"), allowMissingColumns=True)
+    total, lead = totals(brands), leaders(days)
     frames = {m: total.where(F.col("metric") == m) for m in ("rows", "competitors", "names")}
     frames |= {m: lead.where(F.col("metric") == m) for m in _LEADERS.values()}
-    frames |= {"vertical": vertical_totals(hits), "single": single_classification(hits).where("is_single")}
+    frames |= {"vertical": vertical_totals(brands), "single": single_classification(classes).where("is_single")}
     parts = [
         _lines(frames[about], section, block, sentences, "vertical" if about == "vertical" else None)
         for section, table in ((SUMMARY, SENTENCES), (ADVICE, ADVICE_SENTENCES))

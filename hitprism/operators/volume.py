@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hitprism.functions import numbers, times
+from hitprism.operators.counts import n_rows
 from hitprism.operators.messages import messages
 from hitprism.plans.groups import numbered
 from hitprism.schema import HIT_ID
@@ -18,7 +19,7 @@ def _no_nulls(df, *columns):
 
 def _count(df, *keys):
     """Rows per key combination; rows with a null key do not count."""
-    return _no_nulls(df, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return _no_nulls(df, *keys).groupBy(*keys).agg(n_rows(df).alias("n"))
 
 
 def competitor_table(hits, deduped=False):
@@ -82,18 +83,17 @@ def velocity(hits, days=30, deduped=False):
     )
 
 
+# Fixed value: what the whole time looked at is called.
+_SINCE_CREATION = "Since Creation -"
+
+
 def _labelled(table, period):
-    if period == "all_time":
-        label = "Since Creation -"
-    else:
-        label = str(period).capitalize() if period else ""
-    text = F.concat(F.lit(label + " "), F.col("active_period").cast("string"), F.lit(" days"))
+    name = {"all_time": _SINCE_CREATION, None: "", "": ""}.get(period, str(period).capitalize())
+    days = F.format_string("%s %d days", F.lit(name), "active_period")
     return table.withColumns(
         {
             "weekly_velocity": F.coalesce("weekly_velocity", F.lit(0.0)),
-            "period": F.when(F.col("active_period").isNotNull(), F.trim(text)).otherwise(
-                F.lit(label)
-            ),
+            "period": F.coalesce(F.when(F.col("active_period").isNotNull(), F.trim(days)), F.lit(name)),
         }
     )
 
@@ -123,8 +123,8 @@ def velocity_share(hits, days=30, deduped=False):
 
 def frequency_table(hits, days=30, deduped=False):
     """``velocity``, longest active and then fastest first, numbered from 0."""
-    order = [F.desc("active_period"), F.desc("weekly_velocity"), *_velocity_ties()]
-    return numbered(_velocity(hits, days, deduped), order, "idx", start=0)
+    levels = ["active_period", "weekly_velocity"]
+    return numbered(_velocity(hits, days, deduped), levels, _velocity_ties(), "idx", start=0)
 
 
 def cross_tab(hits, deduped=False):
@@ -135,7 +135,7 @@ def cross_tab(hits, deduped=False):
 
 def hits_over_time(hits):
     """Rows per day of ``created_at``."""
-    return _count(hits.select(F.to_date("created_at").alias("date")), "date")
+    return _count(hits.withColumn("date", F.to_date("created_at")), "date")
 
 
 def channel_mix(hits):

@@ -17,6 +17,7 @@ from hitprism.operators import (
     bundles,
     clock,
     content,
+    counts,
     filters,
     holiday,
     offers,
@@ -30,13 +31,15 @@ from hitprism.operators.messages import first_rows
 from hitprism.operators.wide import cross_tab_label, widen
 from hitprism.plans.shared import shared_folder
 from hitprism.schema import HIT_ID
-from hitprism.sources.hits import parse_times, write_report
-from hitprism.sources.star import hits_from_star, ip_dim, networks
+from hitprism.sources.hits import parse_times, read_hits, read_rejects, write_report
+from hitprism.sources.star import address_ranges, hits_from_star, ip_dim, networks
 
 # The tables' orders date from 1995 to 2001.
 YEAR = 1998
 FIRST_DAY, LAST_DAY = dt.date(1996, 3, 1), dt.date(1999, 6, 30)
 COMPETITOR = "NATION_7"
+# What a user chose, filter by filter.
+CHOSEN = {"vertical": ["Casino", "Sports"], "lifecycle": ["BUILDING", "MACHINERY"], "category": ["1-URGENT", "5-LOW"], "channel": ["email"]}
 # Columns of the wide cross-tab, known from the tables' values.
 CROSS_COLUMNS = [
     f"{vertical} | {lifecycle} | {channel}"
@@ -76,6 +79,22 @@ def _stored_report(hits):
     return spark.read.parquet(path)
 
 
+def _rejects(hits):
+    """Hits as CSV, some of them with an id that is no number: clean and rejected rows
+    per channel, and the rows kept with nulls."""
+    spark = hits.sparkSession
+    path = f"{shared_folder(spark)}/reports/hits-{uuid.uuid4().hex}"
+    bad = F.when(F.col("category") == "1-URGENT", F.lit("none")).otherwise(F.col("tracking_id").cast("string"))
+    plain = hits.withColumns({"content": F.lit("x"), "translated_content": F.lit("x"), "tracking_id": bad})
+    plain.write.options(header="true").csv(path)
+    clean, lenient = (read_hits(spark, path, "csv", bad=b) for b in ("drop", "null"))
+    rejects = read_rejects(spark, path, "csv")
+    counted = [clean.groupBy("channel").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("clean")),
+               lenient.where("tracking_id IS NULL").groupBy("channel").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("null")),
+               rejects.agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("channel"), "n", F.lit("rejected").alias("kind"))]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 def _domains(hits):
     return prepare.with_sender_domain(hits, unicode_words=False).select(HIT_ID, "from", "from_domain")
 
@@ -100,6 +119,13 @@ def _calendar_parts(hits):
     )
 
 
+def _some_v6(hits):
+    """Hits whose IPv4 senders are IPv6 ones for every third account."""
+    parts = F.split("from_ip", r"\.")
+    v6 = F.concat(F.lit("2001:DB8::"), parts[2], F.lit(":0:0:"), parts[3])
+    return hits.withColumn("from_ip", F.when(F.col("tracking_id") % 3 == 0, v6).otherwise(F.col("from_ip")))
+
+
 def _nullable(df, column):
     """A whole number that may be null, as double: the one form in which all
     engines hand it out alike."""
@@ -121,6 +147,7 @@ OPERATORS = {
     "S1": lambda h: digested(h),
     "S2": lambda h: parse_times(_as_text(h, False), ["created_at"], strict=True),
     "S3": lambda h: parse_times(_as_text(h, True), ["created_at"], strict=False),
+    "S1_rejects": _rejects,
     "S4": _stored_report,
     # filters and periods
     "F1": lambda h: digested(
@@ -132,6 +159,7 @@ OPERATORS = {
     "F2": lambda h: digested(filters.filter_dates(h, FIRST_DAY, LAST_DAY)),
     "F3": lambda h: filters.filter_options(h, "competitor_name"),
     "F3_accounts": lambda h: filters.filter_options(h, "tracking_id"),
+    "F3_cascade": lambda h: filters.filter_cascade(h, CHOSEN),
     "F4": filters.date_bounds,
     "F5": lambda h: digested(filters.filter_year(h, YEAR)),
     "P1": lambda h: digested(filters.first_n_days(h, 365)),
@@ -170,6 +198,7 @@ OPERATORS = {
     "R11": volume.promo_by_category,
     "R12": volume.classification_counts,
     "R13": volume.channel_type_counts,
+    "R8_R53_counts": lambda h: counts.row_counts(h).withColumns({c: F.to_date(c) for c in ("created_at", "local_created_at")}),
     # time of day and calendar
     "R14": clock.hour_heatmap,
     "R14_wide": lambda h: widen(clock.hour_heatmap(h), "day_of_week", "hour", "n", list(range(24))),
@@ -196,6 +225,7 @@ OPERATORS = {
         sender.provider_matrix(h, ip_dim(h)), "competitor_name", "provider", "n_ips"
     ),
     "R26_cidr": lambda h: sender.provider_matrix_by_network(h, networks(h)),
+    "R26_ranges": lambda h: sender.provider_matrix_by_range(_some_v6(h), address_ranges(h)),
     "R27": lambda h: sender.provider_list(h, ip_dim(h)),
     # content
     "R28": content.subject_length,

@@ -3,10 +3,13 @@
 import datetime as dt
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
 from hitprism.operators import (
     bundles,
     clock,
     content,
+    counts,
     filters,
     holiday,
     offers,
@@ -20,6 +23,9 @@ from hitprism.operators.messages import first_rows
 from hitprism.plans.shared import shared_table
 from hitprism.sources.hits import write_report
 
+# Name of the list of a set of reports.
+MANIFEST = "reports.json"
+
 # What the message-level reports read; message texts only as derived features.
 MESSAGE_COLUMNS = [
     "competitor_name",
@@ -76,9 +82,9 @@ def reports(hits, selection=None, year=2025, ip_dim=None, more=False, share=True
 
     With ``share`` the selected rows are written once to the shared folder, what
     is looked for in long texts as columns instead of the texts, and so are the
-    deduplicated messages; all reports read these tables. Reports that number
-    their whole result sort it while they are built. ``more`` adds the reports
-    that are not part of the standard set.
+    deduplicated messages, and the rows counted once for all reports that only count
+    rows; all reports read these tables. ``more`` adds the reports that are not part
+    of the standard set.
     """
     selection = selection or Selection()
     rows = select_hits(hits, selection)
@@ -91,6 +97,12 @@ def reports(hits, selection=None, year=2025, ip_dim=None, more=False, share=True
     if share:
         msgs = shared_table(msgs, "messages")
 
+    # the reports that only count rows share one scan
+    counted = shared_table(counts.row_counts(rows), "counts") if share else None
+
+    def counts_of(name):
+        return counts.part(counted, name) if share else rows
+
     named = {
         "competitor_table": volume.competitor_table(msgs, deduped=True),
         "competitor_volume": volume.competitor_volume(msgs, deduped=True),
@@ -113,14 +125,14 @@ def reports(hits, selection=None, year=2025, ip_dim=None, more=False, share=True
         "promo_types": content.promo_types(rows),
         "tonality": content.tonality(msgs, deduped=True),
         "timeline": timeline.timeline(rows),
-        "top_offers_no_promo": offers.top_offers_no_promo(rows),
-        "top_offers": offers.top_offers(rows),
-        "offer_mix": offers.offer_mix(rows),
+        "top_offers_no_promo": offers.top_offers_no_promo(counts_of("offer")),
+        "top_offers": offers.top_offers(counts_of("offer")),
+        "offer_mix": offers.offer_mix(counts_of("offer")),
         "bundle_sizes": bundles.bundle_sizes(rows),
         "offer_pairs": offers.offer_pairs(rows),
-        "channel_mix": volume.channel_mix(rows),
-        "hits_over_time": volume.hits_over_time(rows),
-        "summary": summary.summary_lines(rows),
+        "channel_mix": volume.channel_mix(counts_of("channel")),
+        "hits_over_time": volume.hits_over_time(counts_of("created_day")),
+        "summary": summary.summary_lines(rows, counts_of if share else None),
     }
     if ip_dim is not None:
         named["provider_matrix"] = sender.provider_matrix(rows, ip_dim)
@@ -139,10 +151,10 @@ def reports(hits, selection=None, year=2025, ip_dim=None, more=False, share=True
             "seasonal_activity": holiday.seasonal_activity(rows),
             "holiday_promos": holiday.holiday_promos(rows),
             "holiday_timeline": timeline.holiday_timeline(rows),
-            "promo_type_counts": volume.promo_type_counts(rows),
-            "promo_by_category": volume.promo_by_category(rows),
-            "classification_counts": volume.classification_counts(rows),
-            "channel_type_counts": volume.channel_type_counts(rows),
+            "promo_type_counts": volume.promo_type_counts(counts_of("promotion")),
+            "promo_by_category": volume.promo_by_category(counts_of("promotion")),
+            "classification_counts": volume.classification_counts(counts_of("classification")),
+            "channel_type_counts": volume.channel_type_counts(counts_of("channel_type")),
         }
         if ip_dim is not None:
             named["provider_list"] = sender.provider_list(rows, ip_dim)
@@ -150,6 +162,16 @@ def reports(hits, selection=None, year=2025, ip_dim=None, more=False, share=True
 
 
 def write_reports(named, folder, fmt="parquet"):
-    """One folder per report."""
+    """One folder per report, and a table of their names, rows and columns written
+    after the last one: a set of reports without it is not whole."""
     for name, report in named.items():
         write_report(report, f"{folder}/{name}", fmt)
+    spark = next(iter(named.values())).sparkSession if named else SparkSession.active()
+    listed = [(name, report.columns) for name, report in named.items()]
+    spark.createDataFrame(listed, "report string, columns array<string>").coalesce(1).write.json(f"{folder}/{MANIFEST}")
+
+
+def read_reports(spark, folder, fmt="parquet"):
+    """The reports of a whole set, by name; fails if their list is not there yet."""
+    listed = spark.read.schema("report string, columns array<string>").json(f"{folder}/{MANIFEST}").collect()
+    return {r["report"]: spark.read.format(fmt).load(f"{folder}/{r['report']}") for r in listed}

@@ -10,8 +10,6 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hitprism.plans.shared import checkpointed
-
 # Largest number of rows of a cut list that may be broadcast.
 BROADCAST_TOP = 500_000
 
@@ -45,29 +43,31 @@ def broadcast_top(best, n):
     return F.broadcast(best) if n <= BROADCAST_TOP else best
 
 
-def numbered(df, order, index, start=1):
-    """Number all rows in order, whatever their count.
+def ranked(df, order, index, start=1):
+    """Number the rows of a frame that is small by construction: one row per brand,
+    type, tone or the like. They meet in one task."""
+    return df.withColumn(index, (F.row_number().over(Window.orderBy(*order)) + F.lit(start - 1)).cast("long"))
+
+
+def numbered(df, levels, ties, index, start=1):
+    """Number all rows, whatever their count, by two columns, both from the largest
+    down, and then by ``ties``; lazy.
 
-    The rows are sorted across partitions and kept that way; a row's number is
-    its place in its partition plus the rows of the partitions before. Only the
-    partition sizes (one row each) meet in one task.
+    A row's number is the rows with a larger first value, those of the same first and
+    a larger second value, and its place among those with the same two. The first two
+    come from counts per pair of values, added up over the values of the first column,
+    which must be few (such as days), and over those of the second within it.
     """
-    part, place, before = "part_no", "place_in_part", "rows_before"
-    kept = checkpointed(df.orderBy(*order))
-    tagged = kept.withColumns(
-        {
-            part: F.spark_partition_id(),
-            place: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
-        }
-    )
-    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy(part)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
-    )
+    first, second = levels
+    n, before, inner = "pair_rows", "rows_before", "rows_before_in_first"
+    pairs = df.groupBy(first, second).agg(F.count(F.lit(1)).alias(n))
+    larger = Window.orderBy(F.desc(first)).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = pairs.groupBy(first).agg(F.sum(n).alias("all")).select(first, F.coalesce(F.sum("all").over(larger), F.lit(0)).alias(before))
+    within = Window.partitionBy(first).orderBy(F.desc(second)).rowsBetween(Window.unboundedPreceding, -1)
+    places = pairs.select(first, second, F.coalesce(F.sum(n).over(within), F.lit(0)).alias(inner)).join(firsts, first)
+    place = F.row_number().over(Window.partitionBy(first, second).orderBy(*ties))
     return (
-        tagged.join(F.broadcast(offsets), part)
-        .withColumn(index, (F.col(place) + F.col(before) + F.lit(start)).cast("long"))
-        .drop(part, place, before)
+        df.withColumn(index, place).join(places, [first, second])
+        .withColumn(index, (F.col(index) + F.col(before) + F.col(inner) + F.lit(start - 1)).cast("long"))
+        .select(*df.columns, index)
     )

@@ -7,9 +7,10 @@ operators: self-joins, ordered aggregates and window frames over whole groups.
 import datetime as dt
 
 from hitprism.functions.text import EMOJI_CLASS
-from hitprism.plans.catalog import COMPETITOR, FIRST_DAY, LAST_DAY, YEAR
-from hitprism.schema import HITS
-from hitprism.sources.star import hits_sql
+from hitprism.operators.counts import SETS
+from hitprism.plans.catalog import CHOSEN, COMPETITOR, FIRST_DAY, LAST_DAY, YEAR
+from hitprism.schema import FILTER_COLUMNS, HITS
+from hitprism.sources.star import RANGES, hits_sql
 
 NATIONS = [f"NATION_{i}" for i in range(25)]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -225,6 +226,43 @@ _CIDR_PROVIDERS = (
     f"= ({_IP_NUMBER.format('network')}) // CAST(pow(2, 32 - prefix) AS BIGINT) "
     "ORDER BY competitor_name, from_ip, prefix DESC NULLS LAST) AS longest GROUP BY 1, 2"
 )
+_RANGES = " UNION ALL ".join(
+    f"SELECT DISTINCT {family} AS family, ({a}) * 1000 + {b} AS low, ({c}) * 1000 + {d} AS high, '{org}' AS org "
+    f"FROM senders WHERE {where}" for family, a, b, c, d, org, where in RANGES)
+_SENDERS = (
+    "SELECT DISTINCT competitor_name, CASE WHEN tracking_id % 3 = 0 THEN 6 ELSE 4 END AS family, "
+    "CAST(split_part(from_ip, '.', 3) AS INT) AS a, CAST(split_part(from_ip, '.', 4) AS INT) AS b "
+    "FROM hits WHERE from_ip IS NOT NULL"
+)
+_RANGE_PROVIDERS = (
+    "SELECT competitor_name, coalesce(org, 'Unknown') AS provider, count(*) AS n_ips FROM ("
+    "SELECT DISTINCT ON (competitor_name, s.family, a, b) competitor_name, org FROM senders AS s "
+    "LEFT JOIN ranges AS r ON r.family = s.family AND a * 1000 + b BETWEEN low AND high "
+    "WHERE competitor_name IS NOT NULL "
+    "ORDER BY competitor_name, s.family, a, b, low DESC NULLS LAST, high, org) AS chosen GROUP BY 1, 2"
+)
+
+
+def _cascade(chosen):
+    """The values at each filter by filtering step by step."""
+    parts, fits = [], ["true"]
+    for i, c in enumerate(FILTER_COLUMNS):
+        parts.append(f"SELECT DISTINCT CAST({i} AS INT) AS position, '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value "
+                     f"FROM hits WHERE {c} IS NOT NULL AND {' AND '.join(fits)}")
+        if chosen.get(c):
+            fits.append(f"{c} IN ({', '.join(repr(v) for v in chosen[c])})")
+    return " UNION ALL ".join(parts)
+
+
+def _counted():
+    columns = list(dict.fromkeys(c for names in SETS.values() for c in names))
+    days = ("created_at", "local_created_at")
+    own = {c: f"CAST(CAST({c} AS DATE) AS VARCHAR)" if c in days else c for c in columns}
+    return " UNION ALL ".join(
+        "SELECT " + ", ".join(f"{own[c] if c in names else 'CAST(NULL AS VARCHAR)'} AS {c}" for c in columns)
+        + f", count(*) AS n_rows, '{part}' AS part FROM hits GROUP BY ALL" for part, names in SETS.items())
+
+
 _EARLY = "epoch_us(local_created_at) - epoch_us(tracking_start_at) <= 172800000000"
 
 
@@ -415,6 +453,10 @@ def oracle_sql():
         "S2": _with("SELECT tracking_hit_id, play_value, created_at FROM hits"),
         "S3": _with("SELECT tracking_hit_id, play_value, CASE WHEN play_value = '' THEN NULL "
                     "ELSE created_at END AS created_at FROM hits"),
+        "S1_rejects": _with(
+            "SELECT channel, count(*) AS n, 'clean' AS kind FROM hits WHERE category <> '1-URGENT' GROUP BY 1 "
+            "UNION ALL SELECT channel, count(*), 'null' FROM hits WHERE category = '1-URGENT' GROUP BY 1 "
+            "UNION ALL SELECT NULL, count(*), 'rejected' FROM hits WHERE category = '1-URGENT'"),
         "S4": _with(_count("msgs", "competitor_name")),
         "F1": _with(f"SELECT {_DIGESTED} FROM hits WHERE country IN ('ASIA', 'EUROPE') "
                     "AND channel IN ('email', 'sms')"),
@@ -424,6 +466,7 @@ def oracle_sql():
                     "WHERE competitor_name IS NOT NULL"),
         "F3_accounts": _with("SELECT DISTINCT tracking_id AS value FROM hits "
                              "WHERE tracking_id IS NOT NULL"),
+        "F3_cascade": _with(_cascade(CHOSEN)),
         "F4": _with("SELECT min(local_created_at) AS min_ts, max(local_created_at) AS max_ts "
                     "FROM hits"),
         "F5": _with(f"SELECT {_DIGESTED} FROM hits WHERE year(local_created_at) = {YEAR}"),
@@ -513,6 +556,7 @@ def oracle_sql():
         "R11": _with(_count("hits", "promotion_types", "category")),
         "R12": _with(_count("hits", "classification")),
         "R13": _with(_count("hits", "channel_type")),
+        "R8_R53_counts": _with(_counted()),
         "R14": _with(f"SELECT {_DAY_NAME} AS day_of_week, hour, n FROM heat", **heat),
         "R14_wide": _with(
             _wide(f"SELECT {_DAY_NAME} AS day_of_week, CAST(hour AS VARCHAR) AS h, n FROM heat",
@@ -599,6 +643,7 @@ def oracle_sql():
         "R26_wide": _with(_wide(_PROVIDERS, "competitor_name", "provider", "n_ips", PROVIDERS),
                           ip_dim=_IP_DIM),
         "R26_cidr": _with(_CIDR_PROVIDERS, ip_dim=_IP_DIM, networks=_NETWORKS),
+        "R26_ranges": _with(_RANGE_PROVIDERS, senders=_SENDERS, ranges=_RANGES),
         "R27": _with(
             "SELECT competitor_name, string_agg(provider, '; ' ORDER BY provider) AS providers "
             f"FROM ({_PROVIDERS}) AS p GROUP BY 1", ip_dim=_IP_DIM),

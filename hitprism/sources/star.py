@@ -154,3 +154,24 @@ def networks(hits):
     narrow = ip_dim(hits).where(part[3].isin("0", "5")).select(
         F.col("from_ip").alias("network"), F.when(part[3] == "0", 31).otherwise(32).alias("prefix"), "org")
     return wide.union(narrow)
+
+
+# Ranges of the addresses seen: family, third and fourth part of both ends (``a`` is
+# an address's own third part), provider, and the third parts that have the range.
+RANGES = [
+    (4, "a", "0", "a", "255", "AS500 Wide Net", "a <> 3"),
+    (4, "a", "2", "a + 1", "3", "AS600 Cross Net", "a = 1"),
+    (4, "a", "4", "a", "5", "AS700 Next Net", "true"),
+    (4, "a", "4", "a", "4", "AS750 Point Net", "a = 0"),
+    (6, "a", "0", "a", "5", "AS800 Six Net", "a <> 2"),
+    (6, "a", "3", "a + 1", "1", "AS900 Six Cross", "a = 0"),
+]
+
+
+def address_ranges(hits):
+    """Ranges of IPv4 and IPv6 addresses that overlap, touch and share starts."""
+    parts = hits.where(F.col("from_ip").isNotNull()).select(F.split("from_ip", r"\.")[2].cast("int").alias("a")).distinct()
+    shape = {4: "concat('10.0.', {0}, '.', {1})", 6: "concat('2001:db8:0:0:', lower(hex({0})), '::', lower(hex({1})))"}
+    each = [F.when(F.expr(where), F.struct(F.expr(shape[family].format(a, b)).alias("first_ip"), F.expr(shape[family].format(c, d)).alias("last_ip"),
+                                           F.lit(org).alias("org"))) for family, a, b, c, d, org, where in RANGES]
+    return parts.select(F.explode(F.array(*each)).alias("r")).where("r IS NOT NULL").select("r.*")

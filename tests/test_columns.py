@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from hitprism.functions import holidays, numbers, text, times
 from hitprism.operators import prepare
 from hitprism.operators.messages import first_rows
-from hitprism.sources.hits import parse_times
+from hitprism.sources.hits import parse_times, read_hits
 
 
 def one(spark, expression):
@@ -149,6 +149,23 @@ def test_subjects_are_joined_in_order_and_cut(hits):
     assert got == [(None, "No Promo - No Value", 1, ""), ("C", "T - V", 1800, whole[:2000])]
 
 
+def test_subjects_in_order_of_first_sight(spark, hits, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    table = [{"tracking_hit_id": i, "competitor_name": rng.choice("AB"), "type": "T", "value": rng.choice("12"),
+              "subject": rng.choice([None, "", *[f"subject {rng.randint(0, 600)}" for _ in range(20)]])} for i in range(2000)]
+    hits(*table).coalesce(1).write.parquet(str(tmp_path / "h"))
+    want = {}
+    for r in table:
+        group = want.setdefault((r["competitor_name"], f"T - {r['value']}"), [])
+        if r["subject"] is not None and r["subject"] not in group:
+            group.append(r["subject"])
+    got = prepare.subject_rollup(read_hits(spark, str(tmp_path / "h"), keep_row_order=True))
+    assert rows(got, "competitor_name", "offer_label", "subjects") == sorted((*k, "; ".join(v)[:2000]) for k, v in want.items())
+    assert max(len("; ".join(v)) for v in want.values()) > 2000
+
+
 def test_short_subjects_need_the_most_of_them(hits):
     letters = sorted({chr(c) for c in range(0x21, 0x21 + 900)})
     h = hits(*[{"tracking_hit_id": i, "competitor_name": "C", "subject": s}

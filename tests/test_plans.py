@@ -2,8 +2,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from hitprism.operators.clock import time_distribution
+from hitprism.operators.content import promo_types, tonality
+from hitprism.operators.volume import frequency_table
 from hitprism.plans import shared
-from hitprism.plans.groups import numbered, top_rows, with_group_values
+from hitprism.plans.groups import numbered, ranked, top_rows, with_group_values
 
 
 @pytest.fixture
@@ -46,12 +49,26 @@ def test_group_values_join_deals_both_sides_anew(spark, skewed):
 
 def test_numbered_counts_across_partitions(spark):
     frame = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(7)
-    got = numbered(frame, [F.desc("v")], "i", start=0)
+    frame = frame.selectExpr("v div 100 as a", "v % 100 div 40 as b", "v")
+    got = numbered(frame, ["a", "b"], [F.desc("v")], "i", start=0)
     assert rows(got, "v", "i") == [(v, 999 - v) for v in range(1000)]
+    assert rows(ranked(frame, [F.asc("v")], "i"), "v", "i") == [(v, v + 1) for v in range(1000)]
 
 
 def test_numbered_of_nothing(spark):
-    assert numbered(spark.range(0), [F.asc("id")], "i").collect() == []
+    nothing = spark.range(0).selectExpr("id", "id as a", "id as b")
+    assert numbered(nothing, ["a", "b"], [F.asc("id")], "i").collect() == []
+
+
+def test_building_numbered_reports_starts_no_job(spark, star_hits):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        for report in (frequency_table, time_distribution, promo_types, tonality):
+            report(star_hits)
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_top_rows(spark):

@@ -8,7 +8,7 @@ from hitprism.operators.messages import first_rows
 from hitprism.operators.volume import competitor_volume
 from hitprism.plans.dashboard import Selection, reports, select_hits, write_reports
 from hitprism.schema import HITS
-from hitprism.sources.hits import read_hits, write_report
+from hitprism.sources.hits import read_hits, read_rejects, write_report
 from hitprism.sources.star import ip_dim
 
 
@@ -36,6 +36,37 @@ def test_bad_values_fail_the_load(spark, tmp_path):
         read_hits(spark, "x", "xlsx")
 
 
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_bad_lines_no_longer_end_the_load(spark, hits, tmp_path, fmt):
+    path = str(tmp_path / fmt)
+    good = [{"tracking_hit_id": i, "competitor_name": f"c{i}", "created_at": at("2025-01-02")} for i in range(5)]
+    options = {"header": "true"} if fmt == "csv" else {}
+    hits(*good).coalesce(1).write.options(**options).format(fmt).save(path)
+    part = next((tmp_path / fmt).glob("part-*"))
+    (tmp_path / fmt / f".{part.name}.crc").unlink()
+    names = HITS.names
+    if fmt == "csv":
+        cells = {"tracking_hit_id": "seven", "competitor_name": "bad id"}, {"tracking_hit_id": "8", "competitor_name": "bad time", "created_at": "no time"}
+        lines = [",".join(c.get(n, "") for n in names) for c in cells] + ["9,short"]
+    else:
+        lines = ['{"tracking_hit_id": "seven", "competitor_name": "bad id"}', '{"tracking_hit_id": 8, "created_at": "no time", "competitor_name": "bad time"}', "{"]
+    part.write_text(part.read_text() + "\n".join(lines) + "\n")
+    with pytest.raises(Exception):
+        read_hits(spark, path, fmt).collect()
+    clean = read_hits(spark, path, fmt, bad="drop")
+    assert clean.schema == HITS and rows(clean, "tracking_hit_id") == [(i,) for i in range(5)] and clean.count() == 5
+    assert sorted(r.line for r in read_rejects(spark, path, fmt).collect()) == sorted(lines)
+    assert read_rejects(spark, path, fmt).count() == 3
+    lenient = rows(read_hits(spark, path, fmt, bad="null").where("created_at IS NULL"), "tracking_hit_id", "competitor_name")
+    assert (None, "bad id") in lenient and (8, "bad time") in lenient and len(lenient) == 3
+    ordered = read_hits(spark, path, fmt, bad="drop", keep_row_order=True)
+    assert ordered.count() == 5 and ordered.columns[-1] == "row_order"
+    with pytest.raises(ValueError):
+        read_hits(spark, path, fmt, bad="skip")
+    with pytest.raises(ValueError):
+        read_rejects(spark, path, "parquet")
+
+
 def test_load_order_decides_the_first_row(spark, hits, tmp_path):
     order = ["c", "a", "b"]
     hits(*[{"tracking_hit_id": 1, "value": v} for v in order]).coalesce(1).write.parquet(str(tmp_path / "h"))
