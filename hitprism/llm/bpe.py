@@ -11,6 +11,7 @@ import base64
 import json
 import os
 import re
+import sys
 from functools import lru_cache
 from itertools import chain
 
@@ -24,9 +25,10 @@ from pyspark.sql import types as T
 from hitprism.llm.batches import LOWER, map_batches, map_partitions, text_slices
 
 SLICE_BYTES = 4 << 20
-#: Pieces remembered by a task (words without space are shorter), and how many
-#: go to the library at once.
-MOST_PIECES, MOST_WORDS, AT_ONCE = 150_000, 400_000, 10_000
+#: Bytes of the pieces that a task remembers, with their ids; characters of the
+#: longest of them; and characters that go to the library at once, whose results
+#: take over a hundred bytes for each.
+MOST_BYTES, MOST_LENGTH, AT_ONCE = 48 << 20, 128, 1 << 18
 
 #: Pieces end before a space that no white space precedes: no match of a
 #: pattern of this kind goes over that place, nor looks beyond it.
@@ -91,7 +93,9 @@ def _lowers(tokenizer_json):
 
 
 class Encoder:
-    """Encodes Arrow arrays of texts; keeps the ids of pieces it has seen.
+    """Encodes Arrow arrays of texts; keeps the ids of short pieces it has seen, up
+    to ``MOST_BYTES`` of them. A text that holds the literal of one of the tokenizer's
+    added tokens, in any case, is one piece, so that the library sees it whole.
 
     ``spaces``: whether the vocabulary has tokens with white space. If not, the
     tokenizer drops it and pieces may end at any ASCII white space. ``apart``:
@@ -104,26 +108,48 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
         self.spaces, self.apart = spaces, apart
-        self.most = MOST_PIECES if spaces else MOST_WORDS
+        added = [re.escape(t["content"]) for t in json.loads(tokenizer_json).get("added_tokens") or []]
+        self.added = "|".join(added)
         self.table = LOWER[_TO_SPACE] if _lowers(tokenizer_json) else _TO_SPACE
         self.clear()
 
     def clear(self):
-        self.slots = {}
-        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def _learn(self, pieces):
-        flat, ends = [self.flat], [self.ends]
-        for i in range(0, len(pieces), AT_ONCE):
-            some = pieces[i : i + AT_ONCE]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())))
-            ends.append(ends[-1][-1] + np.cumsum(sizes))
-            self.slots.update(zip(some, range(len(self.slots), len(self.slots) + len(some))))
-        self.flat, self.ends = np.concatenate(flat), np.concatenate(ends)
+        """Forget all pieces."""
+        self.slots, self.bytes = {}, 0
+        self.flat, self.ends = np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int64)
+
+    def _encoded(self, pieces):
+        """Ids of pieces in one array, and how many each has."""
+        sizes, flat = np.zeros(len(pieces), np.int64), [np.zeros(0, np.int32)]
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        row = 0
+        while row < len(pieces):
+            before = int(ends[row - 1]) if row else 0
+            until = max(row + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[row:until], add_special_tokens=False)]
+            sizes[row:until] = np.fromiter(map(len, found), np.int64, len(found))
+            flat.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[row:until].sum())))
+            row = until
+        return np.concatenate(flat), sizes
+
+    def _remember(self, pieces, flat, sizes):
+        """Keep the ids of the short ones; the arrays grow by doubling."""
+        ends = np.cumsum(sizes)
+        for piece, end, size in zip(pieces, ends.tolist(), sizes.tolist()):
+            if len(piece) > MOST_LENGTH:
+                continue
+            n = len(self.slots)
+            start = int(self.ends[n])
+            if n + 2 > len(self.ends):
+                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            while start + size > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[start : start + size] = flat[end - size : end]
+            self.ends[n + 1] = start + size
+            self.slots[piece] = n
+            # the text, its place in the dictionary, and the ids
+            self.bytes += sys.getsizeof(piece) + 100 + 8 + 4 * size
 
     def _pieces(self, texts):
         """The pieces of all texts, and how many each text has; joined, those of
@@ -172,22 +198,46 @@ class Encoder:
 
     def __call__(self, texts):
         """Ids of all texts in one array, and how many each text has."""
-        values, sizes = self._pieces(texts.fill_null(""))
+        values, sizes = self._pieces_and_whole(texts.fill_null(""))
         found = values.dictionary_encode()
         unique = found.dictionary.to_pylist()
-        if len(self.slots) > self.most:
+        if self.bytes > MOST_BYTES:
             self.clear()
-        slots = self.slots
-        self._learn([p for p in unique if p not in slots])
-        slot = np.fromiter(map(slots.__getitem__, unique), np.int64, len(unique))
-        known = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.flat))
-        codes = found.indices
-        ids = known.take(pa.array(slot)).take(codes).flatten().to_numpy(zero_copy_only=False)
-        lengths = np.diff(self.ends)[slot][codes.to_numpy(zero_copy_only=False)]
+        slot = np.fromiter((self.slots.get(p, -1) for p in unique), np.int64, len(unique))
+        fresh = np.flatnonzero(slot < 0)
+        pieces = [unique[i] for i in fresh.tolist()]
+        flat, new_sizes = self._encoded(pieces)
+        # where the ids of each distinct piece are: among those known, then the new ones
+        known = int(self.ends[len(self.slots)])
+        start, size = self.ends[slot], self.ends[slot + 1] - self.ends[slot]
+        start[fresh], size[fresh] = known + np.cumsum(new_sizes) - new_sizes, new_sizes
+        codes = found.indices.to_numpy(zero_copy_only=False)
+        lengths = size[codes]
         total = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat(start[codes] - total[:-1], lengths) + np.arange(total[-1])
+        old = at < known
+        ids = np.empty(len(at), np.int32)
+        ids[old], ids[~old] = self.flat[at[old]], flat[at[~old] - known]
+        self._remember(pieces, flat, new_sizes)
         ends = np.cumsum(sizes)
         return ids, total[ends] - total[ends - sizes]
 
+    def _pieces_and_whole(self, texts):
+        """``_pieces``, but one piece for a text with the literal of an added token."""
+        whole = pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False) if self.added else np.zeros(0, bool)
+        if not whole.any():
+            return self._pieces(texts)
+        parts, sizes, row = [], [], 0
+        for at in [*np.flatnonzero(whole).tolist(), len(texts)]:
+            values, n = self._pieces(texts.slice(row, at - row))
+            parts.append(values.cast(texts.type))
+            sizes.append(n)
+            if at < len(texts):
+                parts.append(texts.slice(at, 1))
+                sizes.append(np.ones(1, np.int64))
+            row = at + 1
+        return pa.concat_arrays(parts), np.concatenate(sizes)
+
 
 @lru_cache(2)
 def _encoder(tokenizer_json, spaces, apart=False):

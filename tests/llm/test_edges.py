@@ -201,7 +201,6 @@ def test_words_end_at_spaces_and_punctuation():
 
     text = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
     library = Tokenizer.from_str(text)
-    library.encode_special_tokens = True
     rnd = random.Random(2)
     parts = ["a", "B", "é", "Σ", "'s", "'", "'LL", ".", ",", " ", "\n", "\x0b", "\u0301", "\u0338", ">", "<|endoftext|>", "9", "\u3000", "K", "_", "\x00"]
     texts = ["", *("".join(rnd.choices(parts, k=rnd.randint(0, 25))) for _ in range(3000))]
@@ -210,6 +209,45 @@ def test_words_end_at_spaces_and_punctuation():
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_added_tokens_are_those_of_the_library():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    text = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    library = Tokenizer.from_str(text)
+    texts = ["one two<|endoftext|> three", "<|ENDOFTEXT|> a", "<|endoftext|>", "plain, text", "x<|startoftext|><|endoftext|>y", "< |endoftext|>", "", "one two"]
+    encoder = bpe.Encoder(text, spaces=False, apart=True)
+    for order in (texts, texts[::-1], texts):  # remembered or not
+        ids, sizes = encoder(pa.array(order))
+        want = [library.encode(t, add_special_tokens=False).ids for t in order]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert library.encode(texts[0], add_special_tokens=False).ids == [637, 1237, 49407, 2097]
+
+
+def test_encoder_memory_is_bounded_by_bytes():
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+import pyarrow as pa
+from hitprism.llm import bpe
+from hitprism.llm.queries import byte_tokenizer
+rnd = random.Random(1)
+encoder = bpe.Encoder(byte_tokenizer())
+encoder(pa.array(["warm up"]))
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before = peak()
+for _ in range(50):
+    encoder(pa.array(["".join(chr(rnd.randint(0x4E00, 0x9FA5)) for _ in range(250)) for _ in range(800)]))
+print(peak() - before, encoder.bytes)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=600, cwd=str(__import__("pathlib").Path(bpe.__file__).parents[2]))
+    grown, remembered = map(float, out.stdout.split())
+    assert grown < 300 and remembered <= bpe.MOST_BYTES
+
+
 def test_substrings(docs, nothing):
     want = substrings([(i, t) for i, t, _ in ROWS])
     got = {r.doc_id: (r.n_words, r.n_removed, sha(r.kept_text)) for r in repeats.remove_repeats(clashing(docs, "n_words", "_x")).collect()}

@@ -64,7 +64,6 @@ def test_quality(spark, docs):
 
 def test_token_file(spark, docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     want, start = {}, 0
     for d, t in sorted(docs):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [q.END_ID]
