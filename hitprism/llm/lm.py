@@ -5,13 +5,16 @@ word) of level q is in the filter with each level 1..q; a reader probes level 1,
 2, ... until a probe fails and knows the count up to a factor of two. A false
 positive can raise a level, nothing lowers it.
 
-The filter is a table with one segment per shard; a shard has a bounded number of
-tokens, so there are more segments, of the same expected size and with the same
-``BITS`` bits per entry, for a larger corpus. Texts are cut into words once, in
-slices kept as a table. A slice sends its distinct bigrams and words, as packed
-32-bit hashes within a shard, to their segments: first with counts, to build them,
-then to be answered with levels, which go back to the slice. No task or driver
-holds more than one segment.
+The filter is a table with one segment per shard; shards have the same number of
+tokens on average, so there are more segments, of the same expected size and with the
+same ``BITS`` bits per entry, for a larger corpus. It is not broadcast: a copy of all
+segments would outgrow any worker. Texts are cut into words once, in slices kept as
+a table. Bigrams and rarer words go to their segments as packed 32-bit hashes within
+a shard: first with counts, added up over up to ``MERGED`` of them in each task, to
+build the segments; then slice by slice, to be answered with levels, which go back to
+the slice. Of a bigram that all texts share, a shard gets one entry for each of these.
+Segments are probed ``AT_ONCE`` hashes at a time. No task or driver holds more than
+one segment.
 
 Word counts are exact at any size: the most frequent words, at most ``HEAD``, are
 broadcast as hashes and counts; a document's other words join their counts.
@@ -34,6 +37,8 @@ HEAD = 1 << 19
 BITS, PROBES = 10, 4
 #: Tokens per shard.
 SHARD_TOKENS = 1 << 21
+#: Entries added up by a task before they are sent, and hashes looked up at once.
+MERGED, AT_ONCE = 1 << 21, 1 << 17
 #: Weight of the bigram's share; the rest is the word's own probability.
 WEIGHT = 0.1
 # small, as a Parquet writer holds at least 100 rows
@@ -121,25 +126,44 @@ def _by_shard(grams, shards):
     return used, [slice(a, b) for a, b in zip(first, np.append(first[1:], len(grams)))]
 
 
-def ngram_filter(slices, shards):
+def _added(keys, n):
+    """Distinct keys, sorted, and the sum of ``n`` for each."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+    return keys[first], np.add.reduceat(n, first, dtype=np.int64) if len(keys) else n.astype(np.int64)
+
+
+def ngram_filter(slices, shards, shared):
     """Rows (shard, top, bits): the filter's segments and their highest levels."""
 
-    def count(batch):
-        for at in range(batch.num_rows):
-            tokens = _Tokens(batch, at)
-            training = tokens.training()
-            grams, n = np.unique(np.concatenate([tokens.pairs[training], tokens.singles[training]]), return_counts=True)
-            low, n = grams.astype(np.uint32), n.astype(np.uint32)
-            used, places = _by_shard(grams, shards)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array([low[p].tobytes() for p in places], pa.binary()),
-                 pa.array([n[p].tobytes() for p in places], pa.binary())], names=["shard", "low", "n"])
+    def sent(held):
+        grams, n = _added(*(np.concatenate(x) for x in zip(*held)))
+        low, n = grams.astype(np.uint32), n.astype(np.uint32)
+        used, places = _by_shard(grams, shards)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int32()), pa.array([low[p].tobytes() for p in places], pa.binary()),
+             pa.array([n[p].tobytes() for p in places], pa.binary())], names=["shard", "low", "n"])
+
+    def count(batches):
+        held, size = [], 0
+        for batch in batches:
+            for at in range(batch.num_rows):
+                tokens = _Tokens(batch, at)
+                training = tokens.training()
+                rare = training & ~_is_head(tokens.values, shared.value[0])
+                held.append(np.unique(np.concatenate([tokens.pairs[training], tokens.singles[rare]]), return_counts=True))
+                size += len(held[-1][0])
+                if size >= MERGED:
+                    yield sent(held)
+                    held, size = [], 0
+        if size:
+            yield sent(held)
 
     def build(table):
-        low = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()])
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()])
-        grams, back = np.unique(low, return_inverse=True)
-        levels = np.frexp(np.bincount(back, weights=n))[1]  # 1 + floor(log2 count)
+        grams, n = _added(*(np.concatenate([np.frombuffer(x, np.uint32) for chunk in table.column(c).chunks for x in _buffers(chunk)])
+                            for c in ("low", "n")))
+        levels = np.frexp(n)[1]  # 1 + floor(log2 count)
         size, top = max(64, int(levels.sum()) * BITS & ~7), int(levels.max())
         bits = np.zeros(size, bool)
         for level in range(1, top + 1):
@@ -148,7 +172,7 @@ def ngram_filter(slices, shards):
         return pa.table({"shard": table.column("shard")[:1], "top": pa.array([top], pa.int32()),
                          "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    counted = map_batches(slices, count, "shard int, low binary, n binary")
+    counted = map_partitions(slices, count, "shard int, low binary, n binary")
     return counted.groupBy("shard").applyInArrow(build, "shard int, top int, bits binary")
 
 
@@ -160,9 +184,18 @@ def _places(low, level, size):
         yield ((first + np.uint64(k) * second) % np.uint64(size)).astype(np.int64)
 
 
+def _buffers(chunk):
+    """The values of a chunk of binaries, not copied."""
+    return [x.as_buffer() for x in chunk]
+
+
 def _levels(low, bits, top):
-    """Level of each bigram or word (lower halves) in a segment: probes go on while
-    all bits are set, to the highest level at most."""
+    """Level of each bigram or word (lower halves) in a segment, some at a time."""
+    return np.concatenate([np.zeros(0, np.uint8), *(_some_levels(low[i:i + AT_ONCE], bits, top) for i in range(0, len(low), AT_ONCE))])
+
+
+def _some_levels(low, bits, top):
+    """Probes go on while all bits are set, to the highest level at most."""
     out, left = np.zeros(len(low), np.uint8), np.arange(len(low))
     for level in range(1, top + 1):
         there = np.ones(len(left), bool)
@@ -173,19 +206,26 @@ def _levels(low, bits, top):
     return out
 
 
-def _grams(tokens):
-    """The distinct bigrams and words of a slice, sorted."""
-    return np.unique(np.concatenate([tokens.pairs, np.unique(tokens.singles)]))
+def _is_head(words, head):
+    """Which words are among the frequent ones, whose counts are known."""
+    if not len(head):
+        return np.zeros(len(words), bool)
+    return head[np.searchsorted(head, words).clip(max=len(head) - 1)] == words
+
+
+def _grams(tokens, head):
+    """The distinct bigrams and rarer words of a slice, sorted."""
+    return np.unique(np.concatenate([tokens.pairs, np.unique(tokens.singles[~_is_head(tokens.values, head)])]))
 
 
-def looked_up(slices, segments, shards):
-    """Rows (slice, shard, levels): a byte for each distinct bigram and word of the
-    slice in the shard, in the order of their hashes."""
+def looked_up(slices, segments, shards, shared):
+    """Rows (slice, shard, levels): a byte for each distinct bigram and rarer word of
+    the slice in the shard, in the order of their hashes."""
 
     def ask(batch):
         for at in range(batch.num_rows):
             tokens = _Tokens(batch, at)
-            grams = _grams(tokens)
+            grams = _grams(tokens, shared.value[0])
             low = grams.astype(np.uint32)
             used, places = _by_shard(grams, shards)
             yield pa.RecordBatch.from_arrays(
@@ -193,15 +233,11 @@ def looked_up(slices, segments, shards):
                  pa.array([low[p].tobytes() for p in places], pa.binary())], names=["shard", "slice", "low"])
 
     def answer(asked, segment):
-        low = [np.frombuffer(x, np.uint32) for x in asked.column("low").to_pylist()]
-        if low and segment.num_rows:
-            bits = np.frombuffer(segment.column("bits")[0].as_py(), np.uint8)
-            levels = _levels(np.concatenate(low), bits, segment.column("top")[0].as_py())
-        else:
-            levels = np.zeros(sum(map(len, low)), np.uint8)
-        parts = np.split(levels, np.cumsum([len(x) for x in low])[:-1]) if low else []
-        return pa.table({"slice": asked.column("slice"), "shard": asked.column("shard"),
-                         "levels": pa.array([x.tobytes() for x in parts], pa.binary())})
+        bits, top = np.zeros(1, np.uint8), 0
+        if segment.num_rows:
+            bits, top = np.frombuffer(segment.column("bits")[0].as_buffer(), np.uint8), segment.column("top")[0].as_py()
+        parts = [_levels(np.frombuffer(x, np.uint32), bits, top).tobytes() for chunk in asked.column("low").chunks for x in _buffers(chunk)]
+        return pa.table({"slice": asked.column("slice"), "shard": asked.column("shard"), "levels": pa.array(parts, pa.binary())})
 
     asked = map_batches(slices, ask, "shard int, slice long, low binary")
     return asked.groupBy("shard").cogroup(segments.groupBy("shard")).applyInArrow(answer, "slice long, shard int, levels binary")
@@ -227,12 +263,13 @@ def _scored(tokens, head, n_head, levels, total):
     """Per text: tokens, known head tokens, sum of log10(count + 1) over head
     tokens, model score, and the hashes of the other tokens. ``levels``: those of
     the slice's bigrams and words."""
-    grams = _grams(tokens)
+    grams = _grams(tokens, head)
     unique, first, back = np.unique(tokens.values, return_index=True, return_inverse=True)
     place = np.searchsorted(head, unique).clip(max=max(len(head) - 1, 0))
-    is_head = head[place] == unique if len(head) else np.zeros(len(unique), bool)
+    is_head = _is_head(unique, head)
     count = np.where(is_head, n_head[place] if len(head) else 0, 0)
-    level = levels[np.searchsorted(grams, tokens.singles[first])].astype(np.int64)
+    level = np.zeros(len(unique), np.int64)
+    level[~is_head] = levels[np.searchsorted(grams, tokens.singles[first[~is_head]])]
     low = np.where(is_head, count, np.where(level > 0, 1 << np.maximum(level - 1, 0), 0))
     high = np.where(is_head, count, (1 << level) - 1)
 
@@ -271,9 +308,9 @@ def score(docs, doc_id="doc_id", text="text"):
     n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total = n_tokens + n_words + 1
     shards = 1 + n_tokens // SHARD_TOKENS
-    segments = stored(ngram_filter(slices, shards), "filter")
-    levels = stored(looked_up(slices, segments, shards), "levels")
     shared = spark.sparkContext.broadcast(_frequent(counts))
+    segments = stored(ngram_filter(slices, shards, shared), "filter")
+    levels = stored(looked_up(slices, segments, shards, shared), "levels")
 
     def run(texts, answers):
         tokens, (head, n_head) = _Tokens(texts), shared.value

@@ -5,7 +5,7 @@ import zlib
 from collections import Counter
 
 import pytest
-from brute import LOWER, SPACE_WORDS
+from brute import LOWER, SPACE_WORDS, lm_base
 from conftest import DATA
 
 from hitprism.llm import lm
@@ -41,3 +41,20 @@ def test_score_keeps_its_accuracy_in_many_segments(spark, monkeypatch):
     n = sum(r.n_tokens for r in found.values())
     off = sum(abs(r.score - want[d]) for d, r in found.items()) / n
     assert off < 0.05, off
+
+
+@pytest.mark.parametrize("head", [0, 40])
+def test_small_bounds_and_a_bigram_in_all_texts(spark, monkeypatch, head):
+    # many words tie at the bound of the frequent ones; entries are sent and looked up a few at a time
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 400)
+    monkeypatch.setattr(lm, "MERGED", 50)
+    monkeypatch.setattr(lm, "AT_ONCE", 7)
+    rows = [(i, f"same words again {'tie' + str(i % 30)} {'tie' + str(i % 30)} rare{i}") for i in range(300)]
+    found = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = exact_scores(rows)
+    base = lm_base(rows)
+    for d, r in found.items():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == base[d][:4]
+        assert r.base_score == pytest.approx(base[d][4], rel=1e-9)
+    assert sum(abs(r.score - want[d]) / r.n_tokens for d, r in found.items()) / len(rows) < 0.2
