@@ -1,9 +1,10 @@
 """The corpus pipeline: five stages over ``documents``, each a table of its own.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
-returns a DataFrame. All stages but the last keep the columns of ``docs``. Rows
-without an id are judged like others but never dropped as near-duplicates. Rows
-that share an id count as one document. All stages take empty tables.
+returns a DataFrame. All stages but the last keep the columns of ``docs``, also
+those named like what a stage works out. Rows without an id are judged like others
+but never dropped as near-duplicates. Rows that share an id count as one document.
+A null text is empty. All stages take empty tables.
 """
 
 from pyspark.sql import functions as F
@@ -13,14 +14,24 @@ from hitprism.llm.queries import byte_tokenizer
 from hitprism.llm.stored import stored
 
 
+def _kept(docs, step):
+    """The rows and columns of ``docs`` after a step that reads ids, texts and sources
+    and adds columns of its own; what else ``docs`` has stays as it is, whatever its
+    name, within one column that no step looks at."""
+    read = [c for c in docs.columns if c in ("doc_id", "text", "source")]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in read]
+    done = step(docs.select(*read, F.struct(F.lit(0).alias("_"), *rest).alias("_row")))
+    return done.select(*[F.col(c) if c in read else F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
 def quality_rules(spark, docs, sf_dir):
     """Drops documents that fail the rules, or whose host is rejected."""
-    return quality.judge(docs, keep_text=True).where("kept").select(*docs.columns)
+    return _kept(docs, lambda own: quality.judge(own, keep_text=True).where("kept"))
 
 
 def line_dedup(spark, docs, sf_dir):
     """Takes later occurrences of three-line windows out of the texts."""
-    left = linededup.dedup_lines(docs).select(*docs.columns)
+    left = _kept(docs, linededup.dedup_lines)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left
@@ -35,7 +46,7 @@ def near_duplicates(spark, docs, sf_dir):
 def benchmark_decontamination(spark, docs, sf_dir):
     """Drops documents that hold benchmark passages."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.judged(docs, benchmark).where("NOT contaminated").select(*docs.columns)
+    return _kept(docs, lambda own: decontamination.judged(own, benchmark).where("NOT contaminated"))
 
 
 def byte_bpe(spark, docs, sf_dir):
