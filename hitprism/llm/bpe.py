@@ -135,21 +135,19 @@ class Encoder:
 
     def _remember(self, pieces, flat, sizes):
         """Keep the ids of the short ones; the arrays grow by doubling."""
-        ends = np.cumsum(sizes)
-        for piece, end, size in zip(pieces, ends.tolist(), sizes.tolist()):
-            if len(piece) > MOST_LENGTH:
-                continue
-            n = len(self.slots)
-            start = int(self.ends[n])
-            if n + 2 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            while start + size > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[start : start + size] = flat[end - size : end]
-            self.ends[n + 1] = start + size
-            self.slots[piece] = n
-            # the text, its place in the dictionary, and the ids
-            self.bytes += sys.getsizeof(piece) + 100 + 8 + 4 * size
+        short = np.fromiter(map(len, pieces), np.int64, len(pieces)) <= MOST_LENGTH
+        flat, sizes = flat[np.repeat(short, sizes)], sizes[short]
+        pieces = pieces if short.all() else [pieces[i] for i in np.flatnonzero(short).tolist()]
+        n, start = len(self.slots), int(self.ends[len(self.slots)])
+        while n + len(pieces) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while start + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[start : start + len(flat)] = flat
+        self.ends[n + 1 : n + 1 + len(pieces)] = start + np.cumsum(sizes)
+        self.slots.update(zip(pieces, range(n, n + len(pieces))))
+        # the texts, their places in the dictionary, and the ids
+        self.bytes += sum(map(sys.getsizeof, pieces)) + 108 * len(pieces) + 4 * len(flat)
 
     def _pieces(self, texts):
         """The pieces of all texts, and how many each text has; joined, those of

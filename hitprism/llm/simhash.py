@@ -10,8 +10,8 @@ fingerprint finds the pair. Bits are compared after that.
 
 Nothing emits all pairs of a group. Equal fingerprints are one row. A grid
 point near two fingerprints gives a pair as it is. At points near more, each is
-first tied to the smallest one there; then only pairs whose parts are not yet
-connected are joined.
+first tied to the smallest one there; then points whose members are one group by
+now are left out, and only pairs whose parts are not yet connected are joined.
 """
 
 import numpy as np
@@ -134,6 +134,10 @@ def linked_fingerprints(fingerprints, max_distance=MAX_DISTANCE):
     # then what joins different groups of the first round
     rooted = members.join(roots.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left").select(
         "point", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+    rooted = stored(rooted, "rooted")
+    # a point whose members are one group has no more to tell
+    ends = rooted.groupBy("point").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("point")
+    rooted = stored(rooted.join(ends, "point"), "open-points")
     other = rooted.select("point", F.col("fingerprint").alias("other"), F.col("root").alias("other_root"))
     rest = stored(
         rooted.join(other, "point")

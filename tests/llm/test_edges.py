@@ -153,6 +153,51 @@ def test_bad_host_loses_its_good_documents(spark):
     assert {r.source for r in kept.collect()} == {f"h{i}" for i in range(8)}
 
 
+def brute_judgement(rows):
+    """{doc_id: (base_failed, kept)} by the rules and host rates in plain Python."""
+    measures = {i: quality(t) for i, t, _ in rows}
+
+    def fails(i, text):
+        words, _, symbols, dup, repeat, _ = measures[i]
+        lines = [line for line in (text or "").split("\n") if line.split()]
+        return [words < 20, 100 * repeat > 30 * words, 10 * symbols > words, 100 * dup > 30 * len(lines)]
+
+    hosts = {}
+    for i, t, h in rows:
+        if h is not None:
+            hosts.setdefault(h, []).append(fails(i, t))
+    bad = set()
+    for rule in range(4):
+        shares = {h: sum(f[rule] for f in fs) / len(fs) for h, fs in hosts.items()}
+        mean = sum(shares.values()) / len(shares)
+        variance = sum((s - mean) ** 2 for s in shares.values()) / len(shares)
+        mean = min(max(mean, 1e-4), 1 - 1e-4)
+        true = max(variance - mean * (1 - mean) * sum(1 / len(fs) for fs in hosts.values()) / len(hosts), 1e-6)
+        weight = min(max((mean * (1 - mean) - true) / true, 1), 1e4)
+        bad |= {h for h, fs in hosts.items() if (sum(f[rule] for f in fs) + mean * weight) / (len(fs) + weight) > rules.MAX_HOST_RATE}
+    return {i: (measures[i][-1], not measures[i][-1] and h not in bad) for i, t, h in rows}, bad
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_judgement_equals_brute_force(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    good = [" ".join(f"w{rnd.randint(0, 999)}" for _ in range(30)) for _ in range(20)]
+    bad = ["few words", " ".join(["# $ %", *good[0].split()[:25]]), "\n".join(good[1].split()[:9] * 4), "same words again and again here now " * 9]
+    table = []
+    for h in range(12):
+        rate = rnd.choice([0, 0.05, 0.1, 0.6, 1])
+        for _ in range(rnd.randint(1, 60)):
+            table.append((len(table), rnd.choice(bad) if rnd.random() < rate else rnd.choice(good), f"h{h}"))
+    table += [(len(table) + i, bad[0] if i < 24 else good[i % 20], "bad") for i in range(30)]
+    table += [(len(table), good[0], None), (len(table) + 1, None, None), (len(table) + 2, None, "h0")]
+    want, rejected = brute_judgement(table)
+    found = {r.doc_id: (r.base_failed, r.kept) for r in rules.judge(spark.createDataFrame(table, SCHEMA).repartition(3)).collect()}
+    assert found == want
+    assert rejected and any(not failed and not kept for failed, kept in want.values())
+
+
 def test_token_file(spark, docs, nothing, tmp_path):
     import public_tokenizers
 
