@@ -15,9 +15,15 @@ is a permutation of the domain. All of it is column expressions.
 | ip | four numbers up to 255 | within all addresses |
 | date | calendar dates yyyy-mm-dd and dd/mm/yyyy, 1800 to 2199 | within the 146,097 days of these years |
 | date | mm/dd/yyyy where that is no dd/mm/yyyy | within the 88,497 days after a 12th, so that it stays one |
-| mail | local part and domain | letters and digits of the local part, by a keyed digest, not a permutation |
+| mail | local part and domain | letters and digits of the local part, each within its kind, by a network over its even and odd places for each domain |
+
+Only digests of the key, one for each kind and round, are part of the expressions
+and so of query plans and event logs; the key itself is not.
 """
 
+import hashlib
+import hmac
+
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -48,10 +54,20 @@ def _number(text):
     return f"cast({text} as bigint)"
 
 
+def round_keys(key, kind):
+    """Digests of the key for the rounds of a kind, as hexadecimal texts."""
+    return [hmac.new(key.encode(), f"{kind}|{i}".encode(), hashlib.sha256).hexdigest() for i in range(ROUNDS)]
+
+
+def _round_key(key, kind, i):
+    """The digest of round ``i``, a number from 0 on."""
+    return f"array({', '.join(map(_sql, round_keys(key, kind)))})[{i}]"
+
+
 def _feistel(kind, a, b, size_a, size_b, key):
     """A struct (a, b): the permuted parts."""
     def digest(i, other):
-        return f"cast(conv(substr(sha2(concat({_sql(key + '|' + kind + '|')}, {i}, '|', {other}), 256), 1, 15), 16, 10) as bigint)"
+        return f"cast(conv(substr(sha2(concat({_round_key(key, kind, i)}, '|', {other}), 256), 1, 15), 16, 10) as bigint)"
     return (
         f"aggregate(sequence(0, {ROUNDS - 1}), struct({a} as a, {b} as b), (s, i) -> if(i % 2 = 0, "
         f"struct((s.a + {digest('i', 's.b')} % {size_a}) % {size_a} as a, s.b as b), "
@@ -176,12 +192,16 @@ def _date(key):
 
 
 def _mail(key):
-    digest = f"sha2(concat({_sql(key + '|mail|')}, lower(m), '|', i div 32), 256)"
-    hexed = f"substr({digest}, cast(2 * (i % 32) + 1 as int), 2)"
-    value = f"cast(conv({hexed}, 16, 10) as int)"
-    char = (f"case when c between '0' and '9' then cast({value} % 10 as string) "
-            f"when c rlike '[A-Za-z]' then char(97 + {value} % 26) else c end")
-    return f"concat(array_join(transform(split(substring_index(m, '@', 1), ''), (c, i) -> {char}), ''), '@', substring_index(m, '@', -1))"
+    """Each round moves the letters and digits at every other place on within their
+    kind, as far as a digest of the places between says."""
+    other = "array_join(filter(s, (x, j) -> (j + r) % 2 = 1), '')"
+    digest = f"sha2(concat({_round_key(key, 'mail', 'r')}, '|', o, '|', i div 32, '|', lower(substring_index(m, '@', -1))), 256)"
+    by = f"cast(conv(substr({digest}, cast(2 * (i % 32) + 1 as int), 2), 16, 10) as int)"
+    moved = (f"case when (i + r) % 2 = 1 then c when c between '0' and '9' then char(48 + (ascii(c) - 48 + {by}) % 10) "
+             f"when c between 'a' and 'z' then char(97 + (ascii(c) - 97 + {by}) % 26) else c end")
+    step = _with("o", other, f"transform(s, (c, i) -> {moved})")
+    start = "split(lower(substring_index(m, '@', 1)), '')"
+    return f"concat(array_join(aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> {step}), ''), '@', substring_index(m, '@', -1))"
 
 
 def _pseudonym(key):
@@ -199,15 +219,18 @@ def pseudonymise(docs, key, text="text"):
     Other columns stay; a column called ``n_found`` is replaced.
     """
     names = [c for c in docs.columns if c != "n_found"]
-    matches = F.regexp_extract_all(F.col(text), F.lit(_ANY), 0)
-    found = docs.select(*names, matches.alias("_found"))
+    # other columns are put away in one, so that no name clashes
+    others = [F.col(f"`{c}`") for c in names if c != text]
+    found = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("_row"), F.col(text).alias("_text"))
+    whole_text = F.col("_text")
+    found = found.withColumn("_found", F.regexp_extract_all(whole_text, F.lit(_ANY), 0))
     new = F.when(F.size("_found") > 0, F.expr(f"transform(_found, m -> {_pseudonym(key)})"))
-    gaps = F.split(F.col(text), _ANY, -1)
+    gaps = F.split(whole_text, _ANY, -1)
     rest = found.withColumn("_gaps", gaps).withColumn(
         "_rest", F.expr(f"transform(_gaps, g -> {_between(key)})")).withColumn("_new", F.coalesce(new, F.array().cast("array<string>")))
-    others = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
+    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
     cards = F.aggregate("_rest", F.lit(0), lambda n, x: n + x["n"])
     whole = F.array_join(F.flatten(F.zip_with("_rest", F.concat("_new", F.array(F.lit(""))), lambda g, n: F.array(g["text"], n))), "")
     return rest.select(
-        *[F.when(F.col(text).isNull(), F.col(text)).otherwise(whole).alias(c) if c == text else F.col(c) for c in names],
-        F.when(F.col(text).isNull(), F.lit(0)).otherwise(others + cards).cast("long").alias("n_found"))
+        *[F.when(whole_text.isNull(), whole_text).otherwise(whole).alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in names],
+        F.when(whole_text.isNull(), F.lit(0)).otherwise(changed + cards).cast("long").alias("n_found"))
