@@ -49,8 +49,8 @@ def joined_edge(subject, translated):
 
 
 def season_marks(text):
-    """Which season words and emoji a text holds, in any case; a struct."""
-    text = F.lower(text)
+    """Which season words and emoji a text in lower case holds; a struct. Make the
+    text a column of its own first, as it is searched many times."""
     hinted = _mentions(text, HINTS)
     # only texts with characters of several bytes can hold emoji
     wide = F.length(text) < F.octet_length(text)

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hitprism.functions import holidays, offers, text
-from hitprism.plans.texts import with_text_value
+from hitprism.plans.texts import once, with_text_value
 from hitprism.schema import HIT_ID, ROW_ORDER
 
 # Length of a joined subject list, and the subjects that can matter for it:
@@ -49,17 +49,17 @@ def with_offer_text(df):
 
 def _with_season(df, column, rule, needs_text):
     """Apply a holiday rule. Texts are looked at only where the holiday column does
-    not decide, and each distinct one once; what joins it to the subject, in each
-    row (``explode`` of one value keeps Spark from working it out for each mark)."""
+    not decide, and each distinct one once; what joins it to the subject, in each row."""
     holiday, text = F.col("holiday"), F.col("translated_content")
-    in_text = with_text_value(df, "translated_content", "text_marks", holidays.season_marks, needs_text(holiday))
-    edge = F.when(needs_text(holiday), holidays.season_marks(holidays.joined_edge(F.col("subject"), text)))
-    marked = in_text.select("*", F.explode(F.array(edge)).alias("edge_marks"))
+    # first what needs the text of each row, so that it goes before rows are joined
+    edge = F.when(needs_text(holiday), F.lower(holidays.joined_edge(F.col("subject"), text)))
+    edged = df.select("*", once(edge, "edge")).withColumn("edge_marks", holidays.season_marks(F.col("edge")))
+    marked = with_text_value(edged, "translated_content", "text_marks", holidays.season_marks, needs_text(holiday), F.lower)
 
     def marks(name):
         return F.coalesce(F.col("text_marks")[name], F.lit(False)) | F.coalesce(F.col("edge_marks")[name], F.lit(False))
 
-    return marked.withColumn(column, rule(holiday, marks)).drop("text_marks", "edge_marks")
+    return marked.withColumn(column, rule(holiday, marks)).drop("text_marks", "edge_marks", "edge")
 
 
 def with_holiday_type(df):

@@ -8,11 +8,18 @@ from hitprism.schema import HIT_ID
 # So many distinct texts may be looked up by hash; 24 bytes each.
 MOST_TEXTS = 1_000_000
 
-_KEY, _HIT = "text_key", "text_hit"
+_KEYS, _HIT, _TEXT = ["text_key_1", "text_key_2"], "text_hit", "text_once"
 
 
-def with_text_value(df, column, name, rule, where=None):
-    """Add ``rule`` of a text column, for the rows where a condition holds.
+def once(value, name):
+    """A column to select that is worked out once for each row: ``explode`` of one value
+    keeps Spark from putting its expression into all that use it."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def with_text_value(df, column, name, rule, where=None, first=lambda text: text):
+    """Add ``rule`` of a text column, for the rows where a condition holds; ``first`` is
+    worked out before it, once for each text.
 
     Texts recur: as the offers of a message, and in campaigns. Each one's 128-bit
     hash is counted first, together with one message that carries it; only there is
@@ -22,12 +29,14 @@ def with_text_value(df, column, name, rule, where=None):
     """
     text = F.col(column)
     known = text.isNotNull() if where is None else text.isNotNull() & where
-    key = F.when(known, F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b")))
-    hit = F.coalesce(F.col(HIT_ID), F.lit(0))
-    own = df.select(key.alias(_KEY), hit.alias(_HIT), column).where(F.col(_KEY).isNotNull())
-    carriers = shared_table(own.groupBy(_KEY).agg(F.min(_HIT).alias(_HIT)), "texts")
+    hashes = [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+    hit = F.xxhash64(HIT_ID)  # not the id itself: the first messages stand together
+    own = df.where(known).select(*[h.alias(k) for h, k in zip(hashes, _KEYS)], hit.alias(_HIT), column)
+    carriers = shared_table(own.groupBy(*_KEYS).agg(F.min(_HIT).alias(_HIT)), "texts")
     if carriers.count() > MOST_TEXTS:
-        return df.withColumn(name, F.when(known, rule(text)))
-    found = own.join(F.broadcast(carriers), [_KEY, _HIT]).select(_KEY, rule(text).alias(name)).distinct()
-    values = shared_table(found, "text-values")
-    return df.withColumn(_KEY, key).join(values, _KEY, "left").drop(_KEY)
+        whole = df.select("*", once(F.when(known, first(text)), _TEXT))
+        return whole.withColumn(name, F.when(known, rule(F.col(_TEXT)))).drop(_TEXT)
+    found = own.join(F.broadcast(carriers), [*_KEYS, _HIT]).select(*_KEYS, once(first(text), _TEXT))
+    values = shared_table(found.select(*_KEYS, rule(F.col(_TEXT)).alias(name)).distinct(), "text-values")
+    keyed = df.withColumns({k: F.when(known, h) for h, k in zip(hashes, _KEYS)})
+    return keyed.join(values, _KEYS, "left").select(*df.columns, name)
