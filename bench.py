@@ -1,7 +1,8 @@
 """Times every report over a stored hits table; prints one JSON line.
 
 The tables at $BENCH_SF_DIR are turned into a hits table once (timed apart, as
-``build_hits``), as a user would load it; each report then reads that table.
+``build_hits``); each report then reads that table with its load order, which
+decides the first row of a message.
 One warm-up, then the median of $BENCH_RUNS runs with the result written to
 Spark's ``noop`` sink.
 """
@@ -39,7 +40,7 @@ def main():
     start = time.perf_counter()
     hits_from_star(spark, FOLDER).write.parquet(path)
     build = time.perf_counter() - start
-    hits = read_hits(spark, path)
+    hits = read_hits(spark, path, keep_row_order=True)
 
     seconds = {}
     for name in ONLY or HEADLINE:
