@@ -12,30 +12,30 @@ _DERIVED = {"subject_chars": "subject", "subject_emoji": "subject", "content_emo
 
 
 def _row_keys(df, columns):
-    """An order of rows by longs: rows that lack fewer of the offer's columns come
-    first, then a hash of all columns but the texts decides; then one of each text in
-    turn, up to the last that ``columns`` need. Rows that tie are alike in all that is
-    asked for, so reports agree on the row whatever they read."""
-    plain = [c for c in HITS.names if c in df.columns and c not in (HIT_ID, *_TEXTS)]
+    """An order of rows by their values: the offer's columns, nulls last, then a hash of
+    all other columns but the texts; then a hash of each text in turn, up to the last
+    that ``columns`` need. Rows that tie are alike in all that is asked for, so reports
+    agree on the row whatever they read."""
+    keys = []
+    for c in _OFFER:
+        if c in df.columns:
+            keys += [F.col(c).isNull().alias(f"no_{c}"), F.col(c)]
+    plain = [c for c in HITS.names if c in df.columns and c not in (HIT_ID, *_OFFER, *_TEXTS)]
     texts = [c for c in _TEXTS if c in df.columns]
     read = {_DERIVED.get(c, c) for c in columns}
     unknown = read - set(HITS.names)
     needed = max((i + 1 for i, c in enumerate(texts) if c in read or unknown), default=0)
     groups = [plain, *[[c] for c in texts[:needed]]]
-    keys = [F.xxhash64(*g) for g in groups if g]
-    lacking = sum((F.col(c).isNull().cast("long") for c in _OFFER if c in plain), F.lit(0))
-    if keys:
-        keys[0] = F.shiftrightunsigned(keys[0], 4).bitwiseOR(F.shiftleft(lacking.cast("long"), 60)) if plain else keys[0]
-    return [k.alias(f"key_{i}") for i, k in enumerate(keys)]
+    return keys + [F.xxhash64(*g).alias(f"key_{i}") for i, g in enumerate(groups) if g]
 
 
 def first_rows(df, *columns, order=None):
     """The first row of each message, as ``tracking_hit_id`` plus ``columns``.
 
-    Order: the given columns, else the load order if the table carries it, else
-    hashes of the rows (``_row_keys``). The order never depends on which ``columns``
-    a report asks for, so all reports of a table agree on the row. One aggregation
-    with map-side combine, over a hash and the columns asked for.
+    Order: the given columns, else the load order if the table carries it (cheapest,
+    as no other column is read), else the rows' own values (``_row_keys``). The order
+    never depends on which ``columns`` a report asks for, so all reports of a table
+    agree on the row. One aggregation with map-side combine.
     """
     columns = [c for c in columns or df.columns if c not in (HIT_ID, ROW_ORDER)]
     require(df, HIT_ID, *columns)
