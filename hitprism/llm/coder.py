@@ -1,16 +1,18 @@
-"""Adaptive context-mixing range coder for token ids, many blocks at a time.
+"""Adaptive context-mixing range coder for token ids, many stretches at a time.
 
 A frame's ids are cut into blocks of ``BLOCK`` ids. Each block starts from the
-same empty model, has its own CRC-32 and can be decoded alone. The blocks of a
-frame run side by side as numpy lanes: one step codes one id of every block.
+same empty model, has its own CRC-32 and can be decoded alone. A block is coded
+as lanes of ``LANE`` consecutive ids, numpy lanes that run side by side: one step
+codes one id of every lane by the block's model, which then learns all of them.
 
 Model of a block, integers only, so that all machines agree:
 
-- order 0: how often each range of 256 ids has come up, ids within a range
-  alike; tallied after 1, 2, 4, ... ids and from ``TALLY`` on after so many;
-- order 1 and order 2: the id that last followed the same one or two ids
-  (hashed slots). Each of the two guesses adds weight to its id; the weight is
-  the odds with which guesses of that order and confidence came true so far.
+- order 0: how often each id has come up in the block; tallied after 1, 2, 4, ...
+  ids of a lane and from ``TALLY`` on after so many;
+- order 1 and order 2: the id that followed the same one or two ids (order 2 by
+  hashed slots), with a confidence that grows when it comes again;
+- mixing: how often the one, the other or neither guess came true where both had
+  these confidences; the guesses' weights beside order 0 are those odds.
 
 The three are summed, so one step of the range coder codes an id. The coder
 keeps 64 bits and writes words of 32 bits; it never needs a carry, since a
@@ -21,122 +23,133 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1024
-RANGES, RANGE_IDS = 256, 256
-SLOTS = (512, 1024)
-LEVELS = 4
+LANE = 1024
+BLOCK = 256 * LANE
+IDS = 1 << 16
+SLOTS = 1 << 18
+LEVELS = 4  # of confidence; 0: no guess yet
 STEP, START = 24, 1
-TALLY = 32
-MOST_ODDS = 16 * 64
+TALLY = 16
+PARTS, MOST_ODDS = 64, 64
 _U = np.uint64
 _WORD, _MASK = _U(32), _U(0xFFFFFFFF)
 
-
-def _reached(bounds, values):
-    """Per row of 16 rising bounds, the number of the last one reached."""
-    reached = (bounds <= values.astype(np.int32)[:, None]).view(_U)
-    ones = np.bitwise_count(reached)  # of 8 truth values each
-    return (ones[:, 0] + ones[:, 1]).astype(np.int64) - 1
+# Both confidences, and whether both orders guess one id (order 2 then has no weight).
+_PAIRS = LEVELS * LEVELS
+_ALIKE = _PAIRS
+_WEIGHS = np.zeros((2 * _PAIRS, 2), np.int64)
+_WEIGHS[:_PAIRS, 0] = _WEIGHS[_ALIKE:, 0] = np.arange(_PAIRS) >= LEVELS
+_WEIGHS[:_PAIRS, 1] = np.arange(_PAIRS) % LEVELS > 0
 
 
 class _Model:
-    """The model of each lane; arrays for orders 1 and 2 have a row for each.
+    """The models of all blocks of a frame, for lanes that stand in block order.
 
-    Sums of weights fit 32 bits (see ``BLOCK``, ``STEP``).
+    The sum of weights stays below 2^30 (see ``BLOCK``, ``STEP``, ``MOST_ODDS``).
     """
 
     def __init__(self, lanes):
-        lane = np.arange(lanes)
-        self.lanes, self.of_16, self.of_256 = lanes, lane * 16, lane * RANGES
-        self.count = np.full(lanes * RANGES, START, np.int32)
+        self.block = np.arange(lanes) // (BLOCK // LANE)
+        blocks = -(-lanes // (BLOCK // LANE))
+        self.count = np.full((blocks, IDS), START, np.int32)
+        self.before = np.zeros((blocks, IDS + 1), np.int32)
         self.recent, self.step = [], 0
-        self._tally()
-        # what last followed a context: 4 * id + confidence, below 0 if nothing did
-        self.guess = np.full(lanes * sum(SLOTS), -1, np.int32)
-        self.of_slot = np.stack([lane * SLOTS[0], lanes * SLOTS[0] + lane * SLOTS[1]])
-        self.slot_mask = np.array(SLOTS)[:, None] - 1
-        # how often a guess came true (times 65,536) and how often it did not
-        self.record = np.full(2 * lanes * LEVELS, (1 << 16) + 2, np.int32)
-        self.of_level = np.arange(2 * lanes).reshape(2, lanes) * LEVELS
-        self.keys = np.zeros((2, lanes), np.int64)
+        # 4 * id + confidence
+        self.guess = np.zeros(blocks * (IDS + SLOTS), np.int32)
+        # per block and case: neither guess came true, order 1 did, order 2 did
+        self.came = np.tile(np.array([2, 1, 1], np.int64), (blocks, 2 * _PAIRS, 1))
         self.last = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
+        self._place()
+        self._tally()
+
+    def _place(self):
+        self.of_count, self.of_before = self.block * IDS, self.block * (IDS + 1)
+        self.of_slot = self.block * (IDS + SLOTS)
+        self.of_case = self.block * (2 * _PAIRS)
+        self.bounds = np.searchsorted(self.block, np.arange(len(self.count) + 1))
 
     def _tally(self):
-        """Count the ids since the last tally; sum the counts before each range."""
+        """Count the ids since the last tally; sum the counts before each id."""
         if self.recent:
-            places = (np.stack(self.recent) >> 8) + self.of_256
-            self.count += (np.bincount(places.ravel(), minlength=len(self.count)) * STEP).astype(np.int32)
+            np.add.at(self.count.reshape(-1), np.concatenate(self.recent), np.int32(STEP))
             self.recent = []
-        count = self.count.reshape(self.lanes, RANGES)
-        before = np.cumsum(count, axis=1, dtype=np.int32) - count
-        self.before, self.before_1 = before.ravel(), before.reshape(self.lanes * 16, 16)
-        self.before_16 = np.ascontiguousarray(before[:, ::16])
-        self.base = (START * RANGES + STEP * self.step) * RANGE_IDS
+        np.cumsum(self.count, axis=1, dtype=np.int32, out=self.before[:, 1:])
+        self.total = self.before[:, -1].astype(np.int64)
+        self._share()
+
+    def _share(self):
+        self.base = self.total[self.block]
+        self.part = self.base // PARTS
+
+    def drop_last(self):
+        """The last lane has ended; the others go on."""
+        self.block = self.block[:-1]
+        self.last = [ids[:-1] for ids in self.last]
+        self._place()
+        self._share()
 
     def predict(self):
         """Guesses and their weights; returns the sum of all weights."""
         one, two = self.last
-        hashed = one * 405
-        self.keys[0] = hashed >> 4
-        self.keys[1] = (hashed ^ two * 527) >> 4
-        self.slot = (self.keys & self.slot_mask) + self.of_slot
-        guess = self.guess.take(self.slot)
-        self.level = self.of_level + (guess & (LEVELS - 1))
-        self.was = self.record.take(self.level)
-        odds = (self.was >> 16) * 16 // (self.was & 0xFFFF)
-        odds = np.minimum(odds, MOST_ODDS) * (guess >= 0)
-        self.ids = guess >> 2
-        weight = odds.astype(np.int64) * (self.base >> 4)
-        swap = self.ids[0] > self.ids[1]
-        self.low_id, self.high_id = np.minimum(*self.ids), np.maximum(*self.ids)
-        self.low_w = np.where(swap, weight[1], weight[0])
-        self.high_w = np.where(swap, weight[0], weight[1])
-        return self.low_w + self.high_w + self.base
+        hashed = (one * 0x9E3779B1 + two * 0x85EBCA77) >> 11
+        self.slot = np.stack([one, (hashed & (SLOTS - 1)) + IDS]) + self.of_slot
+        self.entry = self.guess.take(self.slot)
+        self.ids = self.entry >> 2
+        level = self.entry & (LEVELS - 1)
+        alike = (self.ids[0] == self.ids[1]) & (np.minimum(*level) > 0)
+        self.case = self.of_case + level[0] * LEVELS + level[1] + alike * _ALIKE
+        odds = np.minimum(self.came[:, :, 1:] * PARTS // self.came[:, :, :1], MOST_ODDS * PARTS) * _WEIGHS
+        self.weight = odds.reshape(-1, 2).take(self.case, axis=0).T * self.part
+        return self.weight[0] + self.weight[1] + self.base
 
     def _plain(self, ids):
         """Start and size of the ids' intervals by order 0 alone."""
-        at = self.of_256 + (ids >> 8)
-        count = self.count.take(at)
-        return (self.before.take(at).astype(np.int64) << 8) + (ids & 255) * count, count
+        at = self.of_before + ids
+        start = self.before.take(at)
+        return start.astype(np.int64), self.before.take(at + 1) - start
 
     def interval(self, ids):
         start, size = self._plain(ids)
-        start += self.low_w * (ids > self.low_id) + self.high_w * (ids > self.high_id)
-        return start, size + self.low_w * (ids == self.low_id) + self.high_w * (ids == self.high_id)
+        start += (self.weight * (ids > self.ids)).sum(axis=0)
+        return start, size + (self.weight * (ids == self.ids)).sum(axis=0)
 
     def find(self, at):
         """The ids whose intervals hold the places ``at``; start and size of these."""
-        low, high = np.maximum(self.low_id, 0), np.maximum(self.high_id, 0)
+        swap = self.ids[0] > self.ids[1]
+        low, high = np.where(swap, self.ids[::-1], self.ids)
+        low_w, high_w = np.where(swap, self.weight[::-1], self.weight)
         low_start, low_size = self._plain(low)
         high_start, high_size = self._plain(high)
-        same = low == high
-        low_size = low_size + self.low_w + self.high_w * same
-        high_start = high_start + self.low_w * ~same
-        high_size = high_size + self.high_w
-        is_low = (at >= low_start) & (at < low_start + low_size)
-        is_high = (at >= high_start) & (at < high_start + high_size) & ~is_low
-        plain = at - self.low_w * (at >= low_start) - self.high_w * (at >= high_start)
-        plain = np.maximum(plain, 0)
-        unit = plain >> 8
-        row = self.of_16 + _reached(self.before_16, unit)
-        where = (row << 4) + _reached(self.before_1.take(row, axis=0), unit)
-        count = self.count.take(where)
-        rest = ((unit - self.before.take(where)) << 8) + (plain & 255)
-        inner = rest // count
-        ids = np.where(is_low, low, np.where(is_high, high, ((where - self.of_256) << 8) + inner))
-        start = np.where(is_low, low_start, np.where(is_high, high_start, at - rest + inner * count))
-        size = np.where(is_low, low_size, np.where(is_high, high_size, count))
-        return ids, start, size
+        alike = low == high
+        low_size = low_size + low_w + high_w * alike
+        high_start += low_w * ~alike
+        high_size = np.where(alike, low_size, high_size + high_w)
+        beyond_low, beyond_high = at >= low_start + low_size, at >= high_start + high_size
+        is_low, is_high = ~beyond_low & (at >= low_start), ~beyond_high & (at >= high_start)
+        # the weights of the guesses that lie before
+        passed = low_w * beyond_low + high_w * beyond_high
+        plain = (at - passed).astype(np.int32)
+        ids = np.empty(len(at), np.int64)
+        for before, a, z in zip(self.before, self.bounds, self.bounds[1:]):
+            ids[a:z] = before.searchsorted(plain[a:z], "right") - 1
+        ids = np.where(is_low, low, np.where(is_high, high, ids))
+        start, size = self._plain(ids)
+        start = np.where(is_low, low_start, np.where(is_high, high_start, start + passed))
+        return ids, start, np.where(is_low, low_size, np.where(is_high, high_size, size))
 
     def update(self, ids):
-        self.recent.append(ids)
+        self.recent.append(self.of_count + ids)
         self.step += 1
+        true = ids == self.ids
+        level = self.entry & (LEVELS - 1)
+        # lanes of a block that meet in a slot: the last one's entry stays
+        sure = np.where(true, np.minimum(level + 1, LEVELS - 1), 1)
+        kept = ~true & (level > 1)
+        self.guess[self.slot] = np.where(kept, self.entry - 1, (ids << 2) + sure)
+        outcome = np.where(true[0] & (level[0] > 0), 1, np.where(true[1] & (level[1] > 0), 2, 0))
+        self.came += np.bincount(self.case * 3 + outcome, minlength=self.came.size).reshape(self.came.shape)
         if self.step % TALLY == 0 or (self.step < TALLY and self.step & (self.step - 1) == 0):
             self._tally()
-        true = self.ids == ids
-        self.record[self.level] = self.was + np.where(true, 1 << 16, self.ids >= 0)
-        sure = np.minimum((self.level & (LEVELS - 1)) + 1, LEVELS - 1) * true
-        self.guess[self.slot] = (ids << 2) + sure
         self.last = [ids, self.last[0]]
 
 
@@ -150,50 +163,62 @@ def _settle(low, span):
     return move, np.where(cut, (~low + _U(1)) & _MASK, span)
 
 
-def encode_blocks(ids, length):
-    """Words of each row of ``ids`` (lanes x BLOCK, of which ``length`` count)."""
-    lanes, steps = ids.shape
+def _steps(lanes, last):
+    """Numbers of the steps, and the lanes that take part; only the last lane is short."""
+    for t in range(LANE if lanes > 1 else last):
+        yield t, lanes if t < last else lanes - 1
+
+
+def encode_lanes(ids, last):
+    """Words of each row of ``ids`` (lanes x LANE), of whose last row ``last`` count."""
+    lanes = len(ids)
     model = _Model(lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
-    words, n_words = np.zeros((lanes, steps + 2), np.uint32), np.zeros(lanes, np.int64)
-    columns, ends = np.ascontiguousarray(ids.T, np.int64), set(length.tolist())
-    for t in range(int(length.max(initial=0))):
+    words, n_words = np.zeros((lanes, LANE + 1), np.uint32), np.zeros(lanes, np.int64)
+    columns = np.ascontiguousarray(ids.T, np.int64)
+    ended = []
+    for t, n in _steps(lanes, last):
+        if n < len(low):
+            ended.append(low[-1:])
+            low, span = low[:-1], span[:-1]
+            model.drop_last()
         part = span // model.predict().view(_U)
-        start, size = model.interval(columns[t])
-        low += part * start.astype(_U)
-        span = part * size.astype(_U)
+        start, size = model.interval(columns[t, :n])
+        low = low + part * start.view(_U)
+        span = part * size.view(_U)
         move, span = _settle(low, span)
         at = np.flatnonzero(move)
         words[at, n_words[at]] = low[at] >> _WORD
-        n_words += move & (t < length)  # what a lane writes after its end is not kept
+        n_words[at] += 1
         low[at] <<= _WORD
         span[at] <<= _WORD
-        model.update(columns[t])
-        if t + 1 in ends:
-            done = np.flatnonzero(length == t + 1)
-            for shift in (_WORD, _U(0)):
-                words[done, n_words[done]] = low[done] >> shift & _MASK
-                n_words[done] += 1
-    return words, n_words
+        model.update(columns[t, :n])
+    # the range holds a whole word's start, since it is no smaller than a word
+    low = np.concatenate([low, *ended])
+    words[np.arange(lanes), n_words] = (low >> _WORD) + (low & _MASK != 0)
+    return words, n_words + 1
 
 
-def decode_blocks(words, length):
-    """Reverse of ``encode_blocks``; ``words`` has a row of words per block."""
+def decode_lanes(words, last):
+    """Reverse of ``encode_lanes``; ``words`` has a row of words per lane."""
     lanes = len(words)
     model = _Model(lanes)
     words = np.concatenate([words, np.zeros((lanes, 2), np.uint32)], axis=1).astype(_U)
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
     code = (words[:, 0] << _WORD) | words[:, 1]
     place = np.full(lanes, 2)
-    ids = np.zeros((int(length.max(initial=0)), lanes), np.int32)
-    for t in range(len(ids)):
+    ids = np.zeros((LANE, lanes), np.int32)
+    for t, n in _steps(lanes, last):
+        if n < len(low):
+            low, span, code = low[:-1], span[:-1], code[:-1]
+            model.drop_last()
         total = model.predict()
         part = span // total.view(_U)
         at = np.minimum((code - low) // part, (total - 1).view(_U)).view(np.int64)
         now, start, size = model.find(at)
-        ids[t] = now
-        low += part * start.astype(_U)
-        span = part * size.astype(_U)
+        ids[t, :n] = now
+        low = low + part * start.view(_U)
+        span = part * size.view(_U)
         move, span = _settle(low, span)
         moved = np.flatnonzero(move)
         low[moved] <<= _WORD
@@ -204,44 +229,53 @@ def decode_blocks(words, length):
     return ids.T
 
 
-MAGIC = b"CMX1"
+MAGIC = b"CMX2"
+
+
+def _shape(n):
+    """Numbers of blocks and of lanes, and the ids in the last lane."""
+    lanes = -(-n // LANE)
+    return -(-n // BLOCK), lanes, n - (lanes - 1) * LANE if lanes else 0
+
+
+def _sums(ids):
+    """The CRC-32 of each block's ids as little-endian 32-bit integers."""
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    return np.array([zlib.crc32(raw[a : a + 4 * BLOCK]) for a in range(0, len(raw), 4 * BLOCK)], "<u4")
 
 
 def pack(ids):
-    """A frame's ids as bytes: magic, counts, and per block its CRC-32, number
-    of words, and words."""
+    """A frame's ids as bytes: magic, number of ids, the blocks' CRC-32, the
+    lanes' numbers of words, and their words."""
     ids = np.ascontiguousarray(ids, "<i4")
-    if len(ids) and (ids.min() < 0 or ids.max() >= RANGES * RANGE_IDS):
+    if len(ids) and (ids.min() < 0 or ids.max() >= IDS):
         raise ValueError("ids must be from 0 to 65535")
-    n_blocks = -(-len(ids) // BLOCK)
-    grid = np.zeros(n_blocks * BLOCK, np.int32)
+    _, lanes, last = _shape(len(ids))
+    grid = np.zeros(lanes * LANE, np.int32)
     grid[: len(ids)] = ids
-    grid = grid.reshape(n_blocks, BLOCK)
-    length = np.minimum(BLOCK, len(ids) - np.arange(n_blocks) * BLOCK)
-    sums = np.array([zlib.crc32(row[:n].astype("<u4").tobytes()) for row, n in zip(grid, length)], "<u4")
-    words, n_words = encode_blocks(grid, length)
+    words, n_words = encode_lanes(grid.reshape(lanes, LANE), last)
     used = words[np.arange(words.shape[1]) < n_words[:, None]]
-    head = MAGIC + np.array([len(ids), n_blocks], "<u4").tobytes()
-    return head + sums.tobytes() + n_words.astype("<u4").tobytes() + used.astype("<u4").tobytes()
+    head = MAGIC + np.array([len(ids)], "<u4").tobytes()
+    return head + _sums(ids).tobytes() + n_words.astype("<u2").tobytes() + used.astype("<u4").tobytes()
 
 
 def unpack(data):
     """The ids of a frame; raises ValueError where a block is damaged."""
-    if data[:4] != MAGIC or len(data) < 12:
+    if data[:4] != MAGIC or len(data) < 8:
         raise ValueError("not a frame of coded ids")
-    n, n_blocks = np.frombuffer(data, "<u4", 2, 4).tolist()
-    if len(data) < 12 + 8 * n_blocks:
+    n = int(np.frombuffer(data, "<u4", 1, 4)[0])
+    blocks, lanes, last = _shape(n)
+    start = 8 + 4 * blocks + 2 * lanes
+    if len(data) < start or (len(data) - start) % 4:
         raise ValueError("a frame of coded ids is cut short")
-    sums = np.frombuffer(data, "<u4", n_blocks, 12)
-    n_words = np.frombuffer(data, "<u4", n_blocks, 12 + 4 * n_blocks).astype(np.int64)
-    used = np.frombuffer(data, "<u4", offset=12 + 8 * n_blocks)
-    if n_blocks != -(-n // BLOCK) or len(used) != n_words.sum():
+    sums = np.frombuffer(data, "<u4", blocks, 8)
+    n_words = np.frombuffer(data, "<u2", lanes, 8 + 4 * blocks).astype(np.int64)
+    used = np.frombuffer(data, "<u4", offset=start)
+    if len(used) != n_words.sum():
         raise ValueError("a frame of coded ids is cut short")
-    words = np.zeros((n_blocks, int(n_words.max(initial=0))), np.uint32)
+    words = np.zeros((lanes, int(n_words.max(initial=0))), np.uint32)
     words[np.arange(words.shape[1]) < n_words[:, None]] = used
-    length = np.minimum(BLOCK, n - np.arange(n_blocks) * BLOCK)
-    ids = decode_blocks(words, length)
-    for block, size, want in zip(ids, length, sums):
-        if zlib.crc32(block[:size].astype("<u4").tobytes()) != want:
-            raise ValueError("a block of coded ids is damaged")
-    return ids.reshape(-1)[:n] if n_blocks else np.zeros(0, np.int32)
+    ids = decode_lanes(words, last).reshape(-1)[:n]
+    if (_sums(ids) != sums).any():
+        raise ValueError("a block of coded ids is damaged")
+    return ids

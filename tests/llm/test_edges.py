@@ -227,6 +227,40 @@ def test_coder_round_trip_and_damage(n):
                 coder.unpack(data[:-4])
 
 
+def test_coder_blocks_are_checked_and_reset():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    ids = rng.zipf(1.2, 2 * coder.BLOCK + 1500) % 3000
+    data = coder.pack(ids)
+    assert (coder.unpack(data) == ids).all()
+    for at in range(8, 8 + 4 * 3):  # the three blocks' checksums
+        broken = bytearray(data)
+        broken[at] ^= 1
+        with pytest.raises(ValueError, match="damaged"):
+            coder.unpack(bytes(broken))
+    # a block's words do not depend on the blocks before it
+    alone = coder.pack(ids[2 * coder.BLOCK :])
+    assert data.endswith(alone[8 + 4 + 2 * 2 :])
+
+
+def test_coder_beats_plain_means():
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    import tokenizers
+
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    ids = np.concatenate([e.ids + [1] for e in tokenizer.encode_batch(texts[:1000], add_special_tokens=False)])
+    bits = 8 * len(coder.pack(ids)) / len(ids)
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    assert bits < -(share * np.log2(share)).sum()
+    assert bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 6)) / len(ids)
+
+
 def test_coder_ranges_at_word_boundaries():
     import numpy as np
 
