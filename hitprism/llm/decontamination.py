@@ -1,116 +1,160 @@
-"""Benchmark decontamination by winnowed fingerprints.
+"""Benchmark decontamination by winnowed fingerprints, joined as tables.
 
 A window is ``WINDOW`` consecutive words of a benchmark item, or the whole item
-if it has fewer. From every ``WINDOW - GRAM + 1`` consecutive word k-grams the
-one with the smallest hash is a fingerprint, on both sides alike, so a shared
-window always shares a fingerprint. Fingerprints that meet are extended to the
-windows around them, which are compared word by word.
+if it has fewer. A window's fingerprint is the smallest hash of its word k-grams
+(of a shorter item, the hash of all its words), on both sides alike, so a shared
+window always shares its fingerprint. Neighbouring windows mostly have one in
+common: a passage is a run of such windows.
+
+Fingerprints of documents are joined with the distinct ones of the benchmark;
+passages that meet are cut into their windows, which are joined by their words.
+Before anything moves, documents' fingerprints are looked up in a bit table of
+``FILTER_BITS`` bits, whatever the size of the benchmark: what it lets through
+by chance goes at the join. No side is collected; Spark broadcasts one only
+below its threshold.
 """
 
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hitprism.llm.batches import (
-    LOWER, Words, byte_mapped, full_windows, map_batches, sliding, text_slices, window_hashes,
+    LOWER, Words, byte_mapped, full_windows, map_batches, mixed, sliding, text_slices, window_hashes,
 )
+from hitprism.llm.stored import stored
 
 WINDOW, GRAM = 13, 5
 CONTAMINATED_ONE_IN = 20
 
-#: Bytes of benchmark text held by a worker at once; a larger benchmark is
-#: matched in blocks of items, one after the other.
-BLOCK_BYTES = 32 << 20
+#: Bits of the table that sorts out fingerprints no item has; a power of two.
+FILTER_BITS = 1 << 24
+_BUCKET_BITS = 1 << 15  # of Spark's bitmap functions
 
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 
 # A-Z lower-cased; what is neither digit, letter nor beyond ASCII parts words.
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(128) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123)]] = 32
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are lower-cased
 
-_SPAN = T.StructType([T.StructField("item", T.StringType()), T.StructField("start", T.LongType()),
-                      T.StructField("n", T.LongType())])
-
-
-def fingerprints(values, size=WINDOW, gram=GRAM):
-    """Hash of the k-gram at each place, and whether winnowing selects it."""
-    hashes = window_hashes(values, gram, _FACTOR)
-    span = size - gram + 1
-    lowest = sliding(hashes, span, np.minimum)
-    if len(lowest) < span:
-        return hashes, np.zeros(len(hashes), bool)
-    lowest[len(lowest) - span + 1 :] = 0  # of no whole window
-    # the largest minimum of the windows that hold a place
-    back = sliding(lowest[::-1], span, np.maximum)[::-1]
-    return hashes, back == hashes
+_PASSAGES = "print long, size int, start long, words string"
 
 
 def _word_hashes(unique):
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in unique.to_pylist()), np.uint64, len(unique))
 
 
-class Index:
-    """A block of benchmark items, ready to be looked up."""
-
-    def __init__(self, items):
-        """``items``: pairs of an id as text and the item's text."""
-        words = Words(byte_mapped(pa.array([t for _, t in items], pa.string()), _FOLD))
-        self.words = words.unique
-        self.windows, prints = {}, [np.zeros(0, np.uint64)]
-        hashes = _word_hashes(words.unique)
-        for (item, _), a, n in zip(items, words.starts, words.n):
-            own = words.codes[a : a + n].astype(np.int32)
-            size = min(WINDOW, int(n))
-            for at in range(int(n) - size + 1 if n else 0):
-                self.windows.setdefault(own[at : at + size].tobytes(), set()).add(item)
-            if n >= WINDOW:
-                found, chosen = fingerprints(hashes[own])
-                prints.append(found[: n - GRAM + 1][chosen[: n - GRAM + 1]])
-        self.prints = np.unique(np.concatenate(prints))
-        self.short = sorted({len(w) // 4 for w in self.windows} - {WINDOW})
-
-    def matches(self, texts):
-        """Words of the texts, and the windows found: start, size, items."""
-        words = Words(byte_mapped(texts, _FOLD))
-        known = pc.fill_null(pc.index_in(words.unique, self.words), -1).to_numpy(zero_copy_only=False)
-        codes = known.astype(np.int32)[words.codes]
-        starts = []
-        if len(self.prints) and len(codes) >= WINDOW:
-            hashes, chosen = fingerprints(_word_hashes(words.unique)[words.codes])
-            at = np.flatnonzero(chosen)
-            place = np.searchsorted(self.prints, hashes[at]).clip(max=len(self.prints) - 1)
-            hits = at[self.prints[place] == hashes[at]]
-            around = (hits[:, None] - np.arange(WINDOW - GRAM + 1)).ravel()
-            starts.append((WINDOW, around[around >= 0]))
-        in_words = np.concatenate([[0], np.cumsum(codes >= 0)])
-        for size in self.short:
-            if len(codes) >= size:
-                starts.append((size, np.flatnonzero(in_words[size:] - in_words[:-size] == size)))
-        found = []
-        for size, at in starts:
-            at = np.unique(at)
-            at = at[full_windows(words, size)[at]]
-            at = at[in_words[at + size] - in_words[at] == size]
-            for start in at.tolist():
-                items = self.windows.get(codes[start : start + size].tobytes())
-                if items:
-                    found.append((start, size, items))
-        return words, found
-
-
-def _blocks(benchmark, item_id, text):
-    """The benchmark in blocks of bounded size, each collected when it is due."""
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"),
-                             F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = 1 + total // BLOCK_BYTES
-    for block in range(n):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == block) if n > 1 else items
-        yield [(r["id"], r["text"]) for r in rows.toLocalIterator()]
+def window_prints(values, size):
+    """The fingerprint of the window of ``size`` words that starts at each place."""
+    if size < WINDOW:
+        return mixed(window_hashes(values, size, _FACTOR) + np.uint64(size))
+    return sliding(window_hashes(values, GRAM, _FACTOR), WINDOW - GRAM + 1, np.minimum)
+
+
+def _passages(words, hashes, size, wanted):
+    """Runs of windows of ``size`` words with one fingerprint: text, fingerprint,
+    first word within the text, and words. ``wanted`` picks among fingerprints."""
+    prints = window_prints(hashes, size)
+    at = np.flatnonzero(full_windows(words, size))
+    at = at[wanted(prints[at])]
+    if not len(at):
+        return
+    text = words.text_of_word()[at]
+    # a run goes on while neither text nor fingerprint changes
+    new = (np.diff(at, prepend=-2) != 1) | (np.diff(text, prepend=-1) != 0)
+    new[1:] |= prints[at[1:]] != prints[at[:-1]]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    for a, z, row in zip(at[first].tolist(), (at[last] + size).tolist(), text[first].tolist()):
+        spelled = words.unique.take(pa.array(words.codes[a:z])).to_pylist()
+        yield row, int(prints[a].view(np.int64)), a - int(words.starts[row]), " ".join(spelled)
+
+
+def _mapped(df, kept, text, sizes_of, wanted):
+    """Columns ``kept`` and the passages of each row's text, a row for each passage."""
+    schema = T.StructType([df.schema[c] for c in kept] + T._parse_datatype_string(f"struct<{_PASSAGES}>").fields)
+
+    def run(batch):
+        for rows in text_slices(batch, text):
+            words = Words(byte_mapped(rows.column(text), _FOLD))
+            hashes = _word_hashes(words.unique)[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
+            for size, of_size in sizes_of(words):
+                found = list(_passages(of_size, hashes, size, wanted))
+                if found:
+                    row, prints, starts, spelled = zip(*found)
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column(c).take(pa.array(row)) for c in kept]
+                        + [pa.array(prints, pa.int64()), pa.array([size] * len(row), pa.int32()),
+                           pa.array(starts, pa.int64()), pa.array(spelled, pa.string())], names=schema.names)
+
+    return map_batches(df, run, schema)
+
+
+class _OfSize:
+    """The words of a batch, with only texts of ``n`` words having any."""
+
+    def __init__(self, words, n):
+        self.codes, self.unique, self.starts, self.n = words.codes, words.unique, words.starts, words.n
+        self.text_of_word = words.text_of_word
+        self.ends = np.where(words.n == n, words.ends, words.starts)
+
+
+def _item_sizes(words):
+    """An item's windows: of ``WINDOW`` words, or of all where it has fewer."""
+    yield WINDOW, words
+    for n in np.unique(words.n[(words.n > 0) & (words.n < WINDOW)]).tolist():
+        yield n, _OfSize(words, n)
+
+
+def _windows(passages):
+    """The windows of passages: ``at`` (first word) and ``window`` (words)."""
+    return passages.withColumn("_word", F.split("words", " ")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.size("_word") - F.col("size"))).alias("_i")).select(
+        *[c for c in passages.columns if c not in ("words", "start")], (F.col("start") + F.col("_i")).alias("at"),
+        F.array_join(F.slice("_word", F.col("_i") + 1, F.col("size")), " ").alias("window"))
+
+
+def _filter(prints):
+    """The bit table of fingerprints as bytes: at most ``FILTER_BITS`` bits come here."""
+    place = F.pmod("print", F.lit(FILTER_BITS)) + 1
+    buckets = prints.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in buckets:
+        start = (row["bucket"] - 1) * _BUCKET_BITS // 8
+        table[start : start + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+    return table
+
+
+def _text_key(text):
+    """128 bits of a text, by which a document's spans come back to it."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def spans_of_texts(docs, benchmark, text="text", item_id="item_id", item_text="text"):
+    """One row per distinct text with an item's window: ``key`` (``_text_key``) and
+    ``spans`` (item, first word, number of words)."""
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
+    every = _mapped(items, ["item"], "text", _item_sizes, lambda prints: np.ones(len(prints), bool))
+    # read three times; its windows are found once
+    known = stored(_windows(every).select("print", "size", "window", "item").distinct(), "benchmark-windows")
+    prints = known.select("print", "size").distinct()
+    sizes = sorted(r["size"] for r in prints.select("size").distinct().collect())  # at most WINDOW of them
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(prints))
+
+    def met(found):
+        place = found & np.uint64(FILTER_BITS - 1)
+        return (shared.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    texts = docs.select(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), F.col(text).alias("text"))
+    passages = _mapped(texts, ["a", "b"], "text", lambda words: [(n, words) for n in sizes], met)
+    # copies of a text give the same passages: one of each goes on
+    hits = passages.join(prints, ["print", "size"], "left_semi").distinct()
+    spans = _windows(hits).join(known.select("size", "window", "item"), ["size", "window"]).groupBy("a", "b").agg(
+        F.collect_list(F.struct("item", F.col("at").alias("start"), F.col("size").cast("long").alias("n"))).alias("spans"))
+    return spans.select(F.struct("a", "b").alias("key"), "spans")
 
 
 def matched(docs, benchmark, text="text", item_id="item_id", item_text="text"):
@@ -119,36 +163,16 @@ def matched(docs, benchmark, text="text", item_id="item_id", item_text="text"):
 
     A null or empty text has no words, an item without words no windows, and an
     item without an id is reported under the empty id. Repeated rows are matched
-    alike; columns of the added names are replaced.
+    alike; columns of the added names are replaced. Without documents the result
+    is empty, without items no row has spans. A very long text is held whole, alone.
     """
-    kept = [f for f in docs.schema.fields if f.name not in ("n_words", "spans")]
-    schema = T.StructType(kept + [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN))])
-    arrow_span = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("n", pa.int64())]))
-    out = docs
-    for number, items in enumerate(_blocks(benchmark, item_id, item_text)):
-        out = map_batches(out, _finder(docs.sparkSession.sparkContext.broadcast(items), kept, schema, arrow_span,
-                                       text, more=number > 0), schema)
-    return out
-
-
-def _finder(shared, kept, schema, arrow_span, text, more):
-    indexes = {}
-
-    def run(batch):
-        if not indexes:
-            indexes[0] = Index(shared.value)
-        for rows in text_slices(batch, text):
-            words, found = indexes[0].matches(rows.column(text))
-            spans = rows.column("spans").to_pylist() if more else [[] for _ in range(rows.num_rows)]
-            of = words.text_of_word() if found else None
-            for start, size, items in found:
-                row = int(of[start])
-                spans[row] += [{"item": i, "start": start - int(words.starts[row]), "n": size} for i in sorted(items)]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(f.name) for f in kept] + [pa.array(words.n), pa.array(spans, arrow_span)],
-                names=schema.names)
-
-    return run
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "spans")]
+    found = spans_of_texts(docs, benchmark, text, item_id, item_text).select(F.struct("key", "spans").alias("_spans_of_text"))
+    none = F.array().cast("array<struct<item:string,start:bigint,n:bigint>>")
+    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long")
+    plain = docs.select(*kept, n_words.alias("n_words"))
+    return plain.join(found, _text_key(F.col(text)) == F.col("_spans_of_text.key"), "left").select(
+        *[F.col(f"`{c}`") for c in plain.columns], F.coalesce(F.col("_spans_of_text.spans"), none).alias("spans"))
 
 
 def judged(docs, benchmark, text="text", item_id="item_id", item_text="text"):

@@ -92,10 +92,10 @@ def test_decontamination(spark, docs, nothing):
     assert not any(r.n_hit for r in decontamination.judged(docs, items.limit(0)).collect())
 
 
-def test_decontamination_in_blocks(spark, docs, monkeypatch):
+def test_decontamination_with_a_full_filter(spark, docs, monkeypatch):
     items = spark.createDataFrame([(i, t) for i, t in enumerate(["x y z", "wörd one two", "three wörd", "no id"])], "item_id long, text string")
     whole = found(decontamination.judged(docs, items), "doc_id", "n_hit", "items")
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 80)
+    monkeypatch.setattr(decontamination, "_filter", lambda prints: __import__("numpy").full(decontamination.FILTER_BITS // 8, 255, "uint8"))
     assert found(decontamination.judged(docs, items), "doc_id", "n_hit", "items") == whole
 
 
