@@ -37,7 +37,7 @@ _FACTOR = 0x9E3779B97F4A7C15 | 1
 # A-Z lower-cased; what is neither digit, letter nor beyond ASCII parts words.
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(128) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123)]] = 32
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are lower-cased
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 
 _PASSAGES = "print long, size int, start long, words string"
 
@@ -154,7 +154,8 @@ def spans_of_texts(docs, benchmark, text="text", item_id="item_id", item_text="t
     hits = passages.join(prints, ["print", "size"], "left_semi").distinct()
     spans = _windows(hits).join(known.select("size", "window", "item"), ["size", "window"]).groupBy("a", "b").agg(
         F.collect_list(F.struct("item", F.col("at").alias("start"), F.col("size").cast("long").alias("n"))).alias("spans"))
-    return spans.select(F.struct("a", "b").alias("key"), "spans")
+    # as a table its size is known: Spark sends it to the documents or, beyond its threshold, joins by key
+    return stored(spans.select(F.struct("a", "b").alias("key"), "spans"), "benchmark-spans")
 
 
 def matched(docs, benchmark, text="text", item_id="item_id", item_text="text"):
@@ -170,9 +171,10 @@ def matched(docs, benchmark, text="text", item_id="item_id", item_text="text"):
     found = spans_of_texts(docs, benchmark, text, item_id, item_text).select(F.struct("key", "spans").alias("_spans_of_text"))
     none = F.array().cast("array<struct<item:string,start:bigint,n:bigint>>")
     n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long")
-    plain = docs.select(*kept, n_words.alias("n_words"))
-    return plain.join(found, _text_key(F.col(text)) == F.col("_spans_of_text.key"), "left").select(
-        *[F.col(f"`{c}`") for c in plain.columns], F.coalesce(F.col("_spans_of_text.spans"), none).alias("spans"))
+    # the key is worked out before the join, so that a text nobody asks for is not moved
+    plain = docs.select(*kept, n_words.alias("n_words"), _text_key(F.col(text)).alias("_key_of_text"))
+    return plain.join(found, F.col("_key_of_text") == F.col("_spans_of_text.key"), "left").select(
+        *[F.col(f"`{c}`") for c in plain.columns[:-1]], F.coalesce(F.col("_spans_of_text.spans"), none).alias("spans"))
 
 
 def judged(docs, benchmark, text="text", item_id="item_id", item_text="text"):
