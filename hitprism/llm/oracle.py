@@ -1,5 +1,6 @@
 """Queries that SQL can express, as SQL for DuckDB over the same tables."""
 
+from hitprism.llm import quality
 from hitprism.llm.queries import URL_RULES
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -75,11 +76,56 @@ SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
+_UNNESTED = (f"unnest([{', '.join(repr(r) for r in quality.RULES)}]) AS rule, "
+             f"unnest([{', '.join(quality.RULES.values())}]) AS failed")
+_WINDOW = " || ' ' || ".join(f"lead(word, {k}) OVER o" for k in range(quality.WINDOW))
+_BASE = " OR ".join(f"({quality.RULES[r]})" for r in quality.BASE_RULES)
+
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+QUALITY = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents
+), spelled AS (
+  SELECT r, i, {_WINDOW} AS win FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs)
+  WINDOW o AS (PARTITION BY r ORDER BY i)
+), windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM spelled WHERE win IS NOT NULL
+), repeats AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {quality.WINDOW})) AS p FROM windows WHERE n > 1) GROUP BY r
+), lines AS (
+  SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '{_SPACED}') GROUP BY r
+), measured AS (
+  SELECT r, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(lines.n, 0) AS n_lines, coalesce(n_dup, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words
+  FROM docs LEFT JOIN lines USING (r) LEFT JOIN repeats USING (r)
+), shares AS (
+  SELECT source, rule, count(*) AS n, sum(CAST(failed AS INT)) AS f
+  FROM (SELECT source, {_UNNESTED} FROM measured WHERE source IS NOT NULL) GROUP BY source, rule
+), moments AS (
+  SELECT rule, least(greatest(avg(f / n), 1e-4::DOUBLE), 1 - 1e-4::DOUBLE) AS m, var_pop(f / n) AS v, avg(1 / n) AS inverse_n FROM shares GROUP BY rule
+), true_variance AS (
+  SELECT rule, m, greatest(v - m * (1 - m) * inverse_n, 1e-6::DOUBLE) AS v FROM moments
+), priors AS (
+  SELECT rule, m, least(greatest((m * (1 - m) - v) / v, 1.0::DOUBLE), 1e4::DOUBLE) AS weight FROM true_variance
+), rejected AS (
+  SELECT DISTINCT source FROM shares JOIN priors USING (rule) WHERE (f + m * weight) / (n + weight) > {quality.MAX_HOST_RATE}
+), judged AS (
+  SELECT *, {_BASE} AS base_failed, source IS NOT NULL AND source IN (SELECT source FROM rejected) AS host_rejected FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected,
+  NOT base_failed AND NOT host_rejected AS kept
+FROM judged
+"""
+
 
 def oracle_sql():
     return {
         "op1_url_filters": URL_FILTERS,
         "op3_benchmark_decontamination": DECONTAMINATION,
+        "op5_quality_rules": QUALITY,
         "op7_substring_dedup": SUBSTRINGS,
         "op9_line_dedup": LINES,
     }
