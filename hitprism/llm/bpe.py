@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from hitprism.llm.batches import LOWER, map_batches, map_partitions, text_slices
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes of the pieces that a task remembers, with their ids; characters of the
 #: longest of them; and characters that go to the library at once, whose results
 #: take over a hundred bytes for each.

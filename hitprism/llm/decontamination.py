@@ -154,8 +154,21 @@ def spans_of_texts(docs, benchmark, text="text", item_id="item_id", item_text="t
     hits = passages.join(prints, ["print", "size"], "left_semi").distinct()
     spans = _windows(hits).join(known.select("size", "window", "item"), ["size", "window"]).groupBy("a", "b").agg(
         F.collect_list(F.struct("item", F.col("at").alias("start"), F.col("size").cast("long").alias("n"))).alias("spans"))
+    return spans.select(F.struct("a", "b").alias("key"), "spans")
+
+
+def _joined(docs, found, text, added):
+    """Add ``n_words``, and columns of ``found`` by each row's text; ``added`` has
+    their names, and their values for a text that is not in it."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", *added)]
     # as a table its size is known: Spark sends it to the documents or, beyond its threshold, joins by key
-    return stored(spans.select(F.struct("a", "b").alias("key"), "spans"), "benchmark-spans")
+    found = stored(found.select(F.struct("key", *added).alias("_of_text")), "benchmark-texts")
+    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long")
+    # the key is worked out before the join, so that a text nobody asks for is not moved
+    plain = docs.select(*kept, n_words.alias("n_words"), _text_key(F.col(text)).alias("_key_of_text"))
+    return plain.join(found, F.col("_key_of_text") == F.col("_of_text.key"), "left").select(
+        *[F.col(f"`{c}`") for c in plain.columns[:-1]],
+        *[F.coalesce(F.col(f"_of_text.{c}"), none).alias(c) for c, none in added.items()])
 
 
 def matched(docs, benchmark, text="text", item_id="item_id", item_text="text"):
@@ -167,22 +180,15 @@ def matched(docs, benchmark, text="text", item_id="item_id", item_text="text"):
     alike; columns of the added names are replaced. Without documents the result
     is empty, without items no row has spans. A very long text is held whole, alone.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "spans")]
-    found = spans_of_texts(docs, benchmark, text, item_id, item_text).select(F.struct("key", "spans").alias("_spans_of_text"))
     none = F.array().cast("array<struct<item:string,start:bigint,n:bigint>>")
-    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long")
-    # the key is worked out before the join, so that a text nobody asks for is not moved
-    plain = docs.select(*kept, n_words.alias("n_words"), _text_key(F.col(text)).alias("_key_of_text"))
-    return plain.join(found, F.col("_key_of_text") == F.col("_spans_of_text.key"), "left").select(
-        *[F.col(f"`{c}`") for c in plain.columns[:-1]], F.coalesce(F.col("_spans_of_text.spans"), none).alias("spans"))
+    return _joined(docs, spans_of_texts(docs, benchmark, text, item_id, item_text), text, {"spans": none})
 
 
 def judged(docs, benchmark, text="text", item_id="item_id", item_text="text"):
     """Add ``n_words``, ``n_hit`` (words in an occurrence), ``items`` (ids with
     occurring windows, sorted as text) and ``contaminated``: one word in
     ``CONTAMINATED_ONE_IN`` or more is hit."""
-    plain = docs.drop(*[c for c in ("n_hit", "items", "contaminated") if c in docs.columns])
-    found = matched(plain, benchmark, text, item_id, item_text)
+    found = spans_of_texts(docs, benchmark, text, item_id, item_text)
     # spans in order of their start; the state is (words hit, end so far)
     n_hit = F.aggregate(
         F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("a"), (s["start"] + s["n"]).alias("b")))),
@@ -193,5 +199,7 @@ def judged(docs, benchmark, text="text", item_id="item_id", item_text="text"):
         lambda state: state["hit"])
     items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"])))
     contaminated = (F.col("n_hit") > 0) & (CONTAMINATED_ONE_IN * F.col("n_hit") >= F.col("n_words"))
-    return (found.withColumn("n_hit", n_hit).withColumn("items", items).drop("spans")
-            .withColumn("contaminated", contaminated))
+    plain = docs.drop(*[c for c in ("contaminated",) if c in docs.columns])
+    return _joined(plain, found.select("key", n_hit.alias("n_hit"), items.alias("items")), text, {
+        "n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"),
+    }).withColumn("contaminated", contaminated)
