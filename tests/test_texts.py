@@ -7,9 +7,9 @@ from conftest import at, rows
 from pyspark.sql import functions as F
 
 from hitprism.functions import holidays
-from hitprism.operators import content, filters, prepare, volume
+from hitprism.operators import content, filters, messages, prepare, volume
 from hitprism.operators.messages import first_rows
-from hitprism.plans import texts
+from hitprism.plans import catalog, texts
 
 TEXTS = ["subject", "content", "translated_content"]
 
@@ -80,3 +80,36 @@ def test_text_values_equal_the_rule_on_each_row(hits, monkeypatch, most):
 def test_counts_are_grouped_without_texts(star_hits):
     plan = _plan(volume.competitor_volume(star_hits))
     assert "content" not in plan.split("Exchange")[-1]
+
+
+def _below_aggregates(df):
+    """Columns that reach each aggregate of the plan."""
+    nodes, found = [df._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Aggregate":
+            found.append({below[0].output().apply(i).name() for i in range(below[0].output().size())})
+        nodes += below
+    return found
+
+
+def test_first_rows_show_digests_without_moving_texts(hits, monkeypatch):
+    stored = []
+    monkeypatch.setattr(messages, "shared_table", lambda df, name: stored.append(df) or df)
+    values = list(itertools.product([1, 2, 3, None], ["1", None], ["a", "b"], ["x", "y", None], ["p", None]))
+    table = hits(*[{"tracking_hit_id": h, "value": v, "country": c, "content": t if h != 3 else "same", "translated_content": u if h != 3 else None,
+                    "from": f} for h, v, c, t, u in values for f in ("m", "n")])
+    for order in (["value"], [F.col("value").isNull().alias("no"), "value"], ["country", "value"], None):
+        whole = catalog.digested(first_rows(table, order=order))
+        assert rows(first_rows(table, order=order, shown=catalog.digested), "*") == rows(whole, "*")
+        asked = ["country", "translated_content", "value", "from"]
+        assert rows(first_rows(table, *asked, order=order, shown=catalog.digested), "*") == rows(
+            catalog.digested(first_rows(table, *asked, order=order)), "*")
+    stored.clear()
+    catalog.OPERATORS["D1"](table)
+    assert stored and all(not {"content", "translated_content"} & names for df in stored for names in _below_aggregates(df))
+
+
+def test_empty_table_has_no_first_rows(hits):
+    assert rows(first_rows(hits(), order=["value"], shown=catalog.digested), "*") == []
