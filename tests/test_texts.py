@@ -113,3 +113,9 @@ def test_first_rows_show_digests_without_moving_texts(hits, monkeypatch):
 
 def test_empty_table_has_no_first_rows(hits):
     assert rows(first_rows(hits(), order=["value"], shown=catalog.digested), "*") == []
+
+
+def test_emoji_usage_sorts_no_texts(hits):
+    table = hits(*[{"tracking_hit_id": i // 2, "competitor_name": "A", "subject": f"s{i}", "content": f"text {i} \U0001F525"} for i in range(6)])
+    below = _below_aggregates(content.emoji_usage(table))
+    assert below and all(not {"subject", "content", "translated_content"} & names for names in below)
