@@ -68,8 +68,13 @@ def emoji_only(col):
     return F.when(is_plain, F.lit("")).otherwise(found)
 
 
+def any_emoji(emoji_text):
+    """Whether what ``emoji_only`` left of a text is anything."""
+    return F.coalesce(F.length(emoji_text) > 0, F.lit(False))
+
+
 def has_emoji(col):
-    return F.coalesce(F.length(emoji_only(col)) > 0, F.lit(False))
+    return any_emoji(emoji_only(col))
 
 
 def emoji_list(emoji_text):

@@ -19,17 +19,17 @@ PROMO_EMAIL_TYPES = ["Welcome", "Informational", "System", "Transactional", "Pro
 _FEATURES = ["subject_chars", "subject_emoji", "content_emoji"]
 
 
+def with_emoji(hits):
+    """Add the emoji of subject and content; contents are searched once each."""
+    found = with_text_value(hits, "content", "content_emoji", text.emoji_only)
+    return found.withColumn("subject_emoji", text.emoji_only(F.col("subject")))
+
+
 def with_text_features(hits):
     """Add the length of the subject and the emoji of subject and content."""
     if all(c in hits.columns for c in _FEATURES):
         return hits
-    subject = F.col("subject")
-    return with_text_value(hits, "content", "content_emoji", text.emoji_only).withColumns(
-        {
-            "subject_chars": F.length(text.strip(subject)).cast("long"),
-            "subject_emoji": text.emoji_only(subject),
-        }
-    )
+    return with_emoji(hits).withColumn("subject_chars", F.length(text.strip(F.col("subject"))).cast("long"))
 
 
 def _with_subject_chars(hits):

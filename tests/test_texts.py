@@ -6,10 +6,11 @@ import pytest
 from conftest import at, rows
 from pyspark.sql import functions as F
 
-from hitprism.functions import holidays
+from hitprism.functions import holidays, text
 from hitprism.operators import content, filters, messages, prepare, volume
 from hitprism.operators.messages import first_rows
 from hitprism.plans import catalog, texts
+from hitprism.schema import HIT_ID
 
 TEXTS = ["subject", "content", "translated_content"]
 
@@ -119,3 +120,13 @@ def test_emoji_usage_sorts_no_texts(hits):
     table = hits(*[{"tracking_hit_id": i // 2, "competitor_name": "A", "subject": f"s{i}", "content": f"text {i} \U0001F525"} for i in range(6)])
     below = _below_aggregates(content.emoji_usage(table))
     assert below and all(not {"subject", "content", "translated_content"} & names for names in below)
+
+
+def test_emoji_are_looked_for_once_in_each_text(hits):
+    bodies = [None, "", "plain", "hot \U0001F525", "hot \U0001F525", "ö", "\U0001F384\U0001F525"]
+    table = hits(*[{"tracking_hit_id": i, "subject": s, "content": b} for i, (b, s) in enumerate(itertools.product(bodies, [None, "x", "\U0001F384 x"]))])
+    want = table.select(HIT_ID, *[f(F.col(c)).alias(f"{c}_{n}") for c in ("subject", "content")
+                                  for n, f in (("emoji", text.emoji_only), ("has_emoji", text.has_emoji))])
+    found = catalog.OPERATORS["D8"](table)
+    assert found.schema == want.schema and rows(found, "*") == rows(want, "*")
+    assert "regexp_replace(content" not in _plan(found)
