@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hitprism.operators.messages import first_rows
 from hitprism.operators.volume import competitor_volume
+from hitprism.plans import catalog
 from hitprism.plans.dashboard import Selection, reports, select_hits, write_reports
 from hitprism.schema import HITS
 from hitprism.sources.hits import read_hits, read_rejects, write_report
@@ -127,3 +128,13 @@ def test_dashboard_equals_the_single_reports(spark, star_hits, tmp_path):
     few = {n: shared[n] for n in ("competitor_volume", "timeline")}
     write_reports(few, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "timeline")).count() == lazy["timeline"].count()
+
+
+def test_rejects_query_compresses_its_lines(hits, checkpoint_dir, monkeypatch):
+    monkeypatch.setattr(catalog, "CSV_ROWS", 10)
+    table = hits(*[{"tracking_hit_id": i, "tracking_id": i, "channel": "sms", "category": "1-URGENT" if i % 4 == 0 else "5-LOW"} for i in range(40)])
+    before = set(checkpoint_dir.glob("reports/hits-*"))
+    found = catalog.OPERATORS["S1_rejects"](table.coalesce(1))
+    assert rows(found, "kind", "channel", "n") == [("clean", "sms", 30), ("null", "sms", 10), ("rejected", None, 10)]
+    (folder,) = set(checkpoint_dir.glob("reports/hits-*")) - before
+    assert len(list(folder.glob("part-*"))) == len(list(folder.glob("part-*.csv.gz"))) == 4
