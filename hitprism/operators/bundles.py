@@ -36,10 +36,12 @@ def message_bundles(hits, min_size=2):
 
     The label is cut, so only the first offers in name order can show. Each
     task keeps those of its own rows before the shuffle; a message is never
-    collected whole, however many offers it has.
+    collected whole, however many offers it has. Pairs are grouped as one struct, so
+    that they are dealt anew, once, for both uses, also where the rows are dealt by
+    message already: else one task would hold all steps' tables at the same time.
     """
     label = offers.offer_label(F.col("type"), F.col("value")).alias("offer_label")
-    pairs = hits.where(F.col(HIT_ID).isNotNull()).select(HIT_ID, label).distinct()
+    pairs = hits.where(F.col(HIT_ID).isNotNull()).select(F.struct(HIT_ID, label).alias("pair")).distinct().select("pair.*")
     sizes = (
         pairs.groupBy(HIT_ID)
         .agg(F.count(F.lit(1)).alias("bundle_size"))

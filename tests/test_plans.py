@@ -2,6 +2,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from hitprism.operators import bundles
 from hitprism.operators.clock import time_distribution
 from hitprism.operators.content import promo_types, tonality
 from hitprism.operators.volume import frequency_table
@@ -82,3 +83,12 @@ def test_shared_folder_is_the_one_the_session_names(spark, checkpoint_dir):
     table = shared.shared_table(spark.range(5), "five")
     assert table.count() == 5
     assert any(p.name.startswith("five-") for p in (checkpoint_dir / "tables").iterdir())
+
+
+def test_bundles_deal_offers_anew_once(hits):
+    table = hits(*[{"tracking_hit_id": i % 5 or None, "type": f"t{i % 3}", "value": None} for i in range(30)]).repartition(4, "tracking_hit_id")
+    made = bundles.message_bundles(table)
+    assert rows(made, "tracking_hit_id", "bundle_size", "bundle_label") == [
+        (i, 3, "t0 - No Value | t1 - No Value | t2 - No Value") for i in range(1, 5)]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(pair" in plan
