@@ -23,8 +23,13 @@ LOWER[65:91] += 32
 def text_slices(batch, column, most=SLICE_BYTES):
     """Consecutive rows of a batch whose texts hold ``most`` bytes together, or
     a single row with a longer text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes)
+    return slices(batch, pc.binary_length(batch.column(column)), most)
+
+
+def slices(batch, sizes, most):
+    """Consecutive rows of a batch whose sizes (null: 0) are ``most`` together, or a
+    single larger row."""
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
     row = 0
     while row < batch.num_rows:
         before = int(ends[row - 1]) if row else 0

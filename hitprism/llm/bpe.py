@@ -22,13 +22,15 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hitprism.llm.batches import LOWER, map_batches, map_partitions, text_slices
+from hitprism.llm.batches import LOWER, map_partitions, slices, text_slices
 
 SLICE_BYTES = 2 << 20
+#: Ids decoded at once: a batch can have millions, each of which takes some 40 bytes.
+SLICE_IDS = 1 << 19
 #: Bytes of the pieces that a task remembers, with their ids; characters of the
 #: longest of them; and characters that go to the library at once, whose results
 #: take over a hundred bytes for each.
-MOST_BYTES, MOST_LENGTH, AT_ONCE = 48 << 20, 128, 1 << 18
+MOST_BYTES, MOST_LENGTH, AT_ONCE = 32 << 20, 128, 1 << 18
 
 #: Pieces end before a space that no white space precedes: no match of a
 #: pattern of this kind goes over that place, nor looks beyond it.
@@ -242,22 +244,23 @@ def _encoder(tokenizer_json, spaces, apart=False):
     return Encoder(tokenizer_json, spaces, apart)
 
 
-@lru_cache(2)
-def _byte_table(tokenizer_json):
-    return ByteTable(tokenizer_json)
+def byte_tokens(tokenizer_json):
+    """The bytes of each id, by the reversed byte table; null where there is no such id."""
+    from tokenizers import Tokenizer
 
+    back = {c: b for b, c in enumerate(byte_characters())}
+    ids = Tokenizer.from_str(tokenizer_json).get_vocab()
+    tokens = [None] * (max(ids.values(), default=-1) + 1)
+    for shown, number in ids.items():
+        tokens[number] = bytes(back[c] for c in shown)
+    return tokens
 
-class ByteTable:
-    """The bytes of each id, by the reversed byte table."""
 
-    def __init__(self, tokenizer_json):
-        from tokenizers import Tokenizer
+class ByteTable:
+    """``byte_tokens`` for whole arrays of ids. Tasks get the tokens' bytes, as a
+    tokenizer of their own would take some 80 MB in each."""
 
-        back = {c: b for b, c in enumerate(byte_characters())}
-        ids = Tokenizer.from_str(tokenizer_json).get_vocab()
-        tokens = [None] * (max(ids.values(), default=-1) + 1)
-        for shown, number in ids.items():
-            tokens[number] = bytes(back[c] for c in shown)
+    def __init__(self, tokens):
         self.tokens = pa.array(tokens, pa.large_binary())
 
     def spans(self, ids, sizes):
@@ -292,13 +295,15 @@ def encode(docs, tokenizer_json, text="text", offsets=False):
     names = ["ids", "starts", "ends"] if offsets else ["ids"]
     kept = [f for f in docs.schema.fields if f.name not in names]
     schema = T.StructType(kept + [T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in names])
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(tokenizer_json)
+    tokens = context.broadcast(byte_tokens(tokenizer_json)) if offsets else None
 
-    def encoded(rows, encoder):
+    def encoded(rows, encoder, table):
         ids, sizes = encoder(rows.column(text))
         lists = [ids]
         if offsets:
-            data, at, ends = _byte_table(shared.value).spans(ids, sizes)
+            data, at, ends = table.spans(ids, sizes)
             lists += character_offsets(data, at, ends, sizes)
         where = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
         columns = [rows.column(f.name) for f in kept]
@@ -307,9 +312,10 @@ def encode(docs, tokenizer_json, text="text", offsets=False):
 
     def run(batches):
         encoder = _encoder(shared.value, True)
+        table = ByteTable(tokens.value) if offsets else None
         for batch in batches:
             for rows in text_slices(batch, text, SLICE_BYTES):
-                yield encoded(rows, encoder)
+                yield encoded(rows, encoder, table)
         encoder.clear()  # the worker goes on to other tasks
 
     return map_partitions(docs, run, schema)
@@ -326,13 +332,13 @@ def decode(docs, tokenizer_json, ids="ids"):
     names = ["decoded", "n_split"]
     kept = [f for f in docs.schema.fields if f.name not in names]
     schema = T.StructType(kept + [T.StructField("decoded", T.BinaryType()), T.StructField("n_split", T.LongType())])
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    shared = docs.sparkSession.sparkContext.broadcast(byte_tokens(tokenizer_json))
 
-    def run(batch):
-        column = batch.column(ids)
+    def decoded(rows, table):
+        column = rows.column(ids)
         sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         found = column.flatten().to_numpy(zero_copy_only=False)
-        data, offsets, ends = _byte_table(shared.value).spans(found, sizes)
+        data, offsets, ends = table.spans(found, sizes)
         inside = np.zeros(len(offsets), np.int64)
         middle = offsets < len(data)
         inside[middle] = (data[offsets[middle]] & 0xC0) == 0x80
@@ -343,10 +349,16 @@ def decode(docs, tokenizer_json, ids="ids"):
         decoded = pa.Array.from_buffers(
             pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]
         )
-        columns = [batch.column(f.name) for f in kept] + [decoded.cast(pa.binary()), pa.array(n_split)]
-        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        columns = [rows.column(f.name) for f in kept] + [decoded.cast(pa.binary()), pa.array(n_split)]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return map_batches(docs, run, schema)
+    def run(batches):
+        table = ByteTable(shared.value)
+        for batch in batches:
+            for rows in slices(batch, pc.list_value_length(batch.column(ids)), SLICE_IDS):
+                yield decoded(rows, table)
+
+    return map_partitions(docs, run, schema)
 
 
 def decoded_text(column):

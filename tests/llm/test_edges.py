@@ -304,6 +304,21 @@ def test_added_tokens_are_those_of_the_library():
     assert library.encode(texts[0], add_special_tokens=False).ids == [637, 1237, 49407, 2097]
 
 
+def test_decoding_takes_few_ids_at_once_and_no_tokenizer(spark, monkeypatch):
+    tokenizer, sizes = byte_tokenizer(), []
+    texts = ["aé \U0001F525", None, "", "one two three four five six seven", "x", "𝕏 y"] * 4
+    ids = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), tokenizer).select("doc_id", "ids")
+    whole = sorted(map(tuple, bpe.decode(ids, tokenizer).collect()))
+    monkeypatch.setattr(bpe, "SLICE_IDS", 5)
+    monkeypatch.setattr(bpe, "map_partitions", lambda df, run, schema: (run, schema))
+    run, schema = bpe.decode(ids, tokenizer)
+    monkeypatch.setattr("tokenizers.Tokenizer.from_str", None, raising=False)
+    found = [row for b in run(iter(ids.toArrow().to_batches())) for row in b.to_pylist() if sizes.append(b) or True]
+    assert sorted((r["doc_id"], r["ids"], r["decoded"], r["n_split"]) for r in found) == [(d, i, bytes(b), n) for d, i, b, n in whole]
+    distinct = {id(b): b for b in sizes}.values()
+    assert len(distinct) > 1 and all(b.num_rows == 1 or sum(len(i) for i in b["ids"].to_pylist()) <= 5 for b in distinct)
+
+
 def test_encoder_memory_is_bounded_by_bytes():
     import subprocess
     import sys
