@@ -4,9 +4,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hitprism.functions import numbers, offers, text
-from hitprism.operators.messages import messages
+from hitprism.operators.messages import first_rows, messages
 from hitprism.plans.groups import ranked
-from hitprism.plans.texts import with_text_value
+from hitprism.plans.shared import shared_table
+from hitprism.plans.texts import TEXT_KEYS, text_keys, text_values, with_text_value
 from hitprism.schema import HIT_ID
 
 TOP_EMOJI = 5
@@ -97,10 +98,23 @@ def tonality(hits, deduped=False):
     return _ranked_shares(rows, "tone_of_voice")
 
 
+def _emoji_messages(hits):
+    """Brand and emoji of each message. Messages are formed with the hashes of their
+    contents, and only the contents that these then have are searched."""
+    known = F.col("content").isNotNull()
+    keyed = hits.withColumns({**text_keys("content", known), "subject_emoji": text.emoji_only(F.col("subject"))})
+    firsts = shared_table(first_rows(keyed, "competitor_name", "subject_emoji", *TEXT_KEYS), "first-rows")
+    found = text_values(hits, "content", "content_emoji", text.emoji_only, firsts)
+    return firsts.join(found, TEXT_KEYS, "left").drop(*TEXT_KEYS)
+
+
 def emoji_usage(hits, deduped=False):
     """Messages per competitor, how many use emoji, and the emoji used most."""
     columns = ["competitor_name", "subject_emoji", "content_emoji"]
-    rows = messages(with_text_features(hits), *columns, deduped=deduped)
+    if deduped or all(c in hits.columns for c in _FEATURES):
+        rows = messages(with_text_features(hits), *columns, deduped=deduped)
+    else:
+        rows = _emoji_messages(hits)
     rows = rows.where(F.col("competitor_name").isNotNull())
 
     def using(column):

@@ -130,3 +130,36 @@ def test_emoji_are_looked_for_once_in_each_text(hits):
     found = catalog.OPERATORS["D8"](table)
     assert found.schema == want.schema and rows(found, "*") == rows(want, "*")
     assert "regexp_replace(content" not in _plan(found)
+
+
+@pytest.mark.parametrize("most", ["MOST_TEXTS", "MOST_BYTES", None])
+def test_values_of_texts_come_to_the_rows(spark, hits, monkeypatch, most):
+    table = hits(*[{"tracking_hit_id": i // 2 or None, "competitor_name": "A", "subject": "s", "content": b, "translated_content": b}
+                   for i, b in enumerate([None, "", "hot \U0001F525", "hot \U0001F525", "plain", "\U0001F384\U0001F525"] * 2)])
+    want = rows(table.withColumn("found", text.emoji_only(F.col("content"))), "content", "found")
+    if most:
+        monkeypatch.setattr(texts, most, 1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = texts.with_text_value(table, "content", "found", text.emoji_only)
+        assert not [line for line in _plan(found).splitlines() if "Exchange" in line and "Broadcast" not in line]
+        assert rows(found, "content", "found") == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [texts.MOST_TEXTS, 1])
+def test_emoji_usage_finds_what_first_rows_have(hits, monkeypatch, most):
+    bodies = [None, "", "plain", "hot \U0001F525", "hot \U0001F525", "\U0001F384\U0001F525", "ö"]
+    table = hits(*[{"tracking_hit_id": i // 3 or None, "competitor_name": "AB"[i % 2], "subject": s, "content": b, "value": str(i % 5)}
+                   for i, (b, s) in enumerate(itertools.product(bodies, [None, "x", "\U0001F384 x"]))])
+    first = first_rows(content.with_text_features(table), "competitor_name", "subject_emoji", "content_emoji")
+    want = rows(content.emoji_usage(first.withColumn("subject_chars", F.lit(1)), deduped=True), "*")
+    monkeypatch.setattr(texts, "MOST_TEXTS", most)
+    steps = []
+    for module in (texts, content):
+        monkeypatch.setattr(module, "shared_table", lambda df, name: steps.append(df) or df)
+    found = content.emoji_usage(table)
+    assert rows(found, "*") == want
+    assert steps and all(not {"content", "subject", "translated_content"} & names for df in [*steps, found] for names in _below_aggregates(df))
