@@ -39,10 +39,14 @@ BITS, PROBES = 10, 4
 SHARD_TOKENS = 1 << 21
 #: Entries added up by a task before they are sent, and hashes looked up at once.
 MERGED, AT_ONCE = 1 << 21, 1 << 17
+#: Entries are added up in so many steps.
+SHARD_GROUPS = 8
 #: Weight of the bigram's share; the rest is the word's own probability.
 WEIGHT = 0.1
 # small, as a Parquet writer holds at least 100 rows
 _SLICE_BYTES = 3 << 19
+#: Of the Arrow batches of texts or slices: both Spark and the task hold some of each.
+_BATCH_BYTES = 8 << 20
 _END = np.uint64(xxhash.xxh3_64_intdigest(b"", 7))
 
 
@@ -134,16 +138,28 @@ def _added(keys, n):
     return keys[first], np.add.reduceat(n, first, dtype=np.int64) if len(keys) else n.astype(np.int64)
 
 
+def _added_by_shards(held, shards):
+    """``_added`` of pairs (sorted hashes, counts) together, for the hashes of a
+    ``SHARD_GROUPS``-th of the shards at a time."""
+    edges = sorted({shards * i // SHARD_GROUPS for i in range(1, SHARD_GROUPS)} - {0})
+    cuts = np.array([-(-(edge << 32) // shards) << 32 for edge in edges], np.uint64)
+    places = [[0, *np.searchsorted(grams, cuts).tolist(), len(grams)] for grams, _ in held]
+    for i in range(len(edges) + 1):
+        grams, n = _added(*(np.concatenate([x[at[i]:at[i + 1]] for x, at in zip(xs, places)]) for xs in zip(*held)))
+        if len(grams):
+            yield grams, n
+
+
 def ngram_filter(slices, shards, shared):
     """Rows (shard, top, bits): the filter's segments and their highest levels."""
 
     def sent(held):
-        grams, n = _added(*(np.concatenate(x) for x in zip(*held)))
-        low, n = grams.astype(np.uint32), n.astype(np.uint32)
-        used, places = _by_shard(grams, shards)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), pa.array([low[p].tobytes() for p in places], pa.binary()),
-             pa.array([n[p].tobytes() for p in places], pa.binary())], names=["shard", "low", "n"])
+        for grams, n in _added_by_shards(held, shards):
+            low, n = grams.astype(np.uint32), n.astype(np.uint32)
+            used, places = _by_shard(grams, shards)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), pa.array([low[p].tobytes() for p in places], pa.binary()),
+                 pa.array([n[p].tobytes() for p in places], pa.binary())], names=["shard", "low", "n"])
 
     def count(batches):
         held, size = [], 0
@@ -152,30 +168,39 @@ def ngram_filter(slices, shards, shared):
                 tokens = _Tokens(batch, at)
                 training = tokens.training()
                 rare = training & ~_is_head(tokens.values, shared.value[0])
-                held.append(np.unique(np.concatenate([tokens.pairs[training], tokens.singles[rare]]), return_counts=True))
-                size += len(held[-1][0])
+                grams, n = np.unique(np.concatenate([tokens.pairs[training], tokens.singles[rare]]), return_counts=True)
+                held.append((grams, n.astype(np.uint32)))
+                size += len(grams)
                 if size >= MERGED:
-                    yield sent(held)
+                    yield from sent(held)
                     held, size = [], 0
         if size:
-            yield sent(held)
+            yield from sent(held)
 
     def build(table):
-        grams, n = _added(*(np.concatenate([np.frombuffer(x, np.uint32) for chunk in table.column(c).chunks for x in _buffers(chunk)])
-                            for c in ("low", "n")))
-        levels = np.frexp(n)[1]  # 1 + floor(log2 count)
-        size, top = max(64, int(levels.sum()) * BITS & ~7), int(levels.max())
-        bits = np.zeros(size, bool)
-        for level in range(1, top + 1):
-            for at in _places(grams[levels >= level], level, size):
-                bits[at] = True
-        return pa.table({"shard": table.column("shard")[:1], "top": pa.array([top], pa.int32()),
-                         "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        top, bits = _segment(*(np.concatenate([np.frombuffer(x, np.uint32) for chunk in table.column(c).chunks for x in _buffers(chunk)])
+                               for c in ("low", "n")))
+        return pa.table({"shard": table.column("shard")[:1], "top": pa.array([top], pa.int32()), "bits": pa.array([bits], pa.binary())})
 
     counted = map_partitions(slices, count, "shard int, low binary, n binary")
     return counted.groupBy("shard").applyInArrow(build, "shard int, top int, bits binary")
 
 
+def _segment(low, n):
+    """Highest level and bytes of the segment that holds bigrams and words (lower
+    halves) with counts; bits are set for some at a time."""
+    low, n = _added(low, n)
+    levels = np.frexp(n)[1]  # 1 + floor(log2 count)
+    size, top = max(64, int(levels.sum()) * BITS & ~7), int(levels.max())
+    bits = np.zeros(size, bool)
+    for i in range(0, len(low), AT_ONCE):
+        some, some_levels = low[i:i + AT_ONCE], levels[i:i + AT_ONCE]
+        for level in range(1, int(some_levels.max()) + 1):
+            for at in _places(some[some_levels >= level], level, size):
+                bits[at] = True
+    return top, np.packbits(bits, bitorder="little").tobytes()
+
+
 def _places(low, level, size):
     """The segment's bits for bigrams (lower halves) at a level."""
     step = mixed(low.astype(np.uint64) | np.uint64(level) << np.uint64(32))
@@ -303,14 +328,14 @@ def score(docs, doc_id="doc_id", text="text"):
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    slices = stored(token_slices(docs), "token-slices")
-    counts = stored(word_counts(slices), "word-counts")
+    slices = stored(token_slices(docs), "token-slices", _BATCH_BYTES)
+    counts = stored(word_counts(slices), "word-counts", _BATCH_BYTES)
     n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total = n_tokens + n_words + 1
     shards = 1 + n_tokens // SHARD_TOKENS
     shared = spark.sparkContext.broadcast(_frequent(counts))
-    segments = stored(ngram_filter(slices, shards, shared), "filter")
-    levels = stored(looked_up(slices, segments, shards, shared), "levels")
+    segments = stored(ngram_filter(slices, shards, shared), "filter", _BATCH_BYTES)
+    levels = stored(looked_up(slices, segments, shards, shared), "levels", _BATCH_BYTES)
 
     def run(texts, answers):
         tokens, (head, n_head) = _Tokens(texts), shared.value
@@ -322,7 +347,7 @@ def score(docs, doc_id="doc_id", text="text"):
 
     schema = ("row long, doc_id long, held_out boolean, n_tokens long, n_head long, logs double, score double, "
               "rest array<long>")
-    scored = stored(slices.groupBy("slice").cogroup(levels.groupBy("slice")).applyInArrow(run, schema), "scored")
+    scored = stored(slices.groupBy("slice").cogroup(levels.groupBy("slice")).applyInArrow(run, schema), "scored", _BATCH_BYTES)
     rest = scored.select("row", F.explode("rest").alias("word")).join(counts, "word", "left")
     rest = rest.groupBy("row").agg(F.count("n").alias("n_rest"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rest_logs"))
     base = F.col("logs") + F.coalesce("rest_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(total))
