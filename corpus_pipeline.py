@@ -50,8 +50,10 @@ def benchmark_decontamination(spark, docs, sf_dir):
 
 
 def byte_bpe(spark, docs, sf_dir):
-    """Encodes the texts and decodes the ids again; digests of both."""
+    """Encodes the texts and decodes the ids again; digests of both. The ids are stored
+    between, so a task never has the workers of both steps at once."""
     ids = bpe.encode(docs.select("doc_id", "text"), byte_tokenizer()).select("doc_id", "ids")
+    ids = stored(ids, "token-ids", bpe.BATCH_BYTES)
     return bpe.decode(ids, byte_tokenizer()).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

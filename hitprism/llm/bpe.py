@@ -27,6 +27,8 @@ from hitprism.llm.batches import LOWER, map_partitions, slices, text_slices
 SLICE_BYTES = 2 << 20
 #: Ids decoded at once: a batch can have millions, each of which takes some 40 bytes.
 SLICE_IDS = 1 << 19
+#: Of the batches of texts where ids are stored; small, as each is in memory several times.
+BATCH_BYTES = 8 << 20
 #: Bytes of the pieces that a task remembers, with their ids; characters of the
 #: longest of them; and characters that go to the library at once, whose results
 #: take over a hundred bytes for each.

@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from hitprism.llm import bpe, decontamination, linededup, lm, pii, quality, simhash, spelling, substrings, suffixes, tokenfile, urls, whitening
+from hitprism.llm.stored import stored
 from hitprism.plans.shared import shared_folder
 
 URL_RULES = [
@@ -39,7 +40,8 @@ def url_filters(spark, folder):
 
 def byte_bpe(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, byte_tokenizer()).select("doc_id", "ids")
+    # stored, so a task never has the workers of both steps at once
+    ids = stored(bpe.encode(docs, byte_tokenizer()).select("doc_id", "ids"), "token-ids", bpe.BATCH_BYTES)
     return bpe.decode(ids, byte_tokenizer()).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),

@@ -9,6 +9,8 @@ import tiktoken
 from brute import SPACE_WORDS, decontamination, near_duplicates, quality, sha
 from conftest import DATA
 
+from hitprism.llm import queries
+
 
 def without_repeated_lines(docs, size=3):
     first, out = {}, {}
@@ -101,3 +103,10 @@ def test_last_stage(spark):
     got = stage("byte_bpe")(spark, table(spark), str(DATA))
     assert sorted(map(str, ((r.doc_id, r.decoded_sha256) for r in got.collect()))) == sorted(map(str, ((i, sha(t or "")) for i, t, _ in ROWS)))
     assert stage("byte_bpe")(spark, table(spark).limit(0), str(DATA)).collect() == []
+
+
+def test_encoding_and_decoding_are_never_in_one_task(spark, tmp_path):
+    table(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    for got in (stage("byte_bpe")(spark, table(spark), str(DATA)), queries.byte_bpe(spark, str(tmp_path))):
+        assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert sorted(map(str, ((r.doc_id, r.decoded_sha256) for r in got.collect()))) == sorted(map(str, ((i, sha(t or "")) for i, t, _ in ROWS)))
