@@ -13,7 +13,7 @@ import os
 import re
 import sys
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,10 @@ MOST_BYTES, MOST_LENGTH, AT_ONCE = 48 << 20, 128, 1 << 18
 _PIECE_END = re.compile(r"(?<=\S)(?= )")
 _SPACE_BEFORE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
+# Letters that may be words of their own; both cases of all of them.
+_WORD = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]{1,%d}" % MOST_LENGTH)
+_LETTERS = "".join(c for c in map(chr, range(256)) if _WORD.match(c))
+
 # ASCII white space as a space; 1 for ASCII letters, 2 for punctuation but "'".
 _TO_SPACE = np.arange(256, dtype=np.uint8)
 _TO_SPACE[9:14] = 32
@@ -103,8 +107,10 @@ class Encoder:
 
     ``spaces``: whether the vocabulary has tokens with white space. If not, the
     tokenizer drops it and pieces may end at any ASCII white space. ``apart``:
-    no token holds an ASCII letter beside ASCII punctuation other than ``'``, so
-    pieces may end there too; only where ``spaces`` is false.
+    no token holds a letter up to U+00FF beside ASCII punctuation other than ``'``, so
+    pieces may end there too; only where ``spaces`` is false. A run of letters is
+    then one word to the tokenizer: pieces of Latin letters alone go to the library's
+    model at once, where its normalizer and its splitting leave such letters as they are.
     """
 
     def __init__(self, tokenizer_json, spaces=True, apart=False):
@@ -115,15 +121,55 @@ class Encoder:
         self.spaces, self.apart = spaces, apart
         added = [re.escape(t["content"]) for t in json.loads(tokenizer_json).get("added_tokens") or []]
         self.added = "|".join(added)
-        self.table = LOWER[_TO_SPACE] if _lowers(tokenizer_json) else _TO_SPACE
+        self.lowers = _lowers(tokenizer_json)
+        self.table = LOWER[_TO_SPACE] if self.lowers else _TO_SPACE
+        self.shown = np.array([ord(c) for c in byte_characters()], "<u2")
+        self.shown[32] = 32
+        self.words = apart and self._leaves_letters()
         self.clear()
 
+    def _leaves_letters(self):
+        """Whether the tokenizer does nothing to Latin letters but make them small and
+        show their bytes, and no added token is one of their words."""
+        normalizer, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if splitter is None or any(_WORD.fullmatch(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return False
+        small = _LETTERS.lower() if self.lowers else _LETTERS
+        letters = normalizer.normalize_str(_LETTERS) if normalizer else _LETTERS
+        return letters == small and [word for word, _ in splitter.pre_tokenize_str(small)] == self._shown([_LETTERS])
+
+    def _shown(self, words):
+        """The words as the model sees them, a character for each byte."""
+        joined = " ".join(words)
+        data = (joined.lower() if self.lowers else joined).encode()
+        return self.shown[np.frombuffer(data, np.uint8)].tobytes().decode("utf-16-le").split(" ")
+
     def clear(self):
         """Forget all pieces."""
         self.slots, self.bytes = {}, 0
         self.flat, self.ends = np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int64)
+        self.again = np.zeros(1 << 10, bool)
+
+    def shrink(self):
+        """Forget the pieces that have not come up again since they were remembered, or
+        since the last call; all of them where the others take over half of the room."""
+        n = len(self.slots)
+        kept = self.again[:n]
+        pieces, sizes = list(compress(self.slots, kept)), np.diff(self.ends[: n + 1])
+        flat = self.flat[: self.ends[n]][np.repeat(kept, sizes)]
+        self.clear()
+        self._remember(pieces, flat, sizes[kept])
+        if self.bytes > MOST_BYTES // 2:
+            self.clear()
+
+    def _ids(self, pieces):
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _encoded(self, pieces):
+    def _ids_of_words(self, words):
+        tokenize = self.tokenizer.model.tokenize
+        return [[token.id for token in tokenize(word)] for word in self._shown(words)]
+
+    def _encoded(self, pieces, ids_of):
         """Ids of pieces in one array, and how many each has."""
         sizes, flat = np.zeros(len(pieces), np.int64), [np.zeros(0, np.int32)]
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
@@ -131,12 +177,16 @@ class Encoder:
         while row < len(pieces):
             before = int(ends[row - 1]) if row else 0
             until = max(row + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[row:until], add_special_tokens=False)]
+            found = ids_of(pieces[row:until])
             sizes[row:until] = np.fromiter(map(len, found), np.int64, len(found))
             flat.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[row:until].sum())))
             row = until
         return np.concatenate(flat), sizes
 
+    def _fit(self, n):
+        while n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+
     def _remember(self, pieces, flat, sizes):
         """Keep the ids of the short ones; the arrays grow by doubling."""
         short = np.fromiter(map(len, pieces), np.int64, len(pieces)) <= MOST_LENGTH
@@ -145,8 +195,8 @@ class Encoder:
         n, start = len(self.slots), int(self.ends[len(self.slots)])
         while n + len(pieces) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        while start + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
+        self._fit(start + len(flat))
         self.flat[start : start + len(flat)] = flat
         self.ends[n + 1 : n + 1 + len(pieces)] = start + np.cumsum(sizes)
         self.slots.update(zip(pieces, range(n, n + len(pieces))))
@@ -182,6 +232,9 @@ class Encoder:
         ends = ends - ends[0]
         if self.apart:
             kind = _KIND[text]
+            lead = np.flatnonzero(text == 0xC3)  # of two bytes, all letters but two
+            lead = lead[(text[lead + 1] & 0xDF) != 0x97]
+            kind[lead] = kind[lead + 1] = 1
             at = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1
             text, ends = np.insert(text, at, 32), ends + np.searchsorted(at, ends)
         return pa.Array.from_buffers(
@@ -202,13 +255,20 @@ class Encoder:
         """Ids of all texts in one array, and how many each text has."""
         values, sizes = self._pieces_and_whole(texts.fill_null(""))
         found = values.dictionary_encode()
-        unique = found.dictionary.to_pylist()
+        unique = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.bytes > MOST_BYTES:
-            self.clear()
-        slot = np.fromiter((self.slots.get(p, -1) for p in unique), np.int64, len(unique))
+            self.shrink()
+        slot = np.fromiter(map(self.slots.get, unique, repeat(-1)), np.int64, len(unique))
         fresh = np.flatnonzero(slot < 0)
+        self.again[slot[slot >= 0]] = True
         pieces = [unique[i] for i in fresh.tolist()]
-        flat, new_sizes = self._encoded(pieces)
+        word = np.zeros(len(pieces), bool)
+        if self.words:
+            word = np.fromiter(map(bool, map(_WORD.fullmatch, pieces)), bool, len(pieces))
+        words, others = list(compress(pieces, word)), list(compress(pieces, ~word))
+        fresh, pieces = np.concatenate([fresh[word], fresh[~word]]), words + others
+        found_ids = self._encoded(words, self._ids_of_words), self._encoded(others, self._ids)
+        flat, new_sizes = (np.concatenate(both) for both in zip(*found_ids))
         # where the ids of each distinct piece are: among those known, then the new ones
         known = int(self.ends[len(self.slots)])
         start, size = self.ends[slot], self.ends[slot + 1] - self.ends[slot]
@@ -217,9 +277,9 @@ class Encoder:
         lengths = size[codes]
         total = np.concatenate([[0], np.cumsum(lengths)])
         at = np.repeat(start[codes] - total[:-1], lengths) + np.arange(total[-1])
-        old = at < known
-        ids = np.empty(len(at), np.int32)
-        ids[old], ids[~old] = self.flat[at[old]], flat[at[~old] - known]
+        self._fit(known + len(flat))
+        self.flat[known : known + len(flat)] = flat
+        ids = self.flat[at]
         self._remember(pieces, flat, new_sizes)
         ends = np.cumsum(sizes)
         return ids, total[ends] - total[ends - sizes]

@@ -14,7 +14,10 @@ Model of a block, integers only, so that all machines agree:
 - mixing: how often the one, the other or neither guess came true where both had
   these confidences; the guesses' weights beside order 0 are those odds.
 
-The three are summed, so one step of the range coder codes an id. The coder
+The three are summed, so one step of the range coder codes an id. The guesses'
+intervals come first; the rest of order 0 follows: a place for each id, then the
+ids that have come up, in ascending order. So an id that has come up is found by
+one look into the block's sorted ids, without a search. The coder
 keeps 64 bits and writes words of 32 bits; it never needs a carry, since a
 range that would straddle a word boundary is cut short there.
 """
@@ -28,7 +31,7 @@ BLOCK = 256 * LANE
 IDS = 1 << 16
 SLOTS = 1 << 18
 LEVELS = 4  # of confidence; 0: no guess yet
-STEP, START = 24, 1
+STEP = 24
 TALLY = 16
 PARTS, MOST_ODDS = 64, 64
 _U = np.uint64
@@ -36,120 +39,157 @@ _WORD, _MASK = _U(32), _U(0xFFFFFFFF)
 
 # Both confidences, and whether both orders guess one id (order 2 then has no weight).
 _PAIRS = LEVELS * LEVELS
-_ALIKE = _PAIRS
-_WEIGHS = np.zeros((2 * _PAIRS, 2), np.int64)
-_WEIGHS[:_PAIRS, 0] = _WEIGHS[_ALIKE:, 0] = np.arange(_PAIRS) >= LEVELS
-_WEIGHS[:_PAIRS, 1] = np.arange(_PAIRS) % LEVELS > 0
+_CASES = 2 * _PAIRS
+_WEIGHS = np.zeros((2, _CASES), np.int64)
+_WEIGHS[0, :_PAIRS] = _WEIGHS[0, _PAIRS:] = np.arange(_PAIRS) >= LEVELS
+_WEIGHS[1, :_PAIRS] = np.arange(_PAIRS) % LEVELS > 0
+
+
+def _halves(packed):
+    """The upper and lower 32 bits of non-negative numbers."""
+    return packed >> 32, packed & 0xFFFFFFFF
 
 
 class _Model:
     """The models of all blocks of a frame, for lanes that stand in block order.
 
     The sum of weights stays below 2^30 (see ``BLOCK``, ``STEP``, ``MOST_ODDS``).
+    ``search``: whether ids are to be found by their places.
     """
 
-    def __init__(self, lanes):
+    def __init__(self, lanes, search):
+        self.search = search
         self.block = np.arange(lanes) // (BLOCK // LANE)
-        blocks = -(-lanes // (BLOCK // LANE))
-        self.count = np.full((blocks, IDS), START, np.int32)
-        self.before = np.zeros((blocks, IDS + 1), np.int32)
-        self.recent, self.step = [], 0
+        self.blocks = -(-lanes // (BLOCK // LANE))
+        self.count = np.zeros(self.blocks * IDS, np.int32)
+        # start and size of each id's interval by order 0, in the upper and lower 32 bits
+        self.plain = np.tile(np.arange(IDS) << 32 | 1, self.blocks)
+        self.known = np.zeros(0, np.int64)
+        # places in the tables of the ids since the last tally; of those not known then
+        self.recent, self.fresh, self.step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         # 4 * id + confidence
-        self.guess = np.zeros(blocks * (IDS + SLOTS), np.int32)
+        self.guess = np.zeros(self.blocks * (IDS + SLOTS), np.int32)
         # per block and case: neither guess came true, order 1 did, order 2 did
-        self.came = np.tile(np.array([2, 1, 1], np.int64), (blocks, 2 * _PAIRS, 1))
+        self.came = np.repeat([[2], [1], [1]], self.blocks * _CASES, axis=1)
         self.last = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
-        self._place()
         self._tally()
+        self._place()
 
     def _place(self):
-        self.of_count, self.of_before = self.block * IDS, self.block * (IDS + 1)
-        self.of_slot = self.block * (IDS + SLOTS)
-        self.of_case = self.block * (2 * _PAIRS)
-        self.bounds = np.searchsorted(self.block, np.arange(len(self.count) + 1))
-
-    def _tally(self):
-        """Count the ids since the last tally; sum the counts before each id."""
-        if self.recent:
-            np.add.at(self.count.reshape(-1), np.concatenate(self.recent), np.int32(STEP))
-            self.recent = []
-        np.cumsum(self.count, axis=1, dtype=np.int32, out=self.before[:, 1:])
-        self.total = self.before[:, -1].astype(np.int64)
+        """Where each lane's block starts in the tables."""
+        self.of_count = self.block * IDS
+        self.of_slot = self.block * (IDS + SLOTS) + np.array([[0], [IDS]])
+        self.of_case = self.block * _CASES
         self._share()
 
     def _share(self):
-        self.base = self.total[self.block]
-        self.part = self.base // PARTS
+        self.base = (IDS + STEP * self.n).take(self.block)
+        self.of_sorted = (np.cumsum(self.n) - self.n).take(self.block)
+
+    def _tally(self):
+        """Count the ids since the last tally, and place all that are known anew."""
+        fresh = np.unique(np.concatenate(self.fresh))
+        self.known = np.insert(self.known, self.known.searchsorted(fresh), fresh)
+        np.add.at(self.count, np.concatenate(self.recent), np.int32(1))
+        self.recent, self.fresh = [], [np.zeros(0, np.int64)]
+        count = self.count.take(self.known).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        bounds = ends[self.known.searchsorted(np.arange(self.blocks + 1) * IDS)]
+        self.n = np.diff(bounds)
+        before = ends[:-1] - bounds[self.known // IDS]
+        self.plain[self.known] = (IDS + STEP * before) << 32 | STEP * count
+        if self.search:
+            # the ids that have come up, block by block, sorted; one more, so that there is one
+            self.sorted = np.repeat(np.append(self.known % IDS, 0).astype(np.uint16), np.append(count, 1))
+        part = np.repeat((IDS + STEP * self.n) // PARTS, _CASES)
+        self.factor = np.tile(_WEIGHS, self.blocks) * part
 
     def drop_last(self):
         """The last lane has ended; the others go on."""
         self.block = self.block[:-1]
         self.last = [ids[:-1] for ids in self.last]
         self._place()
-        self._share()
 
     def predict(self):
         """Guesses and their weights; returns the sum of all weights."""
         one, two = self.last
         hashed = (one * 0x9E3779B1 + two * 0x85EBCA77) >> 11
-        self.slot = np.stack([one, (hashed & (SLOTS - 1)) + IDS]) + self.of_slot
+        hashed &= SLOTS - 1
+        self.slot = self.of_slot.copy()
+        self.slot[0] += one
+        self.slot[1] += hashed
         self.entry = self.guess.take(self.slot)
-        self.ids = self.entry >> 2
-        level = self.entry & (LEVELS - 1)
-        alike = (self.ids[0] == self.ids[1]) & (np.minimum(*level) > 0)
-        self.case = self.of_case + level[0] * LEVELS + level[1] + alike * _ALIKE
-        odds = np.minimum(self.came[:, :, 1:] * PARTS // self.came[:, :, :1], MOST_ODDS * PARTS) * _WEIGHS
-        self.weight = odds.reshape(-1, 2).take(self.case, axis=0).T * self.part
-        return self.weight[0] + self.weight[1] + self.base
+        self.level = (self.entry & (LEVELS - 1)).astype(np.int8)
+        self.ids = (self.entry >> 2).astype(np.int64)
+        differ = self.ids[0] != self.ids[1]
+        case = self.level[0] * np.int8(LEVELS)
+        case += self.level[1]
+        case += ~differ * np.int8(_PAIRS)
+        self.case = self.of_case + case
+        odds = np.minimum(self.came[1:] * PARTS // self.came[0], MOST_ODDS * PARTS) * self.factor
+        first, second = _halves((odds[0] << 32 | odds[1]).take(self.case))
+        total = first + second + self.base
+        # what order 0 gives to the guesses; one guess of both orders is the first's alone
+        self.start, self.size = _halves(self.plain.take(self.ids + self.of_count))
+        self.size[1] *= differ
+        self.first = first + self.size[0]
+        self.second = second + self.size[1]
+        self.both = self.first + self.second
+        return total
 
     def _plain(self, ids):
-        """Start and size of the ids' intervals by order 0 alone."""
-        at = self.of_before + ids
-        start = self.before.take(at)
-        return start.astype(np.int64), self.before.take(at + 1) - start
+        """Start and size of the ids' intervals by order 0 alone; the ids are taken down."""
+        at = self.of_count + ids
+        start, size = _halves(self.plain.take(at))
+        self.recent.append(at)
+        self.fresh.append(at[np.flatnonzero(size == 1)])
+        return start, size
 
     def interval(self, ids):
+        """Start and size of the ids' intervals."""
+        self.true = self.ids == ids
         start, size = self._plain(ids)
-        start += (self.weight * (ids > self.ids)).sum(axis=0)
-        return start, size + (self.weight * (ids == self.ids)).sum(axis=0)
+        passed = self.size * (start > self.start)
+        start += self.both - passed[0] - passed[1]
+        one, two = self.true
+        return (np.where(one, 0, np.where(two, self.first, start)),
+                np.where(one, self.first, np.where(two, self.second, size)))
 
     def find(self, at):
         """The ids whose intervals hold the places ``at``; start and size of these."""
-        swap = self.ids[0] > self.ids[1]
-        low, high = np.where(swap, self.ids[::-1], self.ids)
-        low_w, high_w = np.where(swap, self.weight[::-1], self.weight)
-        low_start, low_size = self._plain(low)
-        high_start, high_size = self._plain(high)
-        alike = low == high
-        low_size = low_size + low_w + high_w * alike
-        high_start += low_w * ~alike
-        high_size = np.where(alike, low_size, high_size + high_w)
-        beyond_low, beyond_high = at >= low_start + low_size, at >= high_start + high_size
-        is_low, is_high = ~beyond_low & (at >= low_start), ~beyond_high & (at >= high_start)
-        # the weights of the guesses that lie before
-        passed = low_w * beyond_low + high_w * beyond_high
-        plain = (at - passed).astype(np.int32)
-        ids = np.empty(len(at), np.int64)
-        for before, a, z in zip(self.before, self.bounds, self.bounds[1:]):
-            ids[a:z] = before.searchsorted(plain[a:z], "right") - 1
-        ids = np.where(is_low, low, np.where(is_high, high, ids))
+        guessed, one = at < self.both, at < self.first
+        place = at - self.both
+        # where the guesses' own intervals of order 0 stood, without the other one's
+        gap = self.start - self.size[::-1] * (self.start > self.start[::-1])
+        passed = self.size * (place >= gap)
+        place += passed[0]
+        place += passed[1]
+        ids = self.sorted.take(self.of_sorted + (place - IDS) // STEP, mode="clip").astype(np.int64)
+        fresh = np.flatnonzero(place < IDS)
+        ids[fresh] = place[fresh]
+        np.putmask(ids, guessed, self.ids[1])
+        np.putmask(ids, one, self.ids[0])
+        self.true = self.ids == ids
         start, size = self._plain(ids)
-        start = np.where(is_low, low_start, np.where(is_high, high_start, start + passed))
-        return ids, start, np.where(is_low, low_size, np.where(is_high, high_size, size))
+        start += at - place
+        for of, at_start, at_size in ((guessed, self.first, self.second), (one, 0, self.first)):
+            np.putmask(start, of, at_start)
+            np.putmask(size, of, at_size)
+        return ids, start, size
 
     def update(self, ids):
-        self.recent.append(self.of_count + ids)
         self.step += 1
-        true = ids == self.ids
-        level = self.entry & (LEVELS - 1)
         # lanes of a block that meet in a slot: the last one's entry stays
-        sure = np.where(true, np.minimum(level + 1, LEVELS - 1), 1)
-        kept = ~true & (level > 1)
-        self.guess[self.slot] = np.where(kept, self.entry - 1, (ids << 2) + sure)
-        outcome = np.where(true[0] & (level[0] > 0), 1, np.where(true[1] & (level[1] > 0), 2, 0))
-        self.came += np.bincount(self.case * 3 + outcome, minlength=self.came.size).reshape(self.came.shape)
+        true = self.true.view(np.int8)
+        kept = self.entry + (2 * true - 1 - (true & (self.level == LEVELS - 1)))
+        self.guess[self.slot.reshape(-1)] = np.where(self.true | (self.level > 1), kept, (ids * LEVELS + 1).astype(np.int32)).reshape(-1)
+        one, two = self.true & (self.level > 0)
+        outcome = one.view(np.int8) + 2 * (two > one).view(np.int8)
+        outcome = outcome * np.int64(self.came.shape[1]) + self.case
+        self.came += np.bincount(outcome, minlength=self.came.size).reshape(self.came.shape)
         if self.step % TALLY == 0 or (self.step < TALLY and self.step & (self.step - 1) == 0):
             self._tally()
+            self._share()
         self.last = [ids, self.last[0]]
 
 
@@ -159,8 +199,7 @@ def _settle(low, span):
     A range of one whole word stays: moved on, its size would need 65 bits.
     """
     move = span < _U(1 << 32)
-    cut = move & ((low ^ (low + span - _U(1))) >> _WORD != 0)
-    return move, np.where(cut, (~low + _U(1)) & _MASK, span)
+    return move, np.where(move, np.minimum(span, _U(1 << 32) - (low & _MASK)), span)
 
 
 def _steps(lanes, last):
@@ -169,44 +208,56 @@ def _steps(lanes, last):
         yield t, lanes if t < last else lanes - 1
 
 
+def _moved(low, span):
+    """Lanes that move on by a word, as numbers; these words. ``low`` and ``span`` are moved."""
+    at = np.flatnonzero(span < _U(1 << 32))
+    moving = low[at]
+    span[at] = _settle(moving, span[at])[1] << _WORD
+    low[at] = moving << _WORD
+    return at, moving >> _WORD
+
+
 def encode_lanes(ids, last):
-    """Words of each row of ``ids`` (lanes x LANE), of whose last row ``last`` count."""
+    """Words of each row of ``ids`` (lanes x LANE), of whose last row ``last`` count,
+    row after row, and how many each has."""
     lanes = len(ids)
-    model = _Model(lanes)
+    model = _Model(lanes, False)
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
-    words, n_words = np.zeros((lanes, LANE + 1), np.uint32), np.zeros(lanes, np.int64)
-    columns = np.ascontiguousarray(ids.T, np.int64)
-    ended = []
+    columns = np.ascontiguousarray(ids.T, np.int32)
+    ended, moved, words = [], [], []
     for t, n in _steps(lanes, last):
         if n < len(low):
             ended.append(low[-1:])
             low, span = low[:-1], span[:-1]
             model.drop_last()
+        now = columns[t, :n].astype(np.int64)
         part = span // model.predict().view(_U)
-        start, size = model.interval(columns[t, :n])
+        start, size = model.interval(now)
         low = low + part * start.view(_U)
         span = part * size.view(_U)
-        move, span = _settle(low, span)
-        at = np.flatnonzero(move)
-        words[at, n_words[at]] = low[at] >> _WORD
-        n_words[at] += 1
-        low[at] <<= _WORD
-        span[at] <<= _WORD
-        model.update(columns[t, :n])
+        at, done = _moved(low, span)
+        moved.append(at)
+        words.append(done)
+        model.update(now)
     # the range holds a whole word's start, since it is no smaller than a word
     low = np.concatenate([low, *ended])
-    words[np.arange(lanes), n_words] = (low >> _WORD) + (low & _MASK != 0)
-    return words, n_words + 1
+    of = np.concatenate([*moved, np.arange(lanes)]).astype(np.min_scalar_type(lanes))
+    words = np.concatenate([*words, (low >> _WORD) + (low & _MASK != 0)]).astype(np.uint32)
+    return words[np.argsort(of, kind="stable")], np.bincount(of, minlength=lanes)
 
 
 def decode_lanes(words, last):
     """Reverse of ``encode_lanes``; ``words`` has a row of words per lane."""
     lanes = len(words)
-    model = _Model(lanes)
-    words = np.concatenate([words, np.zeros((lanes, 2), np.uint32)], axis=1).astype(_U)
+    model = _Model(lanes, True)
+    words = np.concatenate([words, np.zeros((lanes, 2), np.uint32)], axis=1)
+    width = words.shape[1]
+    words = words.astype(_U).reshape(-1)
+    place = np.arange(lanes) * width
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
-    code = (words[:, 0] << _WORD) | words[:, 1]
-    place = np.full(lanes, 2)
+    code = (words[place] << _WORD) | words[place + 1]
+    ends = place + width - 1
+    place += 2
     ids = np.zeros((LANE, lanes), np.int32)
     for t, n in _steps(lanes, last):
         if n < len(low):
@@ -219,17 +270,15 @@ def decode_lanes(words, last):
         ids[t, :n] = now
         low = low + part * start.view(_U)
         span = part * size.view(_U)
-        move, span = _settle(low, span)
-        moved = np.flatnonzero(move)
-        low[moved] <<= _WORD
-        span[moved] <<= _WORD
-        code[moved] = (code[moved] << _WORD) | words[moved, np.minimum(place[moved], words.shape[1] - 1)]
-        place[moved] += 1
+        moved, _ = _moved(low, span)
+        read = place[moved]
+        code[moved] = (code[moved] << _WORD) | words[np.minimum(read, ends[moved])]
+        place[moved] = read + 1
         model.update(now)
     return ids.T
 
 
-MAGIC = b"CMX2"
+MAGIC = b"CMX3"
 
 
 def _shape(n):
@@ -254,9 +303,8 @@ def pack(ids):
     grid = np.zeros(lanes * LANE, np.int32)
     grid[: len(ids)] = ids
     words, n_words = encode_lanes(grid.reshape(lanes, LANE), last)
-    used = words[np.arange(words.shape[1]) < n_words[:, None]]
     head = MAGIC + np.array([len(ids)], "<u4").tobytes()
-    return head + _sums(ids).tobytes() + n_words.astype("<u2").tobytes() + used.astype("<u4").tobytes()
+    return head + _sums(ids).tobytes() + n_words.astype("<u2").tobytes() + words.astype("<u4").tobytes()
 
 
 def unpack(data):

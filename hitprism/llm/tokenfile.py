@@ -20,7 +20,7 @@ from hitprism.llm.batches import map_batches, map_partitions, text_slices
 from hitprism.llm.bpe import SLICE_BYTES, _encoder
 
 #: A frame ends with the document that brings it to this many ids.
-FRAME = 1 << 20
+FRAME = 1 << 22
 
 FRAMES = T.StructType([
     T.StructField("part", T.IntegerType()),
@@ -88,7 +88,7 @@ def write_token_file(docs, path, tokenizer_json, end_id=None, doc_id="doc_id", t
                     yield pa.RecordBatch.from_pylist([row], schema)
         if frames.doc_ids:
             yield pa.RecordBatch.from_pylist([frames.row()], schema)
-        encoder.clear()
+        # the encoder keeps what it remembers: the worker goes on to tasks whose words are much the same
 
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))

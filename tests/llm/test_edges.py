@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
+import json
+
 import pytest
 from brute import quality, sha, substrings, url_verdict
 
@@ -304,6 +306,72 @@ def test_added_tokens_are_those_of_the_library():
     assert library.encode(texts[0], add_special_tokens=False).ids == [637, 1237, 49407, 2097]
 
 
+class Recorded:
+    """A tokenizer that takes down the pieces it encodes as texts, and the words its model gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.pieces, self.words, self.model = tokenizer, [], [], self
+
+    def encode_batch_fast(self, pieces, add_special_tokens):
+        self.pieces += pieces
+        return self.tokenizer.encode_batch_fast(pieces, add_special_tokens=add_special_tokens)
+
+    def tokenize(self, word):
+        self.words.append(word)
+        return self.tokenizer.model.tokenize(word)
+
+
+def test_plain_words_skip_normalizer_and_splitting():
+    import public_tokenizers
+    import pyarrow as pa
+
+    encoder = bpe.Encoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read(), spaces=False, apart=True)
+    library, encoder.tokenizer = encoder.tokenizer, Recorded(encoder.tokenizer)
+    texts = ["Plain words, ÀÉÎ straße.é üb", "x" * 300, "don't a1 \u4e2d e\u0301 ×÷ \u00c3", "ñÑ;ÿ#ß\n\u0130I", "plain words"]
+    ids, sizes = encoder(pa.array(texts))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert sorted(encoder.tokenizer.words) == sorted("".join(bpe.byte_characters()[b] for b in w.encode())
+                                                     for w in ["plain", "words", "àéî", "straße", "é", "üb", "ñÑ".lower(), "ÿ", "ß", "ã"])
+    assert not any(p.isalpha() and p.isascii() and len(p) < 300 for p in encoder.tokenizer.pieces)
+    # not where the splitting makes more of a word, nor where a word is an added token
+    changed = json.loads(library.to_str())
+    changed["pre_tokenizer"]["pretokenizers"].insert(0, {"type": "Split", "pattern": {"String": "e"}, "behavior": "Isolated", "invert": False})
+    assert not bpe.Encoder(json.dumps(changed), spaces=False, apart=True).words
+    library.add_tokens(["plain"])
+    added = bpe.Encoder(library.to_str(), spaces=False, apart=True)
+    assert not added.words
+    assert added(pa.array(["explain plain"]))[0].tolist() == library.encode("explain plain", add_special_tokens=False).ids
+
+
+def test_words_that_come_again_are_remembered(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    text = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    monkeypatch.setattr(bpe, "MOST_BYTES", 100_000)
+    encoder = bpe.Encoder(text, spaces=False, apart=True)
+    library, encoder.tokenizer = encoder.tokenizer, Recorded(encoder.tokenizer)
+    letters = "abcdefghij"
+    for i in range(10):  # more words than there is room for, some of them again and again
+        words = ["again", "and", "again"] + [f"{a}{b}{c}{letters[i]}" for a in letters for b in letters for c in "xyz"]
+        for t in (" ".join(words), "and again, and"):
+            assert encoder(pa.array([t]))[0].tolist() == library.encode(t, add_special_tokens=False).ids
+        assert encoder.bytes < 200_000 and len(encoder.slots) < 1000
+    tried = encoder.tokenizer.pieces + encoder.tokenizer.words
+    assert tried.count("again") == tried.count("and") == 1 and tried.count("aaxa") == 1
+
+
+def test_coder_guesses_of_few_ids():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for few in ([0, 1], [0, 65535], [0], [7, 0, 9, 65535]):
+        for n in (1025, 70_000):
+            ids = np.where(rng.random(n) < 0.9, np.resize(few, n), rng.choice(few, n))
+            assert (coder.unpack(coder.pack(ids)) == ids).all()
+
+
 def test_decoding_takes_few_ids_at_once_and_no_tokenizer(spark, monkeypatch):
     tokenizer, sizes = byte_tokenizer(), []
     texts = ["aé \U0001F525", None, "", "one two three four five six seven", "x", "𝕏 y"] * 4
